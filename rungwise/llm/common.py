@@ -37,16 +37,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the session's checkpoint folder and reads on from there.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; a folder of
-    our own is set only where none is named, as in local tests.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one the cluster names in spark.checkpoint.dir; our own only where none is named, as in local tests."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -62,3 +63,13 @@ def ascii_lower(text: Column) -> Column:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the identifier as text, modulo n; a null identifier counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """df with an equal key of unknown partitioning.
+
+    A join then shuffles this side as well as the other, and adaptive execution
+    may split a key that holds many of the other side's rows; it can't where an
+    aggregate's partitioning is used again.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
