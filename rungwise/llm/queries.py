@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm import exact_dedup, langid, minhash, mixing, packing, token_counts
+from rungwise.llm import exact_dedup, html_extract, langid, minhash, mixing, neighbours, packing, token_counts, toxicity
 from rungwise.llm.common import fold, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("epochs")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, model, threshold=0.3).drop("segments").withColumn("held_out", held_out)
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
 
