@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm import exact_dedup, html_extract, langid, minhash, mixing, neighbours, packing, token_counts, toxicity
+from rungwise.llm import exact_dedup, html_extract, langid, lm_score, minhash, mixing, neighbours, packing, token_counts, toxicity
 from rungwise.llm.common import fold, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("epochs")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 7) == 2
+    return lm_score.score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
