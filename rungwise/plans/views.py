@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = F.struct("start", "end", "line", "col").alias("span")
 MODULES = ("BasePicture", "SingleModule", "FrameModule", "ModuleTypeInstance")
 CHART = ("InitStep", "Step", "Transition", "TransitionSub", "Subsequence", "Alternative", "Parallel", "Fork", "Break")
 STATEMENTS = ("Assignment", "FuncCallStmt", "IfStmt")
 EXPRESSIONS = ("VarRef", "Literal", "BoolOp", "NotOp", "Compare", "BinOp", "UnaryOp", "FuncCall", "TernaryOp")
 
 
+def span() -> Column:
+    return F.struct("start", "end", "line", "col").alias("span")
+
+
 def of_kind(nodes: DataFrame, *kinds: str) -> DataFrame:
     return nodes.filter(F.col("kind").isin(*kinds))
 
@@ -36,7 +39,7 @@ def variables(nodes: DataFrame) -> DataFrame:
     return v.select(
         "source_id", F.col("parent_id").alias("owner_node_id"), "node_id", F.col("role").alias("scope"), "name", "name_key", F.col("p.type").alias("datatype"),
         *[F.col(f"p.{c}").alias(f"is_{c}") for c in ("global", "const", "state", "opsave", "secure")],
-        F.col("p.init").alias("init_kind"), F.col("literal").alias("init_text"), F.col("p.duration").alias("init_is_duration"), F.col("p.description").alias("description"), SPAN,
+        F.col("p.init").alias("init_kind"), F.col("literal").alias("init_text"), F.col("p.duration").alias("init_is_duration"), F.col("p.description").alias("description"), span(),
     )
 
 
@@ -44,16 +47,16 @@ def modules(nodes: DataFrame) -> DataFrame:
     m = _typed(nodes, MODULES, "type string, coords array<double>, enable boolean, layer int, zoomable boolean, zoom_limits array<double>, flags array<string>, datecode long, scan_group_global boolean")
     return m.select(
         "source_id", "node_id", "subtree_end", "parent_id", "kind", "name", "name_key", F.col("p.type").alias("type_name"), F.lower("p.type").alias("type_key"),
-        F.col("p.coords").alias("invoke_coord"), *[F.col(f"p.{c}").alias(c) for c in ("enable", "layer", "zoomable", "zoom_limits", "flags", "datecode")], SPAN,
+        F.col("p.coords").alias("invoke_coord"), *[F.col(f"p.{c}").alias(c) for c in ("enable", "layer", "zoomable", "zoom_limits", "flags", "datecode")], span(),
     )
 
 
 def module_types(nodes: DataFrame) -> DataFrame:
-    return _typed(nodes, ("ModuleTypeDef",), "private boolean, datecode long").select("source_id", "node_id", "subtree_end", "name", "name_key", F.col("p.private").alias("is_private"), F.col("p.datecode").alias("datecode"), SPAN)
+    return _typed(nodes, ("ModuleTypeDef",), "private boolean, datecode long").select("source_id", "node_id", "subtree_end", "name", "name_key", F.col("p.private").alias("is_private"), F.col("p.datecode").alias("datecode"), span())
 
 
 def data_types(nodes: DataFrame) -> DataFrame:
-    return _typed(nodes, ("DataType",), "description string, datecode long").select("source_id", "node_id", "name", "name_key", F.col("p.description").alias("description"), F.col("p.datecode").alias("datecode"), SPAN)
+    return _typed(nodes, ("DataType",), "description string, datecode long").select("source_id", "node_id", "name", "name_key", F.col("p.description").alias("description"), F.col("p.datecode").alias("datecode"), span())
 
 
 def parameter_mappings(nodes: DataFrame) -> DataFrame:
@@ -61,40 +64,40 @@ def parameter_mappings(nodes: DataFrame) -> DataFrame:
     source = nodes.filter((F.col("role") == "source") & (F.col("kind") == "VarRef")).select("source_id", F.col("parent_id").alias("node_id"), F.col("name").alias("source_name"))
     return m.join(source, ["source_id", "node_id"], "left").select(
         "source_id", F.col("parent_id").alias("instance_node_id"), "node_id", F.col("name").alias("target"), F.col("p.source").alias("source_kind"), "source_name",
-        F.col("literal").alias("source_literal"), F.col("p.global").alias("is_global"), F.col("p.duration").alias("is_duration"), SPAN,
+        F.col("literal").alias("source_literal"), F.col("p.global").alias("is_global"), F.col("p.duration").alias("is_duration"), span(),
     )
 
 
 def module_defs(nodes: DataFrame) -> DataFrame:
     m = _typed(nodes, ("ModuleDef",), "clipping_bounds array<array<double>>, zoom_limits array<double>, layer_limit double, grid double, zoomable boolean")
-    return m.select("source_id", "node_id", "parent_id", *[F.col(f"p.{c}").alias(c) for c in ("clipping_bounds", "zoom_limits", "layer_limit", "grid", "zoomable")], SPAN)
+    return m.select("source_id", "node_id", "parent_id", *[F.col(f"p.{c}").alias(c) for c in ("clipping_bounds", "zoom_limits", "layer_limit", "grid", "zoomable")], span())
 
 
 def graph_objects(nodes: DataFrame) -> DataFrame:
     """Shapes; the properties that only some have stay in a VARIANT."""
-    return of_kind(nodes, "GraphObject").select("source_id", "node_id", F.col("parent_id").alias("moduledef_id"), F.col("name").alias("type"), F.get_json_object("props", "$.layer").cast("int").alias("layer"), F.from_json("props", "coords array<array<double>>")["coords"].alias("coords"), F.parse_json("props").alias("props"), SPAN)
+    return of_kind(nodes, "GraphObject").select("source_id", "node_id", F.col("parent_id").alias("moduledef_id"), F.col("name").alias("type"), F.get_json_object("props", "$.layer").cast("int").alias("layer"), F.from_json("props", "coords array<array<double>>")["coords"].alias("coords"), F.parse_json("props").alias("props"), span())
 
 
 def interact_objects(nodes: DataFrame) -> DataFrame:
-    return of_kind(nodes, "InteractObject").select("source_id", "node_id", F.col("parent_id").alias("moduledef_id"), F.col("name").alias("type"), F.from_json("props", "flags array<string>")["flags"].alias("flags"), F.parse_json("props").alias("props"), SPAN)
+    return of_kind(nodes, "InteractObject").select("source_id", "node_id", F.col("parent_id").alias("moduledef_id"), F.col("name").alias("type"), F.from_json("props", "flags array<string>")["flags"].alias("flags"), F.parse_json("props").alias("props"), span())
 
 
 def bindings(nodes: DataFrame) -> DataFrame:
-    return _typed(nodes, ("Binding",), "direction string, litstring boolean").select("source_id", "node_id", "parent_id", "role", F.col("p.direction").alias("direction"), "name", "literal", SPAN)
+    return _typed(nodes, ("Binding",), "direction string, litstring boolean").select("source_id", "node_id", "parent_id", "role", F.col("p.direction").alias("direction"), "name", "literal", span())
 
 
 def sequences(nodes: DataFrame) -> DataFrame:
     s = _typed(nodes, ("Sequence",), "type string, position array<double>, size array<double>, control boolean, timer boolean, layer int")
-    return s.select("source_id", "node_id", "subtree_end", "parent_id", "name", *[F.col(f"p.{c}").alias(c) for c in ("type", "position", "size", "control", "timer", "layer")], "rendered", SPAN)
+    return s.select("source_id", "node_id", "subtree_end", "parent_id", "name", *[F.col(f"p.{c}").alias(c) for c in ("type", "position", "size", "control", "timer", "layer")], "rendered", span())
 
 
 def equations(nodes: DataFrame) -> DataFrame:
     e = _typed(nodes, ("Equation",), "position array<double>, size array<double>, layer int")
-    return e.select("source_id", "node_id", "subtree_end", "parent_id", "name", *[F.col(f"p.{c}").alias(c) for c in ("position", "size", "layer")], SPAN)
+    return e.select("source_id", "node_id", "subtree_end", "parent_id", "name", *[F.col(f"p.{c}").alias(c) for c in ("position", "size", "layer")], span())
 
 
 def chart_nodes(nodes: DataFrame) -> DataFrame:
-    return of_kind(nodes, *CHART).select("source_id", "node_id", "subtree_end", "parent_id", "ordinal", "role", "kind", "name", F.from_json("props", "targets array<string>")["targets"].alias("targets"), SPAN)
+    return of_kind(nodes, *CHART).select("source_id", "node_id", "subtree_end", "parent_id", "ordinal", "role", "kind", "name", F.from_json("props", "targets array<string>")["targets"].alias("targets"), span())
 
 
 def chart_edges(nodes: DataFrame) -> DataFrame:
@@ -119,18 +122,18 @@ def chart_edges(nodes: DataFrame) -> DataFrame:
 
 
 def statements(nodes: DataFrame) -> DataFrame:
-    return of_kind(nodes, *STATEMENTS).select("source_id", "node_id", "subtree_end", "parent_id", "ordinal", "role", "kind", "name", "rendered", SPAN)
+    return of_kind(nodes, *STATEMENTS).select("source_id", "node_id", "subtree_end", "parent_id", "ordinal", "role", "kind", "name", "rendered", span())
 
 
 def expressions(nodes: DataFrame) -> DataFrame:
     e = _typed(nodes, EXPRESSIONS, "state string, type string")
-    return e.select("source_id", "node_id", "subtree_end", "parent_id", "ordinal", "role", "kind", "name", F.split("name", r"\.").alias("path"), F.col("p.state").alias("state"), F.col("p.type").alias("literal_type"), "literal", SPAN)
+    return e.select("source_id", "node_id", "subtree_end", "parent_id", "ordinal", "role", "kind", "name", F.split("name", r"\.").alias("path"), F.col("p.state").alias("state"), F.col("p.type").alias("literal_type"), "literal", span())
 
 
 def comments(nodes: DataFrame) -> DataFrame:
     """content is the text without the outermost marks, trimmed."""
     inner = F.regexp_replace("literal", r"(?s)^\(\*\s*|\s*\*\)$", "")
-    return of_kind(nodes, "Comment").select("source_id", "node_id", "parent_id", "role", F.col("literal").alias("text"), inner.alias("content"), SPAN)
+    return of_kind(nodes, "Comment").select("source_id", "node_id", "parent_id", "role", F.col("literal").alias("text"), inner.alias("content"), span())
 
 
 def parse_errors(nodes: DataFrame) -> DataFrame:
