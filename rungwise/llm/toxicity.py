@@ -139,7 +139,7 @@ def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     counts = cut(rows.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("y0"), F.sum("toxic").alias("y1")))
     whole = counts.filter(~F.col("term").endswith("-")).agg(F.sum("y0"), F.sum("y1")).first()
     n0, n1 = (whole[0] or 0) + 1.0, (whole[1] or 0) + 1.0
-    prior = 0.01 * (n0 + n1)
+    prior = 0.1 * (n0 + n1)
     alpha = prior * (F.col("y0") + F.col("y1")) / (n0 + n1)
     odds = F.log((F.col("y1") + alpha) / (n1 + prior - F.col("y1") - alpha)) - F.log((F.col("y0") + alpha) / (n0 + prior - F.col("y0") - alpha))
     z = odds / F.sqrt(1 / (F.col("y1") + alpha) + 1 / (F.col("y0") + alpha))
