@@ -86,9 +86,10 @@ def search(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, query_ids:
     for q, own, seen, bound in zip(queries, queries @ way, query_ids, bounds, strict=True):
         boxes = tree.distances(own)
         best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
+        slack = 1e-9 * float(own @ own)  # copies of one vector may be projected a rounding apart
         for leaf in np.argsort(boxes, kind="stable"):
             worst = min(bound, best_d[k - 1] if len(best_d) >= k else np.inf)
-            if boxes[leaf] > reach * worst * worst:
+            if boxes[leaf] > reach * worst * worst + slack:
                 break
             rows = tree.leaves[leaf]
             rows = rows[ids[rows] != seen]
