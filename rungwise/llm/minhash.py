@@ -7,9 +7,10 @@
 3. Representatives that share a band key are candidates. A first pass proposes for each the least
    document it shares a key with. Classes that these
    confirmed links join need no further comparison, so a large group of near
-   copies costs a link per member. A second pass proposes every remaining
-   candidate pair, that is, of different components within a key.
-4. A proposed pair is estimated from the signatures by counting equal low bits,
+   copies costs a link per member. In a second pass all remaining candidate
+   pairs, that is, of different components within a key, meet in bounded blocks, which give
+   back only the links that join components, never the pairs.
+4. A candidate pair is estimated from the signatures by counting equal low bits,
    corrected for chance collisions; a pair well below the threshold is dropped,
    every other one is confirmed on the full sets.
 
@@ -173,36 +174,89 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "u long, v long")
 
 
-def proposals(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components that share a key and whose estimate is not below the threshold.
+SEATS = "key long, b int, c int, id long, root long, asks boolean"
 
-    members: key, id, root, sign. Per key, its most frequent root is the main
-    one. Every row has a home block; rows outside the main component also visit
-    all other blocks of the key. So two rows meet, in some block, unless both are of the main component, and
-    no block holds a whole large key.
+
+def seated(members: DataFrame) -> DataFrame:
+    """Places (key, b, c) at which rows of a key meet, from rows key, id, root.
+
+    Per key, its most frequent root is the main one. All rows are stored, by
+    home block b; rows outside the main component also ask, in chunks c. At place (b, c) the
+    askers of chunk c meet the rows stored in block b, so two rows meet unless
+    both are of the main component, and no place holds more than some 2 * BLOCK rows.
     """
     per_root = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    per_key = per_root.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main")).filter("roots > 1")
-    named = members.join(dealt_anew(per_key.select("key", "size", "main"), "key"), "key")
+    main = F.max(F.struct("n", "root"))
+    per_key = per_root.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("roots"), main.alias("main")).filter("roots > 1")
+    named = members.join(dealt_anew(per_key, "key"), "key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    chunks = F.ceil((F.col("size") - F.col("main.n")) / BLOCK).cast("int")
     home = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    named = named.withColumn("home", home).withColumn("visits", F.when(F.col("root") == F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), blocks - 1)))
-    seated = named.withColumn("block", F.explode("visits")).select("key", "block", "id", "root", "sign", (F.col("block") == F.col("home")).alias("here"), (F.col("root") != F.col("main")).alias("asks"))
+    chunk = F.pmod(F.xxhash64("id", F.lit(7)), chunks.cast("long")).cast("int")
+    stored = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.col("home").alias("b"), c.alias("c"), F.lit(False).alias("asks")))
+    asking = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(b.alias("b"), F.col("chunk").alias("c"), F.lit(True).alias("asks")))
+    places = F.when(F.col("root") == F.col("main.root"), stored).otherwise(F.concat(stored, asking))
+    named = named.withColumns({"home": home, "chunk": chunk}).withColumn("places", places)
+    return named.select("key", "id", "root", F.inline("places")).select("key", "b", "c", "id", "root", "asks")
+
+
+def table_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, roots and which rows are stored."""
+    return np.frombuffer(b"".join(pdf["sign"]), np.uint8).reshape(len(pdf), HASHES), pdf["root"].to_numpy().copy(), ~pdf["asks"].to_numpy(bool)
+
+
+def likely(members: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The seats of rows that have, at their place, a partner of another component whose estimate isn't below the threshold."""
     least = floor_of(percent / 100)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        signs = np.frombuffer(b"".join(pdf["sign"]), np.uint8).reshape(len(pdf), HASHES)
-        ids, roots = pdf["id"].to_numpy(), pdf["root"].to_numpy()
-        here = np.flatnonzero(pdf["here"].to_numpy())
-        us, vs = [], []
-        for k in np.flatnonzero(pdf["asks"].to_numpy()):
+        sign, roots, stored = table_of(pdf)
+        here, live = np.flatnonzero(stored), np.zeros(len(pdf), bool)
+        for k in np.flatnonzero(~stored):
             other = here[roots[here] != roots[k]]
-            good = other[estimate((signs[other] == signs[k]).sum(1)) >= least]
-            us.append(np.maximum(ids[good], ids[k]))
-            vs.append(np.minimum(ids[good], ids[k]))
-        return pd.DataFrame({"u": np.concatenate(us or [ids[:0]]), "v": np.concatenate(vs or [ids[:0]])})
+            good = other[estimate((sign[other] == sign[k]).sum(1)) >= least]
+            live[good] = True
+            live[k] |= len(good) > 0
+        return pdf.loc[live, ["key", "b", "c", "id", "root", "asks"]]
+
+    return seated(members).join(signs, "id").groupBy("key", "b", "c").applyInPandas(meet, SEATS)
 
-    return seated.groupBy("key", "block").applyInPandas(meet, "u long, v long").distinct()
+
+def settled(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v), confirmed on the full sets, that join the components which meet at a place: at most one for each component.
+
+    An inverted index over the place's shingles gives an asker's intersections with all
+    stored rows at once.
+    """
+    least = floor_of(percent / 100)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        sign, roots, stored = table_of(pdf)
+        ids, here = pdf["id"].to_numpy(), np.flatnonzero(stored)
+        sizes = np.array([len(h) // 8 for h in pdf["hashes"]])
+        _, dense = np.unique(np.frombuffer(b"".join(pdf["hashes"]), np.uint64), return_inverse=True)
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(pdf)), sizes)
+        order = np.argsort(dense, kind="stable")
+        posted = owner[order]
+        first = np.searchsorted(dense[order], np.arange(dense.max() + 2))
+        out = []
+        for k in np.flatnonzero(~stored):
+            other = here[roots[here] != roots[k]]
+            other = other[estimate((sign[other] == sign[k]).sum(1)) >= least]
+            if not len(other):
+                continue
+            mine = dense[ends[k] - sizes[k] : ends[k]]
+            start, length = first[mine], first[mine + 1] - first[mine]
+            spots = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+            both = np.bincount(posted[spots], minlength=len(pdf))[other]
+            linked = other[100 * both >= percent * (sizes[k] + sizes[other] - both)]
+            for j in linked[np.unique(roots[linked], return_index=True)[1]]:
+                out.append((max(ids[k], ids[j]), min(ids[k], ids[j])))
+                roots[roots == roots[j]] = roots[k]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return seats.join(sets, "id").groupBy("key", "b", "c").applyInPandas(meet, "u long, v long").distinct()
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,10 +285,9 @@ def near_duplicates(df: DataFrame, percent: int = 75, doc_id: str = "doc_id", te
     label = F.coalesce("root", "id").alias("root")
     labelled = seats.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label)
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    members = cut(labelled.join(dealt_anew(open_keys, "key"), "key")).join(classes.select("id", "sign"), "id")
-    tested = first.select("u", "v")
-    second = cut(proposals(members, percent).join(tested, ["u", "v"], "left_anti"))
-    links = links.union(confirmed(second, sets, percent))
+    members = cut(labelled.join(dealt_anew(open_keys, "key"), "key"))
+    seats = cut(likely(members, classes.select("id", "sign"), percent))
+    links = links.union(cut(settled(seats, sets, percent)))
     same = whole.join(classes.select("set_hash", "n", "id"), ["set_hash", "n"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u <> v")
     roots = components(links.union(same))
     docs = base.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
