@@ -15,13 +15,14 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t\n\r\x0b\x0c]+")
-#: Letters, digits and marks below U+0180 have had fixed classes and simple lower cases in all Unicode versions in use; U+0130 lowers to two characters.
+#: Marks that, after letters, are a pre-token of their own.
+_MARKS = b".,!?;:"
+#: Characters below U+0180 are composed, and have had fixed classes and simple lower cases in all Unicode versions in use; U+0130 lowers to two.
 _LATIN = re.compile("[\x21-\x7e¡-įı-ſ]+")
 
 
@@ -60,7 +61,7 @@ class ChunkCoder(dict):
     def __init__(self, path: str, limit: int = 600_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -69,6 +70,10 @@ class ChunkCoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # the same merges for words already cut out and spelt in byte letters
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for b, c in byte_letters().items() if b != 0x20 and chr(b) != c}
         self.width = 2 if max(vocab.values()) < 65536 and self.tokenizer.get_vocab_size() <= 65536 else 4
         self.limit = limit
         self.end = model["end_of_word_suffix"]
@@ -84,9 +89,15 @@ class ChunkCoder(dict):
 
     def merge_all(self, words: list[bytes]) -> None:
         """Merges pre-tokens that are no whole tokens, many in one call; a word's ids end at the first id with the word-end mark."""
-        step = 2000
-        texts = [b" ".join(words[k : k + step]).decode("utf-8") for k in range(0, len(words), step)]
-        for k, got in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        plain = [w for w in words if w.isalnum()]  # of bytes: ASCII letters and digits, which stand for themselves
+        self.merge_some(plain, None)
+        self.merge_some([w for w in words if not w.isalnum()], self.letters)
+
+    def merge_some(self, words: list[bytes], letters: dict[int, str] | None, step: int = 2000) -> None:
+        texts = [b" ".join(words[k : k + step]).decode("latin-1") for k in range(0, len(words), step)]
+        if letters:
+            texts = [t.translate(letters) for t in texts]
+        for k, got in enumerate(self.merger.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(got.ids, dtype=self.kind)
             ends = (np.flatnonzero(self.closes[ids]) + 1) * self.width
             data, start = ids.tobytes(), 0
@@ -96,14 +107,23 @@ class ChunkCoder(dict):
 
     def split(self, chunk: bytes) -> list[bytes] | None:
         """The chunk's pre-tokens, where fixed rules give them; else None, and the library encodes it whole."""
+        if chunk.isalpha():
+            return [chunk.lower()]
+        if chunk[-1] in _MARKS and chunk[:-1].isalpha():
+            return [chunk[:-1].lower(), chunk[-1:]]
         if b"<|" in chunk and any(s in chunk for s in self.special):
             return None
         if chunk.isascii():
             return _ASCII.findall(chunk.lower())
         text = chunk.decode("utf-8")
-        if _LATIN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
-            return [w.encode("utf-8") for w in self.latin.findall(text.lower())]
-        return None
+        if not _LATIN.fullmatch(text):
+            return None
+        text = text.lower()
+        if text.isalpha():
+            return [text.encode("utf-8")]
+        if chunk[-1] in _MARKS and text[:-1].isalpha():
+            return [text[:-1].encode("utf-8"), chunk[-1:]]
+        return [w.encode("utf-8") for w in self.latin.findall(text)]
 
     def learn(self, chunks: set[bytes]) -> None:
         if self and len(self) + len(chunks) > self.limit:
@@ -124,22 +144,22 @@ class ChunkCoder(dict):
         """The packed ids of each UTF-8 text; texts are taken together until they hold `most` bytes."""
         group, held = [], 0
         for text in texts:
-            group.append(text.split())
+            chunks = text.split()
+            group.append((chunks, list(map(self.get, chunks))))
             held += len(text)
             if held >= most:
                 yield from self.flush(group)
                 group, held = [], 0
         yield from self.flush(group)
 
-    def flush(self, group: list[list[bytes]]) -> Iterator[bytes]:
-        met = set().union(*group)
-        if new := met.difference(self):
+    def flush(self, group: list[tuple[list[bytes], list[bytes | None]]]) -> Iterator[bytes]:
+        """The texts' ids; chunks that were unknown when the text was read are worked out together."""
+        if new := {c for chunks, found in group if None in found for c, x in zip(chunks, found, strict=True) if x is None}:
             self.learn(new)
-            if not met <= self.keys():  # the memory started anew
-                self.learn(met.difference(self))
-        get = self.__getitem__
-        for chunks in group:
-            yield b"".join(map(get, chunks))
+        for chunks, found in group:
+            if None in found:
+                found = [self[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
+            yield b"".join(found)
 
 
 _coders: dict[str, ChunkCoder] = {}
