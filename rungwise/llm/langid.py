@@ -6,17 +6,17 @@ codeword with the least loss, each bit weighing by its classifier's accuracy, an
 whose two best codewords are close.
 
 The classifiers are fitted on a bounded sample of labelled rows: `per_lang`
-documents of each language, those with the least hash of their identifier, at most
-`most` in all. Everything is scored over whole texts.
+documents of each language, those with the least hash of their identifier, and
+about `most` in all. Everything is scored over whole texts.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +24,7 @@ from rungwise.llm.common import ship
 
 DIM_BITS = 14
 MIX = np.uint32(2654435761)
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def codewords(n: int) -> np.ndarray:
@@ -44,7 +45,7 @@ def codewords(n: int) -> np.ndarray:
 
 def letters(text: str) -> bytes:
     """Lower-cased letters, one space for each run of anything else, one at each end."""
-    return b" " + b" ".join(w.encode("utf-8") for w in re.findall(r"[^\W\d_]+", text.lower())) + b" "
+    return b" " + b" ".join(w.encode("utf-8") for w in _LETTERS.findall(text.lower())) + b" "
 
 
 def grams(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -116,16 +117,21 @@ class Codes:
         return self.langs[best], float(p[best]), near
 
 
-def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, most: int = 4000) -> Codes:
-    """Fits the codes on rows of non-null text and lang: `per_lang` of each language, `most` at the utmost."""
+def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, most: int = 4000, langs: int = 1000) -> Codes:
+    """Fits the codes on rows of non-null text and lang: `per_lang` of each language, fewer if that makes more than `most` in all.
+
+    The `langs` most frequent languages are learnt. A language's rows are those of least hash; all
+    but about twice as many fall to a filter, so whole texts aren't shuffled.
+    """
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.lit(5)).alias("h"))
-    # a language's rows below the hash that leaves about twice per_lang of them
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * per_lang + 64) / F.col("n"))
-    near = rows.join(sizes, "lang").filter((F.col("h").cast("double") / 2.0**64 + 0.5) <= share)
-    best = near.groupBy("lang").agg(F.expr(f"slice(array_sort(collect_list(struct(h, text))), 1, {per_lang})").alias("few"))
-    got = best.orderBy("lang").limit(max(1, most // per_lang)).collect()
-    pairs = [(x["text"], r["lang"]) for r in got for x in r["few"]]
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+    if not sizes:
+        return Codes.fit([], [])
+    each = max(1, min(per_lang, most // len(sizes)))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, (2.0 * each + 64) / r["n"]))])
+    near = rows.filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.element_at(share, F.col("lang")))
+    best = near.groupBy("lang").agg(F.expr(f"slice(array_sort(collect_list(struct(h, text))), 1, {each})").alias("few"))
+    pairs = [(x["text"], r["lang"]) for r in best.orderBy("lang").collect() for x in r["few"]]
     return Codes.fit([t for t, _ in pairs], [v for _, v in pairs])
 
 
