@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,63 +199,98 @@ def seated(members: DataFrame) -> DataFrame:
     return named.select("key", "id", "root", F.inline("places")).select("key", "b", "c", "id", "root", "asks")
 
 
-def table_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, roots and which rows are stored."""
-    return np.frombuffer(b"".join(pdf["sign"]), np.uint8).reshape(len(pdf), HASHES), pdf["root"].to_numpy().copy(), ~pdf["asks"].to_numpy(bool)
+PLACE = ["key", "b", "c"]
+
+
+def at_places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of rows sorted by place, with the bounds of the places that are complete in each; a place cut by a batch's end waits for the next."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if rest is None else pa.concat_tables([rest, rows])).combine_chunks()
+        if rows.num_rows:
+            new = np.zeros(rows.num_rows - 1, bool)
+            for name in PLACE:
+                x = rows.column(name).to_numpy()
+                new |= x[1:] != x[:-1]
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            yield rows, list(zip(starts[:-1], starts[1:], strict=True))
+            rest = rows.slice(starts[-1])
+    if rest is not None:
+        yield rest.combine_chunks(), [(0, rest.num_rows)]
+
+
+def sorted_places(seats: DataFrame) -> DataFrame:
+    return seats.repartition(*PLACE).sortWithinPartitions(*PLACE)
+
+
+def columns_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Identifiers, roots (to be changed), which rows ask, and signatures."""
+    sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(rows.num_rows, HASHES)
+    return rows.column("id").to_numpy(), rows.column("root").to_numpy().copy(), rows.column("asks").to_numpy(), sign
 
 
 def likely(members: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """The seats of rows that have, at their place, a partner of another component whose estimate isn't below the threshold."""
     least = floor_of(percent / 100)
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        sign, roots, stored = table_of(pdf)
-        here, live = np.flatnonzero(stored), np.zeros(len(pdf), bool)
-        for k in np.flatnonzero(~stored):
-            other = here[roots[here] != roots[k]]
-            good = other[estimate((sign[other] == sign[k]).sum(1)) >= least]
-            live[good] = True
-            live[k] |= len(good) > 0
-        return pdf.loc[live, ["key", "b", "c", "id", "root", "asks"]]
-
-    return seated(members).join(signs, "id").groupBy("key", "b", "c").applyInPandas(meet, SEATS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in at_places(batches):
+            _, roots, asks, sign = columns_of(rows)
+            live = np.zeros(rows.num_rows, bool)
+            for s, e in bounds:
+                here = s + np.flatnonzero(~asks[s:e])
+                for k in s + np.flatnonzero(asks[s:e]):
+                    other = here[roots[here] != roots[k]]
+                    good = other[estimate((sign[other] == sign[k]).sum(1)) >= least]
+                    live[good] = True
+                    live[k] |= len(good) > 0
+            yield from rows.select(["key", "b", "c", "id", "root", "asks"]).filter(pa.array(live)).combine_chunks().to_batches()
+
+    return sorted_places(seated(members).join(signs, "id").select("key", "b", "c", "id", "root", "asks", "sign")).mapInArrow(run, SEATS)
+
+
+def linked(ids: np.ndarray, roots: np.ndarray, asks: np.ndarray, sign: np.ndarray, hashes: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Confirmed links between the components at one place, at most one for each component.
+
+    An inverted index over the place's shingles gives an asker's intersections
+    with all stored rows at once.
+    """
+    least, here, out = floor_of(percent / 100), np.flatnonzero(~asks), []
+    sizes = np.array([len(h) // 8 for h in hashes])
+    _, dense = np.unique(np.frombuffer(b"".join(hashes), np.uint64), return_inverse=True)
+    ends = np.cumsum(sizes)
+    order = np.argsort(dense, kind="stable")
+    posted = np.repeat(np.arange(len(ids)), sizes)[order]
+    first = np.searchsorted(dense[order], np.arange(dense.max() + 2))
+    for k in np.flatnonzero(asks):
+        other = here[roots[here] != roots[k]]
+        other = other[estimate((sign[other] == sign[k]).sum(1)) >= least]
+        if not len(other):
+            continue
+        mine = dense[ends[k] - sizes[k] : ends[k]]
+        start, length = first[mine], first[mine + 1] - first[mine]
+        spots = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+        both = np.bincount(posted[spots], minlength=len(ids))[other]
+        good = other[100 * both >= percent * (sizes[k] + sizes[other] - both)]
+        for j in good[np.unique(roots[good], return_index=True)[1]]:
+            out.append((int(max(ids[k], ids[j])), int(min(ids[k], ids[j]))))
+            roots[roots == roots[j]] = roots[k]
+    return out
 
 
 def settled(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v), confirmed on the full sets, that join the components which meet at a place: at most one for each component.
-
-    An inverted index over the place's shingles gives an asker's intersections with all
-    stored rows at once.
-    """
-    least = floor_of(percent / 100)
+    """Links (u, v), confirmed on the full sets, that join the components which meet at a place."""
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        sign, roots, stored = table_of(pdf)
-        ids, here = pdf["id"].to_numpy(), np.flatnonzero(stored)
-        sizes = np.array([len(h) // 8 for h in pdf["hashes"]])
-        _, dense = np.unique(np.frombuffer(b"".join(pdf["hashes"]), np.uint64), return_inverse=True)
-        ends = np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(pdf)), sizes)
-        order = np.argsort(dense, kind="stable")
-        posted = owner[order]
-        first = np.searchsorted(dense[order], np.arange(dense.max() + 2))
-        out = []
-        for k in np.flatnonzero(~stored):
-            other = here[roots[here] != roots[k]]
-            other = other[estimate((sign[other] == sign[k]).sum(1)) >= least]
-            if not len(other):
-                continue
-            mine = dense[ends[k] - sizes[k] : ends[k]]
-            start, length = first[mine], first[mine + 1] - first[mine]
-            spots = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-            both = np.bincount(posted[spots], minlength=len(pdf))[other]
-            linked = other[100 * both >= percent * (sizes[k] + sizes[other] - both)]
-            for j in linked[np.unique(roots[linked], return_index=True)[1]]:
-                out.append((max(ids[k], ids[j]), min(ids[k], ids[j])))
-                roots[roots == roots[j]] = roots[k]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    return seats.join(sets, "id").groupBy("key", "b", "c").applyInPandas(meet, "u long, v long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in at_places(batches):
+            columns = columns_of(rows)
+            hashes, out = rows.column("hashes").to_pylist(), []
+            for s, e in bounds:
+                out += linked(*(x[s:e] for x in columns), hashes[s:e], percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return sorted_places(seats.join(sets, "id").select("key", "b", "c", "id", "root", "asks", "sign", "hashes")).mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
