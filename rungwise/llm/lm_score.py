@@ -7,13 +7,20 @@ three bytes; the end of a text is a class of its own). Its features are hashed:
 (skip) and both together, each an index into one weight table. It is trained by
 gradient steps that all partitions take at once over all their training tokens; their weights are then
 averaged, each weighing by its tokens, in a tree of bounded groups. The
-second factor is the class's own word distribution with one count added to every
-word and one for the unknown, so the whole sums to one.
+second factor depends on the word before as well:
+
+    P(word | class, before) = (c(before, word) + L * p) / (c(before, class) + L)
+
+p is the class's own word distribution with one count added to every word and one
+for the unknown, so the whole sums to one. L is the one of STRENGTHS under which the
+training texts are likeliest, each token left out of its own counts. In logarithms
+this is p, a term of (before, class) and one of (before, word), so words, classes and pairs
+are looked up each by its own key in one join; the counts grow with the corpus and stay spread out.
 
 Counts are exact and over all training texts. Words that make up at least one part in
 HEAVY of all tokens (at most HEAVY words, by arithmetic) are sent to every
-worker; all others are looked up by a join, where no word can be frequent. Words are
-told apart by a 64-bit hash.
+worker; all others are looked up by a join, where no word can be frequent. Words and
+pairs are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -38,6 +45,8 @@ HEAVY = 1 << 20
 STEP, RATE = 2048, 0.1
 #: Weights of so many partitions, or earlier averages, meet in one group; the table is cut into so many parts.
 FAN, PARTS = 32, 16
+#: What the word before may weigh against: so many tokens' worth of the class's own distribution.
+STRENGTHS = tuple(4.0**k for k in range(-1, 11))
 
 
 class Lexicon(dict):
@@ -94,6 +103,29 @@ def histories(features: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return a.astype(np.uint16), b.astype(np.uint16), c.astype(np.uint16)
 
 
+def before(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of the word before every token; 1 at a text's start."""
+    out = np.concatenate([np.ones(1, np.uint64), hashes[:-1]])
+    out[np.cumsum(sizes) - sizes] = 1
+    return out
+
+
+def paired(one: np.ndarray, two: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit keys of pairs; each salt gives keys of a kind of its own."""
+    x = one + np.uint64(salt)
+    for more in (two, np.uint64(0)):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = (x ^ (x >> np.uint64(31))) + more * np.uint64(0x9E3779B97F4A7C15)
+    return x
+
+
+def keys_of(hashes: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (word before, word) and (word before, class) for every token."""
+    own = before(hashes, sizes)
+    return paired(own, hashes, 0x51ED270B), paired(own, classes.astype(np.uint64), 0x2545F491)
+
+
 _ONES = np.ones(CLASSES, np.float32)
 
 
@@ -191,6 +223,39 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "h long, class int, n long").groupBy("h", "class").agg(F.sum("n").alias("c"))
 
 
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """pair, h, context, c of every (word before, word) of rows (text binary); h is the word, context the key of (word before, class)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _lexicon
+        for batch in batches:
+            tokens, sizes = own.read(batch.column(0))
+            hashes = np.array(own.hashes)[tokens]
+            pairs, contexts = keys_of(hashes, np.array(own.classes)[tokens], sizes)
+            pairs, at, n = np.unique(pairs, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (pairs, hashes[at], contexts[at], n)], names=["pair", "h", "context", "n"])
+
+    return rows.mapInArrow(run, "pair long, h long, context long, n long").groupBy("pair", "h", "context").agg(F.sum("n").alias("c"))
+
+
+def pair_terms(pairs: DataFrame, counts: DataFrame, sizes: np.ndarray, total: int) -> DataFrame:
+    """h, v: what the word before adds to log10 P(word | class), by the key of (before, word) and of (before, class). sizes: words and counts and one, by class."""
+    size = F.element_at(F.array(*[F.lit(float(x)) for x in sizes]), F.col("class") + 1)
+    # p, and p with one token of the word left out
+    priced = counts.select("h", ((F.col("c") + 1) / size).alias("p"), (F.col("c") / (size - 1)).alias("less"), (F.col("c") * HEAVY >= max(1, total)).alias("heavy"))
+    heavy = priced.filter("heavy").select("h", F.struct("p", "less").alias("own"))
+    light = priced.filter("not heavy").select(F.col("h").alias("key"), F.struct("p", "less").alias("far"))
+    # pairs of a heavy word don't gather at it in the second join
+    met = pairs.join(F.broadcast(heavy), "h", "left").withColumn("key", F.when(F.col("own").isNull(), F.col("h")).otherwise(F.col("pair"))).join(light, "key", "left")
+    known = cut(met.select("pair", "c", F.coalesce("own", "far").alias("w")).select("pair", "c", "w.p", "w.less"))
+    contexts = cut(pairs.groupBy("context").agg(F.sum("c").alias("c")))
+    gain = known.agg(*[F.sum(F.col("c") * F.log10((F.col("c") - 1) + x * F.col("less"))) for x in STRENGTHS]).first()
+    loss = contexts.agg(*[F.sum(F.col("c") * F.log10((F.col("c") - 1) + x)) for x in STRENGTHS]).first()
+    best = max(zip(STRENGTHS, gain, loss, strict=True), key=lambda x: (x[1] or 0.0) - (x[2] or 0.0))[0]
+    words = known.select(F.col("pair").alias("h"), F.log10(1 + F.col("c") / (best * F.col("p"))).alias("v"))
+    return words.unionAll(contexts.select(F.col("context").alias("h"), F.log10(best / (F.col("c") + best)).alias("v")))
+
+
 def trained(rows: DataFrame, bias: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
     """The average of what all partitions of rows (part, text) learn in one pass."""
     held = rows.sparkSession.sparkContext.broadcast((bias, weights))
@@ -271,28 +336,31 @@ def score(df: DataFrame, training: Column, rounds: int = 1, doc_id: str = "doc_i
             row = batch.column(0).to_numpy()
             docs = pa.StructArray.from_arrays([batch.column(1), pa.array(sizes), pa.array(known), pa.array(logs), pa.array(rest)], fields=list(payload))
             yield pa.RecordBatch.from_arrays([pa.array(~row), pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1), pa.int32()), pa.array(row)), docs], names=["h", "rows", "doc"])
-            # the other words: one row for each, with the rows it stands in
-            far = np.flatnonzero(mine == 0)
-            order = far[np.argsort(tokens[far], kind="stable")]
-            if len(order):
-                which = tokens[order]
+            # the other words, and all pairs: one row for each, with the rows it stands in
+            at = row[np.repeat(np.arange(len(sizes)), sizes)]
+            far = mine == 0
+            for which, place in ((hashes[tokens[far]], at[far]), *((x, at) for x in keys_of(hashes[tokens], np.array(lexicon.classes)[tokens], sizes))):
+                if not len(which):
+                    continue
+                order = np.argsort(which, kind="stable")
+                which = which[order]
                 begin = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-                at = row[np.repeat(np.arange(len(sizes)), sizes)][order]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)), pa.int32()), pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[which[begin]].view(np.int64)), lists, pa.nulls(len(begin), payload)], names=["h", "rows", "doc"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)), pa.int32()), pa.array(place[order]))
+                yield pa.RecordBatch.from_arrays([pa.array(which[begin].view(np.int64)), lists, pa.nulls(len(begin), payload)], names=["h", "rows", "doc"])
 
     kind = "h long, rows array<long>, doc struct<doc_id: long, n_tokens: long, known: long, counts: double, rest: double>"
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), body)
-    light = counts.filter(F.col("c") * HEAVY < max(1, total)).select("h", "c")
-    looked = rows.mapInArrow(run, kind).join(light, "h", "left")
-    # a row for a text has its figures, a row for a word the word's count
-    each = looked.select(F.explode("rows").alias("row"), "doc", F.when(F.col("doc").isNull(), F.coalesce("c", F.lit(0))).alias("c"))
+    light = counts.filter(F.col("c") * HEAVY < max(1, total)).select("h", "c", F.lit(None).cast("double").alias("v"))
+    terms = pair_terms(cut(pair_counts(learning.select("text"))), counts, n + v + 1, total).select("h", F.lit(None).cast("long").alias("c"), "v")
+    looked = rows.mapInArrow(run, kind).join(light.unionAll(terms), "h", "left")
+    # a row for a text has its figures, a row for a word the word's count, a row for a pair its term
+    each = looked.select(F.explode("rows").alias("row"), "doc", F.when(F.col("doc").isNull(), F.coalesce("c", F.lit(0))).alias("c"), "v")
     summed = each.groupBy("row").agg(
         F.max("doc.doc_id").alias("doc_id"),
         F.sum("doc.n_tokens").alias("n_tokens"),
         (F.sum("doc.known") + F.count(F.when(F.col("c") > 0, 1))).alias("n_known"),
         (F.sum("doc.counts") + F.coalesce(F.sum(F.log10(F.col("c") + 1)), F.lit(0.0))).alias("logs"),
-        F.sum("doc.rest").alias("rest"),
+        (F.sum("doc.rest") + F.coalesce(F.sum("v"), F.lit(0.0))).alias("rest"),
     )
     return summed.select(
         "doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
