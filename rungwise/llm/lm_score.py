@@ -6,7 +6,8 @@ The first factor is a softmax over CLASSES word classes (a hash of a word's last
 three bytes; the end of a text is a class of its own). Its features are hashed: the word before (n-gram), the word before that
 (skip) and both together, each an index into one weight table. It is trained by
 gradient steps that all partitions take at once over all their training tokens; their weights are then
-averaged, each weighing by its tokens, in a tree of bounded groups. The
+averaged, each weighing by its tokens, in a tree of bounded groups, and all partitions go on
+from the average until a round makes the training tokens likelier by less than ENOUGH. The
 second factor depends on the word before as well:
 
     P(word | class, before) = (c(before, word) + L * p) / (c(before, class) + L)
@@ -45,6 +46,8 @@ HEAVY = 1 << 20
 STEP, RATE = 2048, 0.1
 #: Weights of so many partitions, or earlier averages, meet in one group; the table is cut into so many parts.
 FAN, PARTS = 32, 16
+#: Nats a training token.
+ENOUGH = 0.05
 #: What the word before may weigh against: so many tokens' worth of the class's own distribution.
 STRENGTHS = tuple(4.0**k for k in range(-1, 11))
 
@@ -157,11 +160,11 @@ class Work:
 class Trainer:
     """Gradient steps on one partition's tokens, each row of the table with a rate of its own that falls with the gradients it has met."""
 
-    def __init__(self, bias: np.ndarray, weights: np.ndarray | None = None):
+    def __init__(self, bias: np.ndarray, weights: np.ndarray | None = None, past: np.ndarray | None = None):
         self.bias = bias
         self.weights = np.zeros((ROWS, CLASSES), np.float32) if weights is None else weights.copy()
-        self.past = np.full(ROWS, 0.1, np.float32)
-        self.tokens = 0
+        self.past = np.full(ROWS, 0.1, np.float32) if past is None else past.copy()
+        self.tokens, self.loss = 0, 0.0
         self.work = Work()
 
     def learn(self, y: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
@@ -169,7 +172,9 @@ class Trainer:
             own = [x[k : k + STEP] for x in (a, b, c)]
             n = len(own[0])
             d = self.work.softmax(self.weights, self.bias, *own)
-            d[np.arange(n), y[k : k + STEP]] -= 1
+            at = np.arange(n), y[k : k + STEP]
+            self.loss -= float(np.log(np.maximum(d[at], 1e-30)).sum())
+            d[at] -= 1
             rows = np.concatenate(own)
             order = np.argsort(rows, kind="stable")
             rows = rows[order]
@@ -256,9 +261,9 @@ def pair_terms(pairs: DataFrame, counts: DataFrame, sizes: np.ndarray, total: in
     return words.unionAll(contexts.select(F.col("context").alias("h"), F.log10(best / (F.col("c") + best)).alias("v")))
 
 
-def trained(rows: DataFrame, bias: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
-    """The average of what all partitions of rows (part, text) learn in one pass."""
-    held = rows.sparkSession.sparkContext.broadcast((bias, weights))
+def trained(rows: DataFrame, bias: np.ndarray, weights: np.ndarray | None, past: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, float]:
+    """The average of what all partitions of rows (part, text) learn in one pass from weights and past, and the loss a token met on the way."""
+    held = rows.sparkSession.sparkContext.broadcast((bias, weights, past))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, trainer, part = _lexicon, Trainer(*held.value), 0
@@ -269,15 +274,15 @@ def trained(rows: DataFrame, bias: np.ndarray, weights: np.ndarray | None) -> np
             tokens, sizes = own.read(batch.column(1))
             trainer.learn(np.array(own.classes)[tokens], *histories(np.array(own.features)[tokens], sizes))
         if trainer.tokens:
-            cuts = np.array_split(trainer.weights, PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([trainer.tokens] * PARTS, pa.int64()), pa.array([x.tobytes() for x in cuts], pa.binary())], names=["part", "cut", "tokens", "data"])
+            cuts = np.array_split(np.column_stack([trainer.weights, trainer.past]), PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([trainer.tokens] * PARTS, pa.int64()), pa.array([trainer.loss] * PARTS, pa.float64()), pa.array([x.tobytes() for x in cuts], pa.binary())], names=["part", "cut", "tokens", "loss", "data"])
 
     def average(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         n = group["tokens"].sum()
         total = sum(np.frombuffer(d, np.float32) * np.float32(t / n) for d, t in zip(group["data"], group["tokens"], strict=True))
-        return pd.DataFrame({"part": [key[0]], "cut": [key[1]], "tokens": [n], "data": [total.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"part": [key[0]], "cut": [key[1]], "tokens": [n], "loss": [group["loss"].sum()], "data": [total.astype(np.float32).tobytes()]})
 
-    kind = "part long, cut int, tokens long, data binary"
+    kind = "part long, cut int, tokens long, loss double, data binary"
     level = cut(rows.mapInArrow(run, kind))
     most = level.agg(F.max("part")).first()[0] or 0
     while True:
@@ -285,19 +290,32 @@ def trained(rows: DataFrame, bias: np.ndarray, weights: np.ndarray | None) -> np
         if most < FAN:
             break
         most //= FAN
-    got = {r["cut"]: np.frombuffer(r["data"], np.float32) for r in level.collect()}
+    got = {r["cut"]: r for r in level.collect()}
     if not got:
-        return np.zeros((ROWS, CLASSES), np.float32)
-    return np.concatenate([got[k] for k in range(PARTS)]).reshape(ROWS, CLASSES)
+        return np.zeros((ROWS, CLASSES), np.float32), None, 0.0
+    both = np.concatenate([np.frombuffer(got[k]["data"], np.float32) for k in range(PARTS)]).reshape(ROWS, CLASSES + 1)
+    return both[:, :CLASSES].copy(), both[:, CLASSES].copy(), got[0]["loss"] / got[0]["tokens"]
+
+
+def settled(rows: DataFrame, bias: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, list[float]]:
+    """Weights after as many rounds as pay, `rounds` at most if given, and each round's loss a token."""
+    weights = past = None
+    losses: list[float] = []
+    while len(losses) != rounds and (len(losses) < 2 or losses[-2] - losses[-1] >= ENOUGH):
+        weights, past, loss = trained(rows, bias, weights, past)
+        losses.append(loss)
+        if past is None:
+            break
+    return np.zeros((ROWS, CLASSES), np.float32) if weights is None else weights, losses
 
 
-def score(df: DataFrame, training: Column, rounds: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(df: DataFrame, training: Column, rounds: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; the model learns from the rows where `training` is true.
 
     Texts are lower-cased (A-Z) and split at ASCII white space; the end of the
     text is a token. Null counts as empty: one token. base_score is the sum
     over tokens of log10((c + 1) / (N + V + 1)), score the model's log10 probability
-    of the text. Repeated rows and null identifiers are scored row by row. An empty table gives
+    of the text. Training goes on while it pays, for `rounds` rounds at most if given. Repeated rows and null identifiers are scored row by row. An empty table gives
     no rows; without training rows every word is unknown.
     """
     spark = ship(df.sparkSession)
@@ -314,9 +332,7 @@ def score(df: DataFrame, training: Column, rounds: int = 1, doc_id: str = "doc_i
     heavy = counts.filter(F.col("c") * HEAVY >= max(1, total)).select("h", "c").toPandas()  # HEAVY rows at most
     keys = heavy["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    weights = None
-    for _ in range(rounds):
-        weights = trained(learning, bias, weights)
+    weights, _ = settled(learning, bias, rounds)
     model = spark.sparkContext.broadcast(Model(weights, bias, np.log10(n + v + 1), (keys[order], heavy["c"].to_numpy(np.int64)[order])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,3 +56,13 @@ def test_many_words_each_follow_their_own(spark):
     rows = [(i, t) for i, t in enumerate(texts * 4)] + [(10_000, texts[5])]
     got = {x.doc_id: x.score / x.n_tokens for x in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 10_000).filter("doc_id = 10000").collect()}
     assert got[10_000] > -2.5
+
+
+def test_training_goes_on_from_the_average_while_it_pays(spark):
+    rows = spark.range(4000).select((F.col("id") % 40).alias("part"), F.concat_ws(" ", F.lit("a b"), F.expr("concat('c', id % 5)"), F.expr("concat('d', id % 5)")).cast("binary").alias("text")).repartition(40, "part")
+    flat = np.zeros(lm_score.CLASSES, np.float32)
+    _, losses = lm_score.settled(rows, flat)
+    gains = [a - b for a, b in zip(losses, losses[1:], strict=False)]
+    assert len(losses) > 2 and gains[0] > 0.3 and all(g >= lm_score.ENOUGH for g in gains[:-1]) and gains[-1] < lm_score.ENOUGH
+    assert len(lm_score.settled(rows, flat, 1)[1]) == 1
+    assert len(lm_score.settled(rows.limit(0), flat)[1]) == 1
