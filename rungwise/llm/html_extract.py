@@ -6,7 +6,7 @@ The length of every window of `WINDOW` lines is the line-block
 distribution. Text surges where a window first holds some after a gap and dives
 where the windows fall back to nothing; what lies between a surge and
 its dive is kept if it is the page's article, or, on a page that marks none, if it carries a fair part
-of the page's text and is not mostly links.
+of the page's text and is not mostly links. There, text that goes on in the same container after a gap is of one piece with the text before it.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 DROPPED = frozenset("head nav footer aside form button select option script style noscript template iframe object canvas svg math textarea title dialog menu noembed noframes datalist audio video map".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "html", "body", "legend", "summary"}
+#: Elements that hold text of their own; all others pass theirs on to the one around them.
+HOLDERS = frozenset("div td th center fieldset details figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -43,7 +45,7 @@ HINTS = frozenset(
     "comment comments commentlist respond replies reply discussion disqus share sharing social related recommended recommendations trending skip search contentinfo complementary dialog tags toc".split()
 )
 
-Line = tuple[str, int, bool]  # text, characters inside links, whether the article holds it
+Line = tuple[str, int, bool, int]  # text, characters inside links, whether the article holds it, number of its container
 
 
 def _hinted(attributes: str) -> bool:
@@ -59,24 +61,27 @@ def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each drops its content
     text: list[str] = []
-    state = {"dropped": 0, "article": 0, "links": 0, "header": 0, "heading": 0, "linked": 0}
+    holders: list[tuple[int, int]] = []  # open containers: depth, number
+    state = {"dropped": 0, "article": 0, "links": 0, "header": 0, "heading": 0, "linked": 0, "held": 0, "holder": 0}
 
     def say(piece: str) -> None:
         if piece and not state["dropped"] and (not state["header"] or state["heading"]):
             piece = html.unescape(piece)
+            if not text or not "".join(text).strip():
+                state["held"] = holders[-1][1] if holders else 0
             text.append(piece)
             state["linked"] += len(piece) * bool(state["links"])
 
     def end_line() -> None:
         body = " ".join("".join(text).split())
         if body:
-            out.append((body, min(len(body), state["linked"]), state["article"] > 0))
+            out.append((body, min(len(body), state["linked"]), state["article"] > 0, state["held"]))
         text.clear()
         state["linked"] = 0
 
     def gap() -> None:
         end_line()
-        out.extend([("", 0, False)] * WINDOW)
+        out.extend([("", 0, False, 0)] * WINDOW)
 
     def step(name: str, drops: bool, by: int) -> None:
         state["dropped"] += by * drops
@@ -88,6 +93,8 @@ def lines_of(page: str) -> list[Line]:
     def close(depth: int) -> None:
         while len(stack) > depth:
             name, drops = stack.pop()
+            if holders and holders[-1][0] == len(stack):
+                holders.pop()
             border = name in ("article", "main") or drops
             if name in BLOCKS:
                 end_line()
@@ -137,6 +144,9 @@ def lines_of(page: str) -> list[Line]:
         drops = name in DROPPED or (name not in ("html", "body", "article", "main", *HEADINGS) and bool(rest) and _hinted(rest)) or (name == "header" and not state["article"])
         if (drops or name in ("article", "main")) and not state["dropped"] and not state["article"]:
             gap()
+        if name in HOLDERS:
+            state["holder"] += 1
+            holders.append((len(stack), state["holder"]))
         stack.append((name, drops))
         step(name, drops, 1)
         if name in RAW:
@@ -149,7 +159,7 @@ def lines_of(page: str) -> list[Line]:
 
 def regions(lines: list[Line]) -> list[tuple[int, int]]:
     """(surge, dive) of every stretch over which the line-block distribution stays above nothing."""
-    sizes = np.array([len(t) for t, _, _ in lines], np.int64)
+    sizes = np.array([len(t) for t, *_ in lines], np.int64)
     if not sizes.any():
         return []
     total = np.concatenate([[0], np.cumsum(sizes)])
@@ -165,15 +175,22 @@ def main_text(page: str | None) -> str:
     found = []
     for a, b in regions(lines):
         kept = [x for x in lines[a:b] if x[0]]
-        size = sum(len(t) for t, _, _ in kept)
-        found.append((kept, size, sum(n for _, n, _ in kept) / max(1, size), any(inside for _, _, inside in kept)))
+        size = sum(len(t) for t, *_ in kept)
+        found.append((kept, size, sum(n for _, n, *_ in kept) / max(1, size), any(x[2] for x in kept)))
     if marked := [x for x in found if x[3]]:
         chosen = marked
     else:
         plain = [x for x in found if x[2] <= 0.5] or found
-        most = max((x[1] for x in plain), default=0)
-        chosen = [x for x in plain if x[1] >= FAIR * most]
-    return " ".join(t for kept, *_ in chosen for t, _, _ in kept)
+        runs: list[list] = []  # lines, length
+        for kept, size, *_ in plain:
+            if runs and runs[-1][0][-1][3] == kept[0][3]:
+                runs[-1][0].extend(kept)
+                runs[-1][1] += size
+            else:
+                runs.append([list(kept), size])
+        most = max((x[1] for x in runs), default=0)
+        chosen = [x for x in runs if x[1] >= FAIR * most]
+    return " ".join(x[0] for kept, *_ in chosen for x in kept)
 
 
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
