@@ -7,7 +7,7 @@ whose two best codewords are close.
 
 The classifiers are fitted on a bounded sample of labelled rows: `per_lang`
 documents of each language, those with the least hash of their identifier, and
-about `most` in all. Everything is scored over whole texts.
+about `most` in all, one of each language at least. Everything is scored over whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import ship
+from rungwise.llm.common import cut, ship
 
 DIM_BITS = 14
 MIX = np.uint32(2654435761)
@@ -37,12 +37,22 @@ def codewords(n: int) -> np.ndarray:
     best, far = None, -1
     for seed in range(64):
         code = np.random.default_rng(seed).integers(0, 2, (n, max(15, 5 * int(np.ceil(np.log2(n)))))) * 2 - 1
-        gap = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        gap = closest(code)
         if gap > far and (np.abs(code.sum(0)) < n).all():
             best, far = code, gap
     return best.astype(np.float32)
 
 
+def closest(code: np.ndarray) -> int:
+    """Bits in which the two nearest rows differ."""
+    code, gap = code.astype(np.float32), code.shape[1]
+    for k in range(0, len(code), 1000):
+        alike = code[k : k + 1000] @ code.T
+        alike[np.arange(len(alike)), np.arange(k, k + len(alike))] = -code.shape[1]
+        gap = min(gap, int(round((code.shape[1] - float(alike.max())) / 2)))
+    return gap
+
+
 def letters(text: str) -> bytes:
     """Lower-cased letters, one space for each run of anything else, one at each end."""
     return b" " + b" ".join(w.encode("utf-8") for w in _LETTERS.findall(text.lower())) + b" "
@@ -117,19 +127,20 @@ class Codes:
         return self.langs[best], float(p[best]), near
 
 
-def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, most: int = 4000, langs: int = 1000) -> Codes:
+def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, most: int = 4000) -> Codes:
     """Fits the codes on rows of non-null text and lang: `per_lang` of each language, fewer if that makes more than `most` in all.
 
-    The `langs` most frequent languages are learnt. A language's rows are those of least hash; all
+    Every language is learnt, of one row at least. A language's rows are those of least hash; all
     but about twice as many fall to a filter, so whole texts aren't shuffled.
     """
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.lit(5)).alias("h"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
-    if not sizes:
+    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    found = sizes.count()
+    if not found:
         return Codes.fit([], [])
-    each = max(1, min(per_lang, most // len(sizes)))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, (2.0 * each + 64) / r["n"]))])
-    near = rows.filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.element_at(share, F.col("lang")))
+    each = max(1, min(per_lang, most // found))
+    share = sizes.select("lang", F.least(F.lit(1.0), (2.0 * each + 64) / F.col("n")).alias("share"))
+    near = rows.join(F.broadcast(share), "lang").filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
     best = near.groupBy("lang").agg(F.expr(f"slice(array_sort(collect_list(struct(h, text))), 1, {each})").alias("few"))
     pairs = [(x["text"], r["lang"]) for r in best.orderBy("lang").collect() for x in r["few"]]
     return Codes.fit([t for t, _ in pairs], [v for _, v in pairs])
