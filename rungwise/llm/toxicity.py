@@ -162,15 +162,21 @@ def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         own = held.value
         for batch in batches:
             found = [own.segments(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([sorted((s for _, _, s in x), reverse=True)[:50] for _, x in found], pa.list_(pa.float64()))], names=["toxic", "n", "best"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for _, _, s in x] for _, x in found], pa.list_(pa.float64()))], names=["toxic", "n", "segments"])
 
-    fitted = rows.mapInArrow(segment, "toxic int, n long, best array<double>").collect()
-    clean = [(r["n"], max(r["best"], default=0.0)) for r in fitted if r["toxic"] == 0 and r["n"]]
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = calibrated.value
+        for batch in batches:
+            found = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.evidence(n, [(0, 0, s) for s in x]) for n, x in found], pa.float64())], names=["toxic", "evidence"])
+
+    segmented = cut(rows.mapInArrow(segment, "toxic int, n long, segments array<double>"))
+    clean = [(r["n"], r["best"] or 0.0) for r in segmented.filter("toxic = 0 and n > 0").select("n", F.array_max("segments").alias("best")).collect()]
     if clean:
         model.k = max(1e-6, len(clean) / sum(n * math.exp(-model.lam * m) for n, m in clean))
-    x = np.array([min(60.0, model.evidence(r["n"], [(0, 0, s) for s in r["best"]])) for r in fitted])
+    calibrated = spark.sparkContext.broadcast(model)
+    fitted = segmented.mapInArrow(weigh, "toxic int, evidence double").collect()
+    x = np.array([min(60.0, r["evidence"]) for r in fitted])
     y = np.array([float(r["toxic"]) for r in fitted])
     model.curve = logistic(x, y, [share.get(0, 0), share.get(1, 0)])
     return model
