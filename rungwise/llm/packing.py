@@ -48,7 +48,7 @@ def tokenized(df: DataFrame, vocabulary: str, end_id: int, doc_id: str, text: st
             names = queue.to_pylist()
             step = 512  # rows whose ids are held at once
             for k in range(0, batch.num_rows, step):
-                packed = [x + mark for x in own.encode(texts.slice(k, step).to_pylist())]
+                packed = list(own.encode(texts.slice(k, step).to_pylist(), mark))
                 n = [len(x) // own.width for x in packed]
                 local = []
                 for q, m in zip(names[k : k + step], n, strict=True):

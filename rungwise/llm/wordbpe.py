@@ -19,11 +19,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t\n\r\x0b\x0c]+")
-#: Marks that, after letters, are a pre-token of their own.
-_MARKS = b".,!?;:"
 #: Characters below U+0180 are composed, and have had fixed classes and simple lower cases in all Unicode versions in use; U+0130 lowers to two.
-_LATIN = re.compile("[\x21-\x7e¡-įı-ſ]+")
+_LATIN = "\x21-\x7e¡-įı-ſ"
+_FIXED = re.compile(f"[{_LATIN}]+")
+
+
+def _split() -> re.Pattern:
+    """Pre-tokens of lower-cased text whose characters are those of _LATIN and spaces: contractions, runs of letters, single digits, runs of the rest."""
+    known = [chr(c) for c in range(0x21, 0x180) if _FIXED.fullmatch(chr(c))]
+    letters, digits = (re.escape("".join(c for c in known if of(c))) for of in (str.isalpha, str.isnumeric))
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^ {letters}{digits}]+")
+
+
+_PIECES = _split()
 
 
 def byte_letters() -> dict[int, str]:
@@ -35,7 +43,7 @@ def byte_letters() -> dict[int, str]:
     return letters
 
 
-def prove_whole(tokenizer, vocab: dict[str, int], end: str) -> dict[bytes, int]:
+def prove_whole(tokenizer, vocab: dict[str, int], end: str) -> dict[str, int]:
     """Text of each vocabulary entry that encodes, alone, as that one token."""
     back = {c: b for b, c in byte_letters().items()}
     texts, ids = [], []
@@ -48,7 +56,7 @@ def prove_whole(tokenizer, vocab: dict[str, int], end: str) -> dict[bytes, int]:
                 continue
             ids.append(i)
     got = tokenizer.encode_batch(texts, add_special_tokens=False)
-    return {t.encode("utf-8"): i for t, i, e in zip(texts, ids, got, strict=True) if e.ids == [i]}
+    return {t: i for t, i, e in zip(texts, ids, got, strict=True) if e.ids == [i]}
 
 
 class ChunkCoder(dict):
@@ -77,88 +85,76 @@ class ChunkCoder(dict):
         self.width = 2 if max(vocab.values()) < 65536 and self.tokenizer.get_vocab_size() <= 65536 else 4
         self.limit = limit
         self.end = model["end_of_word_suffix"]
-        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.kind = np.dtype(f"<u{self.width}")
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for t, i in vocab.items() if t.endswith(self.end)]] = True
         self.whole = {t: i.to_bytes(self.width, "little") for t, i in prove_whole(self.tokenizer, vocab, self.end).items()}
         self.words = dict(self.whole)
-        import regex
 
-        self.latin = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-
-    def merge_all(self, words: list[bytes]) -> None:
+    def merge_all(self, words: list[str]) -> None:
         """Merges pre-tokens that are no whole tokens, many in one call; a word's ids end at the first id with the word-end mark."""
-        plain = [w for w in words if w.isalnum()]  # of bytes: ASCII letters and digits, which stand for themselves
-        self.merge_some(plain, None)
-        self.merge_some([w for w in words if not w.isalnum()], self.letters)
-
-    def merge_some(self, words: list[bytes], letters: dict[int, str] | None, step: int = 2000) -> None:
-        texts = [b" ".join(words[k : k + step]).decode("latin-1") for k in range(0, len(words), step)]
-        if letters:
-            texts = [t.translate(letters) for t in texts]
+        self.merge_some([w for w in words if w.isascii()], False)  # printable ASCII stands for itself
+        self.merge_some([w for w in words if not w.isascii()], True)
+
+    def merge_some(self, words: list[str], spelt: bool, step: int = 2000) -> None:
+        texts = [" ".join(words[k : k + step]) for k in range(0, len(words), step)]
+        if spelt:
+            texts = [t.encode("utf-8").decode("latin-1").translate(self.letters) for t in texts]
         for k, got in enumerate(self.merger.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(got.ids, dtype=self.kind)
-            ends = (np.flatnonzero(self.closes[ids]) + 1) * self.width
-            data, start = ids.tobytes(), 0
-            for word, end in zip(words[k * step : (k + 1) * step], ends.tolist(), strict=True):
-                self.words[word] = data[start:end]
-                start = end
-
-    def split(self, chunk: bytes) -> list[bytes] | None:
-        """The chunk's pre-tokens, where fixed rules give them; else None, and the library encodes it whole."""
-        if chunk.isalpha():
-            return [chunk.lower()]
-        if chunk[-1] in _MARKS and chunk[:-1].isalpha():
-            return [chunk[:-1].lower(), chunk[-1:]]
-        if b"<|" in chunk and any(s in chunk for s in self.special):
-            return None
-        if chunk.isascii():
-            return _ASCII.findall(chunk.lower())
-        text = chunk.decode("utf-8")
-        if not _LATIN.fullmatch(text):
-            return None
-        text = text.lower()
-        if text.isalpha():
-            return [text.encode("utf-8")]
-        if chunk[-1] in _MARKS and text[:-1].isalpha():
-            return [text[:-1].encode("utf-8"), chunk[-1:]]
-        return [w.encode("utf-8") for w in self.latin.findall(text)]
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * self.width).tolist()
+            own, data = words[k * step : (k + 1) * step], ids.tobytes()
+            self.words.update(zip(own, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+
+    def cut_up(self, chunks: list[str]) -> None:
+        """Chunks of known characters: one pass cuts all into pre-tokens, and a chunk's ids lie where its characters do."""
+        pieces = _PIECES.findall(" ".join(chunks).lower())
+        self.merge_all(list(set(pieces).difference(self.words)))
+        coded = list(map(self.words.__getitem__, pieces))
+        # a chunk ends with the piece whose characters, all told, are as many as its own
+        reach = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        last = np.searchsorted(reach, np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))))
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))[last].tolist()
+        data = b"".join(coded)
+        self.update(zip((c.encode("utf-8") for c in chunks), [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
 
     def learn(self, chunks: set[bytes]) -> None:
-        if self and len(self) + len(chunks) > self.limit:
-            self.clear()
+        """Remembers the ids of chunks."""
         if len(self.words) > self.limit:
             self.words = dict(self.whole)
-        parts = {c: self.split(c) for c in chunks}
-        self.merge_all([w for w in {w for ws in parts.values() if ws for w in ws} if w not in self.words])
-        word = self.words.__getitem__
-        for c, ws in parts.items():
-            if ws is None:
-                ids = self.tokenizer.encode(c.decode("utf-8"), add_special_tokens=False).ids
-                self[c] = np.array(ids, dtype=self.kind).tobytes()
-            else:
-                self[c] = b"".join(map(word, ws))
-
-    def encode(self, texts: Iterable[bytes], most: int = 4 << 20) -> Iterator[bytes]:
-        """The packed ids of each UTF-8 text; texts are taken together until they hold `most` bytes."""
+        texts = b"\n".join(chunks).decode("utf-8").split("\n")
+        odd = [t for t in texts if not t.isascii() and not _FIXED.fullmatch(t) or "<|" in t and any(s in t for s in self.special)]
+        if odd:  # the library encodes these whole
+            for t, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+                self[t.encode("utf-8")] = np.array(got.ids, dtype=self.kind).tobytes()
+            texts = list(set(texts).difference(odd))
+        if texts:
+            self.cut_up(texts)
+
+    def encode(self, texts: Iterable[bytes], closing: bytes = b"", most: int = 4 << 20) -> Iterator[bytes]:
+        """The packed ids of each UTF-8 text, then `closing`; texts are taken together until they hold `most` bytes."""
         group, held = [], 0
         for text in texts:
-            chunks = text.split()
-            group.append((chunks, list(map(self.get, chunks))))
+            group.append(text.split())
             held += len(text)
             if held >= most:
-                yield from self.flush(group)
+                yield from self.flush(group, closing)
                 group, held = [], 0
-        yield from self.flush(group)
-
-    def flush(self, group: list[tuple[list[bytes], list[bytes | None]]]) -> Iterator[bytes]:
-        """The texts' ids; chunks that were unknown when the text was read are worked out together."""
-        if new := {c for chunks, found in group if None in found for c, x in zip(chunks, found, strict=True) if x is None}:
+        yield from self.flush(group, closing)
+
+    def flush(self, group: list[list[bytes]], closing: bytes) -> Iterator[bytes]:
+        """The texts' ids; chunks that are not remembered are worked out together."""
+        met = set().union(*group)
+        if new := met.difference(self):
+            if len(self) + len(new) > self.limit:
+                self.clear()
+                new = met
             self.learn(new)
-        for chunks, found in group:
-            if None in found:
-                found = [self[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
+        ids = self.__getitem__
+        for chunks in group:
+            found = list(map(ids, chunks))
+            found.append(closing)
             yield b"".join(found)
 
 
