@@ -25,37 +25,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rungwise.llm.common import cut, ship
-from rungwise.llm.wordbpe import coder
+from rungwise.llm.wordbpe import coder, proof
 
 #: Rows of a table, one for each partition and source, that may be sent to every executor: some 10 MB.
 SMALL = 100_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenized(df: DataFrame, vocabulary: str, end_id: int, doc_id: str, text: str, source: str) -> DataFrame:
-    """part, queue, doc_id, ids (packed), width, n_tokens, local: tokens of the same queue before the document in its partition."""
+def tokenized(df: DataFrame, vocabulary: str, doc_id: str, text: str, source: str) -> DataFrame:
+    """part, queue, doc_id, ids (packed, without the end), width, n_tokens (with it), local: tokens of the same queue before the document in its partition."""
     ship(df.sparkSession)
+    whole = proof(df.sparkSession, vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = coder(vocabulary), {}
-        mark = end_id.to_bytes(own.width, "little")
+        own, seen = coder(vocabulary, whole.value), {}
         for batch in batches:
-            part, queue, ids, texts = (batch.column(k) for k in range(4))
-            names = queue.to_pylist()
-            step = 512  # rows whose ids are held at once
-            for k in range(0, batch.num_rows, step):
-                packed = list(own.encode(texts.slice(k, step).to_pylist(), mark))
-                n = [len(x) // own.width for x in packed]
+            at = 0
+            for ids in own.packed(batch.column(3)):
+                part, queue, docs = (batch.column(k).slice(at, len(ids)) for k in range(3))
+                at += len(ids)
+                n = [x // own.width + 1 for x in pc.binary_length(ids).to_pylist()]
                 local = []
-                for q, m in zip(names[k : k + step], n, strict=True):
+                for q, m in zip(queue.to_pylist(), n, strict=True):
                     local.append(seen.get(q, 0))
                     seen[q] = local[-1] + m
                 yield pa.RecordBatch.from_arrays(
-                    [part.slice(k, step), queue.slice(k, step), ids.slice(k, step), pa.array(packed, pa.binary()), pa.array([own.width] * len(n), pa.int32()), pa.array(n, pa.int64()), pa.array(local, pa.int64())],
+                    [part, queue, docs, ids, pa.array([own.width] * len(n), pa.int32()), pa.array(n, pa.int64()), pa.array(local, pa.int64())],
                     names=["part", "queue", "doc_id", "ids", "width", "n_tokens", "local"],
                 )
 
@@ -133,7 +133,7 @@ def pack(df: DataFrame, vocabulary: str, width: int = 4096, end_id: int = 2, doc
     The ids are written once to the checkpoint folder; nothing but a row per
     partition and source is shuffled, unless that table is too large to broadcast.
     """
-    rows = cut(tokenized(df, vocabulary, end_id, doc_id, text, source))
+    rows = cut(tokenized(df, vocabulary, doc_id, text, source))
     quota = cut(quotas(rows.groupBy("part", "queue").agg(F.sum("n_tokens").alias("tokens")), width))
     if quota.count() <= SMALL:  # else Spark shuffles both sides
         quota = F.broadcast(quota)
@@ -146,8 +146,8 @@ def pack(df: DataFrame, vocabulary: str, width: int = 4096, end_id: int = 2, doc
             out: list[tuple] = []
             rest = zip(doc.to_pylist(), size.to_pylist(), first.to_pylist(), low.to_pylist(), high.to_pylist(), total.to_pylist(), strict=True)
             for n, (d, w, at, lo, hi, all_) in enumerate(rest):
-                mine = np.frombuffer(ids[n].as_buffer(), dtype=f"<u{w}").astype("<u4")
-                view = memoryview(mine.tobytes())
+                mine = np.append(np.frombuffer(ids[n].as_buffer(), dtype=f"<u{w}"), [end_id]).astype("<u4")
+                view = memoryview(mine).cast("B")
                 out += [(d, a, m, zlib.crc32(view[4 * a : 4 * (a + m)]), len(mine), s, o) for a, m, s, o in pieces_of(at, len(mine), lo, hi, all_, width)]
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)

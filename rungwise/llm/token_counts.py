@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rungwise.llm.common import ship
-from rungwise.llm.wordbpe import coder
+from rungwise.llm.wordbpe import coder, proof
 
 
 def token_counts(df: DataFrame, vocabulary: str, limit: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -25,13 +26,14 @@ def token_counts(df: DataFrame, vocabulary: str, limit: int = 2048, doc_id: str
     No shuffle; a task holds one Arrow batch.
     """
     ship(df.sparkSession)
+    whole = proof(df.sparkSession, vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(vocabulary)
+        own = coder(vocabulary, whole.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            n = [x // own.width for ids in own.packed(batch.column(1)) for x in pc.binary_length(ids).to_pylist()]
             out = batch.schema.remove(1).append(pa.field("n_tokens", pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(ids) // own.width for ids in own.encode(texts)], pa.int64())], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], schema=out)
 
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), body.cast("binary").alias("body"), F.octet_length(body).cast("long").alias("n_bytes"))

@@ -6,7 +6,7 @@ therefore the ids of its ASCII-white-space chunks, one after another, and each
 chunk's ids need working out once per worker.
 
 `prove_whole` is the offline proof: it encodes every vocabulary string alone
-and keeps those that come back as exactly that one token. A pre-token among
+and keeps those that come back as exactly that one token; `proof` has it run once. A pre-token among
 them is one id, looked up; only the rest is merged.
 """
 
@@ -18,6 +18,8 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters below U+0180 are composed, and have had fixed classes and simple lower cases in all Unicode versions in use; U+0130 lowers to two.
 _LATIN = "\x21-\x7e¡-įı-ſ"
@@ -43,11 +45,15 @@ def byte_letters() -> dict[int, str]:
     return letters
 
 
-def prove_whole(tokenizer, vocab: dict[str, int], end: str) -> dict[str, int]:
-    """Text of each vocabulary entry that encodes, alone, as that one token."""
-    back = {c: b for b, c in byte_letters().items()}
+def prove_whole(path: str) -> dict[str, int]:
+    """Text of each entry of a vocabulary file that encodes, alone, as that one token."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end, back = model["end_of_word_suffix"], {c: b for b, c in byte_letters().items()}
     texts, ids = [], []
-    for entry, i in vocab.items():
+    for entry, i in model["vocab"].items():
         body = entry[: -len(end)] if entry.endswith(end) else None
         if body and all(c in back for c in body):
             try:
@@ -55,7 +61,7 @@ def prove_whole(tokenizer, vocab: dict[str, int], end: str) -> dict[str, int]:
             except UnicodeDecodeError:
                 continue
             ids.append(i)
-    got = tokenizer.encode_batch(texts, add_special_tokens=False)
+    got = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
     return {t: i for t, i, e in zip(texts, ids, got, strict=True) if e.ids == [i]}
 
 
@@ -66,7 +72,7 @@ class ChunkCoder(dict):
     so a worker's memory is bounded whatever the text.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, whole: dict[str, int] | None = None, limit: int = 600_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
@@ -89,7 +95,7 @@ class ChunkCoder(dict):
         self.kind = np.dtype(f"<u{self.width}")
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for t, i in vocab.items() if t.endswith(self.end)]] = True
-        self.whole = {t: i.to_bytes(self.width, "little") for t, i in prove_whole(self.tokenizer, vocab, self.end).items()}
+        self.whole = {t: i.to_bytes(self.width, "little") for t, i in (prove_whole(path) if whole is None else whole).items()}
         self.words = dict(self.whole)
 
     def merge_all(self, words: list[str]) -> None:
@@ -119,12 +125,15 @@ class ChunkCoder(dict):
         data = b"".join(coded)
         self.update(zip((c.encode("utf-8") for c in chunks), [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
 
-    def learn(self, chunks: set[bytes]) -> None:
+    def learn(self, chunks: list[bytes]) -> None:
         """Remembers the ids of chunks."""
         if len(self.words) > self.limit:
             self.words = dict(self.whole)
-        texts = b"\n".join(chunks).decode("utf-8").split("\n")
-        odd = [t for t in texts if not t.isascii() and not _FIXED.fullmatch(t) or "<|" in t and any(s in t for s in self.special)]
+        if b"" in chunks:  # white space at an end
+            self[b""] = b""
+            chunks = [c for c in chunks if c]
+        texts = b"\n".join(chunks).decode("utf-8").split("\n") if chunks else []
+        odd = [t for t in texts if not (t.isprintable() if t.isascii() else _FIXED.fullmatch(t)) or "<|" in t and any(s in t for s in self.special)]
         if odd:  # the library encodes these whole
             for t, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
                 self[t.encode("utf-8")] = np.array(got.ids, dtype=self.kind).tobytes()
@@ -132,37 +141,59 @@ class ChunkCoder(dict):
         if texts:
             self.cut_up(texts)
 
-    def encode(self, texts: Iterable[bytes], closing: bytes = b"", most: int = 4 << 20) -> Iterator[bytes]:
-        """The packed ids of each UTF-8 text, then `closing`; texts are taken together until they hold `most` bytes."""
-        group, held = [], 0
-        for text in texts:
-            group.append(text.split())
-            held += len(text)
-            if held >= most:
-                yield from self.flush(group, closing)
-                group, held = [], 0
-        yield from self.flush(group, closing)
-
-    def flush(self, group: list[list[bytes]], closing: bytes) -> Iterator[bytes]:
-        """The texts' ids; chunks that are not remembered are worked out together."""
-        met = set().union(*group)
-        if new := met.difference(self):
+    def encode(self, texts: Iterable[bytes], most: int = 4 << 20) -> Iterator[bytes]:
+        """The packed ids of each UTF-8 text."""
+        for ids in self.packed(pa.array(texts, pa.binary()), most):
+            yield from ids.to_pylist()
+
+    def packed(self, texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+        """The packed ids of UTF-8 texts (binary, no nulls), in order, in arrays for some `most` bytes of text each."""
+        ends = np.cumsum(pc.binary_length(texts).to_numpy()) // most
+        cuts = np.append(np.flatnonzero(np.diff(ends)) + 1, len(texts))
+        for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            yield self.looked_up(texts.slice(a, b - a))
+
+    def looked_up(self, texts: pa.Array) -> pa.Array:
+        """The texts' ids: distinct chunks are looked up, those not remembered are worked out together, and each chunk's ids are put in its place."""
+        lists = pc.ascii_split_whitespace(texts.view(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        met = coded.dictionary.view(pa.binary()).to_pylist()
+        found = list(map(self.get, met))
+        new = [c for c, x in zip(met, found, strict=True) if x is None]
+        if new:
             if len(self) + len(new) > self.limit:
                 self.clear()
                 new = met
             self.learn(new)
-        ids = self.__getitem__
-        for chunks in group:
-            found = list(map(ids, chunks))
-            found.append(closing)
-            yield b"".join(found)
+            found = list(map(self.__getitem__, met))
+        ids = pa.array(found, pa.binary()).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        starts = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(starts[ends])), ids.buffers()[2]])
 
 
 _coders: dict[str, ChunkCoder] = {}
+_proofs: dict[tuple[str, str], object] = {}
 
 
-def coder(path: str) -> ChunkCoder:
+def coder(path: str, whole: dict[str, int]) -> ChunkCoder:
     """This worker's coder for a vocabulary file."""
     if path not in _coders:
-        _coders[path] = ChunkCoder(path)
+        _coders[path] = ChunkCoder(path, whole)
     return _coders[path]
+
+
+def proof(spark, path: str):
+    """The whole tokens of a vocabulary file, proved once an application in a task of its own and sent to all workers."""
+    key = spark.sparkContext.applicationId, path
+    if key not in _proofs:
+
+        def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    whole = prove_whole(path)
+                    yield pa.RecordBatch.from_arrays([pa.array(whole, pa.string()), pa.array(whole.values(), pa.int32())], names=["token", "id"])
+
+        rows = spark.range(1, numPartitions=1).mapInArrow(prove, "token string, id int").collect()
+        _proofs[key] = spark.sparkContext.broadcast({r["token"]: r["id"] for r in rows})
+    return _proofs[key]
