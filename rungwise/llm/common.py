@@ -38,13 +38,33 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the one the cluster names in spark.checkpoint.dir; our own only where none is named, as in local tests."""
+    """The folder all executors share: the one the cluster names in spark.checkpoint.dir; our own only in local mode, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have in any spelling."""
+    held = {c.lower() for c in df.columns}
+    while name in held:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a number for each row, given once and held in the checkpoint folder, and that column's name.
+
+    Two evaluations may deal the rows to other partitions, so places count only within one.
+    """
+    row = fresh(df, "row")
+    return cut(df.withColumn(row, F.monotonically_increasing_id())), row
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads on from there."""
     shared_folder(df.sparkSession)

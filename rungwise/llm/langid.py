@@ -17,13 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import cut, ship
+from rungwise.llm.common import cut, fresh, ship
 
 DIM_BITS = 14
 MIX = np.uint32(2654435761)
+#: Rows of the sample that are spread out at once, 64 KB each.
+SLAB = 128
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -71,16 +73,16 @@ def grams(data: np.ndarray) -> Iterator[np.ndarray]:
         yield (x ^ (x >> np.uint32(15))) * MIX >> np.uint32(32 - DIM_BITS)
 
 
-def profile(text: str) -> np.ndarray:
-    """Relative frequencies of the text's n-grams, square-rooted so that a repeated word doesn't drown the others."""
-    out = np.zeros(1 << DIM_BITS, np.float32)
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text's hashed n-grams: those that occur, and their relative frequencies, square-rooted so that a repeated word doesn't drown the others."""
     data = np.frombuffer(letters(text), np.uint8)
-    if len(data) > 1:
-        for g in grams(data):
-            out += np.bincount(g, minlength=1 << DIM_BITS)
-    np.sqrt(out, out=out)
-    norm = float(np.sqrt((out * out).sum()))
-    return out / norm if norm else out
+    total = np.zeros(1 << DIM_BITS, np.int64)
+    for k in range(0, len(data) if len(data) > 2 else 0, 1 << 20):  # long texts in slices that overlap by one n-gram
+        for g in grams(data[k : k + (1 << 20) + 3]):
+            total += np.bincount(g[: 1 << 20], minlength=1 << DIM_BITS)
+    used = np.flatnonzero(total)
+    v = np.sqrt(total[used]).astype(np.float32)
+    return used, v / np.sqrt((v * v).sum()) if len(used) else v
 
 
 class Codes:
@@ -90,32 +92,37 @@ class Codes:
         self.langs, self.weights, self.bias, self.trust, self.code = langs, weights, bias, trust, codewords(len(langs))
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str], rounds: int = 60) -> Codes:
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], rounds: int = 60) -> Codes:
+        """rows: n-grams and frequencies of every text. They stay sparse; SLAB rows at a time are spread out."""
         names = sorted(set(langs))
         code = codewords(len(names))
         at = {x: k for k, x in enumerate(names)}
-        x = np.stack([profile(t) for t in texts]) if texts else np.zeros((0, 1 << DIM_BITS), np.float32)
-        y = code[[at[v] for v in langs]] if texts else np.zeros((0, code.shape[1]), np.float32)
-        w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
+        y = code[[at[v] for v in langs]] if rows else np.zeros((0, code.shape[1]), np.float32)
+        w, b = np.zeros((1 << DIM_BITS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
+        slab = np.zeros((SLAB, 1 << DIM_BITS), np.float32)
+
+        def slabs() -> Iterator[tuple[slice, np.ndarray]]:
+            for k in range(0, len(rows), SLAB):
+                own = rows[k : k + SLAB]
+                slab[:] = 0
+                for j, (used, v) in enumerate(own):
+                    slab[j, used] = v
+                yield slice(k, k + len(own)), slab[: len(own)]
+
         for _ in range(rounds if len(names) > 1 else 0):  # logistic loss, full gradient
-            g = -y / (1 + np.exp(y * (x @ w + b)))
-            w -= 20 * (x.T @ g / len(x) + 1e-5 * w)
-            b -= 2 * g.mean(0)
-        hit = ((x @ w + b > 0) == (y > 0)).mean(0) if len(x) else np.zeros(code.shape[1])
+            down, shift = 1e-5 * w, np.zeros_like(b)
+            for own, x in slabs():
+                g = -y[own] / (1 + np.exp(y[own] * (x @ w + b)))
+                down += x.T @ g / len(rows)
+                shift += g.sum(0)
+            w -= 20 * down
+            b -= 2 * shift / len(rows)
+        hit = sum((((x @ w + b > 0) == (y[own] > 0)).sum(0) for own, x in slabs()), np.zeros(code.shape[1])) / max(1, len(rows))
         return cls(names, w, b, np.maximum(2 * hit - 1, 1e-3).astype(np.float32))
 
     def margins(self, text: str) -> np.ndarray | None:
-        data = np.frombuffer(letters(text), np.uint8)
-        if len(data) <= 2:
-            return None
-        total = np.zeros(1 << DIM_BITS, np.float64)
-        for k in range(0, len(data), 1 << 20):  # long texts in slices that overlap by one n-gram
-            part = data[k : k + (1 << 20) + 3]
-            for g in grams(part):
-                total += np.bincount(g[: 1 << 20], minlength=1 << DIM_BITS)
-        used = np.flatnonzero(total)
-        v = np.sqrt(total[used]).astype(np.float32)
-        return (v / np.sqrt((v * v).sum())) @ self.weights[used] + self.bias
+        used, v = counted(text)
+        return v @ self.weights[used] + self.bias if len(used) else None
 
     def decode(self, m: np.ndarray) -> tuple[str, float, bool]:
         """Language, probability, whether the two best codewords are close."""
@@ -127,12 +134,16 @@ class Codes:
         return self.langs[best], float(p[best]), near
 
 
-def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, most: int = 4000) -> Codes:
+def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, most: int = 4000, rounds: int = 60) -> Codes:
     """Fits the codes on rows of non-null text and lang: `per_lang` of each language, fewer if that makes more than `most` in all.
 
     Every language is learnt, of one row at least. A language's rows are those of least hash; all
-    but about twice as many fall to a filter, so whole texts aren't shuffled.
+    but about twice as many fall to a filter. N-grams are counted where the texts lie, so no text is
+    moved; one task fits the codes on the sample's sparse counts (96 KB a row at most), and only the codes come to the driver.
+    Rows of null text or lang aren't learnt from; of rows that tie in hash those of smaller counts come first; empty texts count; an
+    empty table gives codes that know no language.
     """
+    ship(df.sparkSession)
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.lit(5)).alias("h"))
     sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
     found = sizes.count()
@@ -140,10 +151,29 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return Codes.fit([], [])
     each = max(1, min(per_lang, most // found))
     share = sizes.select("lang", F.least(F.lit(1.0), (2.0 * each + 64) / F.col("n")).alias("share"))
-    near = rows.join(F.broadcast(share), "lang").filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
-    best = near.groupBy("lang").agg(F.expr(f"slice(array_sort(collect_list(struct(h, text))), 1, {each})").alias("few"))
-    pairs = [(x["text"], r["lang"]) for r in best.orderBy("lang").collect() for x in r["few"]]
-    return Codes.fit([t for t, _ in pairs], [v for _, v in pairs])
+    near = rows.join(share, "lang").filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share")).select("lang", "h", "text")
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counted(t.as_py()) for t in batch.column(2)]
+            packed = [v.astype(np.float32).tobytes() + used.astype(np.uint16).tobytes() for used, v in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["lang", "h", "grams"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("lang", "ascending"), ("h", "ascending")])
+        rows = []
+        for x in table.column("grams"):
+            data = x.as_buffer()
+            n = len(data) // 6
+            rows.append((np.frombuffer(data, np.uint16, n, 4 * n), np.frombuffer(data, np.float32, n)))
+        own = Codes.fit(rows, table.column("lang").to_pylist(), rounds)
+        return pa.table({"langs": pa.array([own.langs], pa.list_(pa.string())), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("weights", own.weights), ("bias", own.bias), ("trust", own.trust))}})
+
+    first = Window.partitionBy("lang").orderBy("h", "grams")
+    few = near.mapInArrow(profiles, "lang string, h long, grams binary").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= each).select("lang", "h", "grams")
+    (got,) = few.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "langs array<string>, weights binary, bias binary, trust binary").collect()
+    weights, bias, trust = (np.frombuffer(got[k], np.float32) for k in ("weights", "bias", "trust"))
+    return Codes(list(got["langs"]), weights.reshape(1 << DIM_BITS, -1), bias, trust)
 
 
 def predicted(codes: Codes, spark, text: Column) -> Column:
@@ -171,5 +201,10 @@ def identify(df: DataFrame, codes: Codes, doc_id: str = "doc_id", text: str = "t
 
 
 def keep_known(df: DataFrame, codes: Codes, text: str = "text") -> DataFrame:
-    """The rows of df, with all their columns, whose text is in some language; texts that are null or hold no letter go."""
-    return df.withColumn("_said", predicted(codes, df.sparkSession, F.col(text))).filter(F.col("_said.lang_pred") != "und").drop("_said")
+    """The rows of df, with all their columns, whose text is in some language.
+
+    Texts that are null or hold no letter go; repeated rows stay as often as they are, null
+    identifiers too. Columns may have any names. An empty table gives no rows; codes that know no language keep none.
+    """
+    said = fresh(df, "said")
+    return df.withColumn(said, predicted(codes, df.sparkSession, F.col(text))).filter(F.col(said)["lang_pred"] != "und").drop(said)
