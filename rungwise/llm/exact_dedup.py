@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import ascii_lower, cut
+from rungwise.llm.common import ascii_lower, cut, numbered
 
 #: Slices of a scan partition's run; a run never holds more than one partition's rows.
 SLICES = 8
@@ -28,7 +28,7 @@ def _rounds(runs: int, fan: int) -> int:
     return n
 
 
-def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "max", fan: int = 16, row_id: bool = False) -> DataFrame:
+def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "max", fan: int = 16, row: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after lower-casing A-Z; null counts
@@ -37,12 +37,12 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep:
     rows (same doc_id and text) exactly one stays. An empty table gives no rows.
     SHA-256 names a text; byte length and a 64-bit hash of another kind verify
     every match at every level, so texts of one digest that differ in either stay apart.
-    row_id adds `row`, the place of the row in the scan.
+    row names a column that numbers df's rows; the result then has it, as `row`.
     """
     body = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     rows = df.select(
         F.col(doc_id).cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
         F.spark_partition_id().alias("part"),
         body.alias("body"),
     ).select(
@@ -56,11 +56,11 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep:
     sign = 1 if keep == "max" else -1
     own = F.struct((F.col("doc_id") * sign).alias("rank"), F.col("row"))
     key = ["run", "digest", "check"]
-    levels = [rows.groupBy(*key).agg(F.max(own).alias("best"), F.count("*").alias("size"))]
+    levels = [cut(rows.groupBy(*key).agg(F.max(own).alias("best"), F.count("*").alias("size")))]
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
     for _ in range(_rounds(runs, fan)):
         up = levels[-1].withColumn("run", F.floor(F.col("run") / fan).cast("long"))
-        levels.append(up.groupBy(*key).agg(F.max("best").alias("best"), F.sum("size").alias("size")))
+        levels.append(cut(up.groupBy(*key).agg(F.max("best").alias("best"), F.sum("size").alias("size"))))
     verdict = levels[-1]
     for below in reversed(levels[:-1]):
         up = verdict.select(F.col("run").alias("up"), "digest", "check", "best", "size")
@@ -74,10 +74,15 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep:
         F.lower(F.hex("digest")).alias("text_sha256"),
         "row",
     )
-    return out if row_id else out.drop("row")
+    return out if row else out.drop("row")
 
 
 def drop_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of df that stay, with all their columns."""
-    gone = exact_dedup(df, doc_id, text, keep, row_id=True).filter(~F.col("kept")).select(F.col("row").alias("_row"))
-    return df.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+    """The rows of df that stay, with all their columns, whatever their names.
+
+    Null text counts as empty, a null doc_id loses to all others, of repeated rows one stays, an
+    empty table gives no rows. Rows are numbered once, in the checkpoint folder.
+    """
+    rows, row = numbered(df)
+    gone = exact_dedup(rows, doc_id, text, keep, row=row).filter(~F.col("kept")).select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)

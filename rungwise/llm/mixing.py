@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import WORD, cut
+from rungwise.llm.common import WORD, cut, fresh, numbered
 
 #: Hexadecimal digits of the key that give its range, 48 bits: exact in a double.
 KEY_DIGITS = 12
@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, mos
     return s.select("source_key", "source_size", F.when(F.col("level").isNull() | (level >= cap), cap).otherwise(level).alias("target"))
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", row_id: bool = False) -> DataFrame:
+def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, epochs.
 
     size is the number of words (runs of anything but ASCII white space; null
@@ -63,11 +63,12 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150,
     Documents are taken whole, the one at the cut if that brings the source
     nearer its target; taken never exceeds (whole epochs + 1) * size. Null is a
     source of its own. Ties of the key go by doc_id, then by place in the scan. Sources without words get target 0;
-    an empty table gives no rows. epochs is how often the document is taken.
+    an empty table gives no rows. epochs is how often the document is taken. row names
+    a column that numbers df's rows; the result then has it, as `row`.
     """
     rows = cut(df.select(
         F.col(doc_id).cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("source_key"),
         random_key(F.col(doc_id), seed).alias("key"),
@@ -92,11 +93,15 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150,
     epochs = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(whole + (start * 2 + F.col("size") <= rest * 2).cast("long"))
     epochs = F.when(F.col("size") == 0, F.least(epochs, F.lit(1))).otherwise(epochs).cast("long")
     out = placed.select("doc_id", "size", "source_size", "target", (epochs * F.col("size")).alias("taken"), epochs.alias("epochs"), "row")
-    return out if row_id else out.drop("row")
+    return out if row else out.drop("row")
 
 
 def mixed_rows(df: DataFrame, **how) -> DataFrame:
-    """The rows of the mix with all their columns: a document taken twice comes twice, one taken never is left out."""
-    taken = mix(df, row_id=True, **how).filter("epochs > 0").select(F.col("row").alias("_row"), F.col("epochs").alias("_epochs"))
-    named = df.withColumn("_row", F.monotonically_increasing_id()).join(taken, "_row")
-    return named.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_epochs").cast("int")))).drop("_row", "_epochs", "_epoch")
+    """The rows of the mix with all their columns, whatever their names: a document taken twice comes twice, one taken never is left out.
+
+    Nulls, ties, repeated rows and empty tables are as in mix(). Rows are numbered once, in the checkpoint folder.
+    """
+    rows, row = numbered(df)
+    times = fresh(rows, "times")
+    taken = mix(rows, row=row, **how).filter("epochs > 0").select(F.col("row").alias(row), F.sequence(F.lit(1), F.col("epochs").cast("int")).alias(times))
+    return rows.join(taken, row).withColumn(times, F.explode(times)).drop(row, times)
