@@ -20,7 +20,8 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
         found = tied.filter("m > n").select(F.col("m").alias("u"), F.col("least").alias("v"))
     else:
         found = tied.select(F.col("m").alias("u"), F.col("least").alias("v")).union(least.select(F.col("n").alias("u"), F.col("least").alias("v")))
-    return found.filter("u <> v").distinct()
+    found = found.filter("u <> v")
+    return found if both else found.distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -31,6 +32,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = None
+    if not edges.take(1):
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
         edges = cut(_star(_star(edges, True), False))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -23,16 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import cut, dealt_anew, ship
+from rungwise.llm.common import cut, dealt_anew, fresh, ship
 from rungwise.llm.components import components
 
 BANDS, ROWS, BITS, WORDS = 32, 4, 8, 5
 HASHES = BANDS * ROWS
 #: Members of a key that meet in one task in the second pass.
 BLOCK = 1024
+#: Shingles that a block holds: 8 MB.
+HELD = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,16 +111,20 @@ def floor_of(threshold: float) -> float:
     return threshold - 5 * float(np.sqrt(threshold * (1 - threshold) / HASHES))
 
 
+def mark_of(text: str) -> Column:
+    """Tells texts of one identifier apart, the same in every evaluation of a table."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def sketch(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, set_hash, signature, keys of every row with words."""
+    """row, doc_id, mark (a hash of the text), n, set_hash, signature, keys of every row; the last three null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "set_hash", "signature", "keys"]
+        names = ["row", "doc_id", "mark", "n", "set_hash", "signature", "keys"]
         for batch in batches:
-            ids, n, sets, signs, keys = [], [], [], [], []
-            for d, t in zip(batch.column(0), batch.column(1), strict=True):
+            n, sets, signs, keys = [], [], [], []
+            for t in batch.column(3):
                 x = shingles(t.as_py())
-                ids.append(d.as_py())
                 n.append(len(x))
                 if len(x):
                     best = minima(x)
@@ -129,10 +135,10 @@ def sketch(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                     sets.append(None)
                     signs.append(None)
                     keys.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=names)
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, set_hash binary, signature binary, keys array<long>")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), mark_of(text).alias("mark"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, mark long, n long, set_hash binary, signature binary, keys array<long>")
 
 
 def full_sets(df: DataFrame) -> DataFrame:
@@ -177,19 +183,21 @@ SEATS = "key long, b int, c int, id long, root long, asks boolean"
 
 
 def seated(members: DataFrame) -> DataFrame:
-    """Places (key, b, c) at which rows of a key meet, from rows key, id, root.
+    """Places (key, b, c) at which rows of a key meet, from rows key, id, n, root.
 
     Per key, its most frequent root is the main one. All rows are stored, by
     home block b; rows outside the main component also ask, in chunks c. At place (b, c) the
     askers of chunk c meet the rows stored in block b, so two rows meet unless
-    both are of the main component, and no place holds more than some 2 * BLOCK rows.
+    both are of the main component, and no place holds more than some 2 * BLOCK rows or, but
+    for single texts that are longer, 2 * HELD shingles.
     """
-    per_root = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = F.max(F.struct("n", "root"))
-    per_key = per_root.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("roots"), main.alias("main")).filter("roots > 1")
+    load = F.greatest(F.lit(1.0 / BLOCK), F.col("n") / HELD)
+    per_root = members.groupBy("key", "root").agg(F.sum(load).alias("load"))
+    main = F.max(F.struct("load", "root"))
+    per_key = per_root.groupBy("key").agg(F.sum("load").alias("load"), F.count("*").alias("roots"), main.alias("main")).filter("roots > 1")
     named = members.join(dealt_anew(per_key, "key"), "key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    chunks = F.ceil((F.col("size") - F.col("main.n")) / BLOCK).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("load"))).cast("int")
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("load") - F.col("main.load"))).cast("int")
     home = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
     chunk = F.pmod(F.xxhash64("id", F.lit(7)), chunks.cast("long")).cast("int")
     stored = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.col("home").alias("b"), c.alias("c"), F.lit(False).alias("asks")))
@@ -251,12 +259,12 @@ def likely(members: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(ids: np.ndarray, roots: np.ndarray, asks: np.ndarray, sign: np.ndarray, hashes: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Confirmed links between the components at one place, at most one for each component.
+    """Confirmed links between the components at one place, given as their roots, at most one for each component.
 
     An inverted index over the place's shingles gives an asker's intersections
     with all stored rows at once.
     """
-    least, here, out = floor_of(percent / 100), np.flatnonzero(~asks), []
+    least, here, out, own = floor_of(percent / 100), np.flatnonzero(~asks), [], roots.copy()
     sizes = np.array([len(h) // 8 for h in hashes])
     _, dense = np.unique(np.frombuffer(b"".join(hashes), np.uint64), return_inverse=True)
     ends = np.cumsum(sizes)
@@ -274,13 +282,13 @@ def linked(ids: np.ndarray, roots: np.ndarray, asks: np.ndarray, sign: np.ndarra
         both = np.bincount(posted[spots], minlength=len(ids))[other]
         good = other[100 * both >= percent * (sizes[k] + sizes[other] - both)]
         for j in good[np.unique(roots[good], return_index=True)[1]]:
-            out.append((int(max(ids[k], ids[j])), int(min(ids[k], ids[j]))))
+            out.append((int(max(own[k], own[j])), int(min(own[k], own[j]))))
             roots[roots == roots[j]] = roots[k]
     return out
 
 
 def settled(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v), confirmed on the full sets, that join the components which meet at a place."""
+    """Links (u, v) of roots whose components meet at a place and hold members that are linked, as confirmed on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in at_places(batches):
@@ -294,43 +302,70 @@ def settled(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per doc_id: doc_id, n_shingles, component_id, kept.
-
-    component_id is the least doc_id reachable over links, itself included; kept
-    says that it is its own. A null or word-free text has no shingles, no links and
-    component_id = doc_id. Rows that repeat a doc_id count as one document
-    with the larger of their sets for n_shingles and the links of all; rows with a null doc_id
-    are left out of links and come out as one row with a null component_id
-    and kept false. An empty table gives no rows.
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    component_id is the least doc_id reachable over links, itself included; kept says
+    that the row stands for its component: it holds that doc_id and, of rows that repeat it, is
+    the first. Null identifiers come after all others, so a component's is null only
+    if all its rows' are. A null or word-free text has no shingles and no links: its row is kept, with
+    component_id = doc_id. Rows that repeat a doc_id are documents of their own. An empty table gives no rows.
     """
+    return judged(df, percent, doc_id, text).drop("mark")
+
+
+def judged(df: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
+    """near_duplicates() with `mark`, by which rows of one identifier are told apart."""
     ship(df.sparkSession)
     base = cut(sketch(df, doc_id, text))
-    whole = base.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
-    classes = cut(whole.groupBy("set_hash", "n").agg(F.min("doc_id").alias("id"), F.first("signature").alias("sign"), F.first("keys").alias("keys")))
-    exploded = classes.select("id", F.explode("keys").alias("key"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "mark"))
+    classes = base.filter(F.col("set_hash").isNotNull()).groupBy("set_hash", "n").agg(best.alias("best"), F.first("signature").alias("sign"), F.first("keys").alias("keys"))
+    classes = cut(classes.withColumn("id", F.col("best.row")))
+    exploded = classes.select("id", "n", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
     seats = cut(exploded.join(dealt_anew(shared, "key"), "key"))
-    wanted = seats.select("id").distinct()
-    texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    sets = cut(full_sets(classes.select("id", "sign").join(wanted, "id").join(texts, "id").select("id", "sign", "text")))
+    wanted = classes.join(seats.select("id").distinct(), "id").select("id", "sign", F.col("best.doc_id").alias("at"), F.col("best.mark").alias("mark"))
+    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(text).alias("mark"), F.col(text).cast("binary").alias("text"))
+    read = wanted.join(texts, (wanted["mark"] == texts["mark"]) & wanted["at"].eqNullSafe(texts["doc_id"])).select("id", "sign", "text")
+    if base.groupBy("doc_id", "mark").count().filter("count > 1").take(1):  # one of the rows that repeat each other
+        read = read.dropDuplicates(["id"])
+    sets = cut(full_sets(read))
     first = seats.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    links = cut(confirmed(first, sets, percent))
-    roots = components(links)
-    label = F.coalesce("root", "id").alias("root")
-    labelled = seats.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label)
+    roots = cut(components(confirmed(first, sets, percent)))
+    labelled = seats.drop("hub").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
     members = cut(labelled.join(dealt_anew(open_keys, "key"), "key"))
     seats = cut(likely(members, classes.select("id", "sign"), percent))
-    links = links.union(cut(settled(seats, sets, percent)))
-    same = whole.join(classes.select("set_hash", "n", "id"), ["set_hash", "n"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v")).filter("u <> v")
-    roots = components(links.union(same))
-    docs = base.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
-    out = docs.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    tops = components(settled(seats, sets, percent))
+    # a class's root is the root of its root; its component's first row stands for all
+    rooted = classes.select("set_hash", "n", "id", "best").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = rooted.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))
+    leads = rooted.groupBy("top").agg(F.min("best").alias("lead"))
+    led = rooted.select("set_hash", "n", "top").join(dealt_anew(leads, "top"), "top").select("set_hash", "n", "lead")
+    return base.select("row", "doc_id", "mark", "n", "set_hash").join(led, ["set_hash", "n"], "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("component_id"),
+        F.coalesce(F.col("lead.row") == F.col("row"), F.lit(True)).alias("kept"),
+        "mark",
+    )
 
 
 def drop_near_copies(df: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df, all columns, of the documents that stay: one of each component."""
-    gone = near_duplicates(df, percent, doc_id, text).filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """The rows of df, all columns, whatever their names, that stand for their components.
+
+    Rows are found again by identifier and a hash of the text; of rows that repeat each other in both, one stays if
+    theirs is the component's. Null identifiers, texts without words and empty tables are as in near_duplicates().
+    """
+    per = cut(judged(df, percent, doc_id, text).groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    mark = fresh(df, "mark")
+    rows = df.withColumn(mark, mark_of(text))
+
+    def among(found: DataFrame):
+        return (rows[mark] == found["mark"]) & rows[doc_id].cast("long").eqNullSafe(found["doc_id"])
+
+    gone, again = per.filter("not kept").select("doc_id", "mark"), per.filter("kept and n > 1").select("doc_id", "mark")
+    stay = rows.join(gone, among(gone), "left_anti")
+    if again.take(1):
+        single = stay.join(again, among(again), "left_semi").dropDuplicates([doc_id, mark])
+        stay = stay.join(again, among(again), "left_anti").unionByName(single)
+    return stay.drop(mark)

@@ -364,7 +364,43 @@ def test_near_duplicates(spark, docs, empty, monkeypatch):
     stay = minhash.drop_near_copies(df)
     assert stay.columns == df.columns and sorted(x.doc_id for x in stay.collect()) == sorted(set(want.values()))
     awkward = rows_of(minhash.near_duplicates(docs))
-    assert len(awkward) == docs.select("doc_id").distinct().count() and [x for x in awkward if x["doc_id"] is None][0]["component_id"] is None
+    assert len(awkward) == docs.count() and [x for x in awkward if x["doc_id"] is None][0]["component_id"] is None
+    assert [x["kept"] for x in awkward if x["doc_id"] == 6].count(True) == 1  # a repeated row
+
+
+def helpers(df):
+    """df as a shuffle's outcome, with the operators' own column names and rows that repeat an identifier, or have none."""
+    more = [(5, words(30, 900), "en", "a", 0), (5, words(30, 901), "en", "a", 0), (None, words(30, 902), None, "a", 0), (None, words(30, 902), None, "a", 0), (None, words(30, 903), None, None, 0)]
+    named = df.sparkSession.createDataFrame(more, DOCS).unionByName(df.select(*(x.split()[0] for x in DOCS.split(", "))))
+    names = ("row", "_row", "_gone", "gone", "mark", "times", "_epochs", "_epoch", "said", "_said", "id", "root", "key", "best", "kept", "doc_id_", "at")
+    return named.withColumns({c: F.lit("clash") for c in names}).repartition(7, "text").filter("length(coalesce(source, '')) < 5").distinct()
+
+
+def test_rows_that_come_out_of_a_shuffle(spark):
+    df = helpers(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 700"))
+    everything = df.collect()
+    exact = exact_dedup.drop_copies(df)
+    groups = defaultdict(list)
+    for r in everything:
+        groups[lowered(r.text)].append(r.doc_id)
+    key = lambda x: (x is not None, x)
+    assert exact.columns == df.columns
+    assert Counter((r.doc_id, lowered(r.text)) for r in exact.collect()) == Counter((max(v, key=key), t) for t, v in groups.items())
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id] += r.taken
+    mixed = mixing.mixed_rows(df)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    got = Counter()
+    for r in mixed.collect():
+        got[r.doc_id] += size(r.text)
+    assert mixed.columns == df.columns and +got == +taken
+    near = minhash.drop_near_copies(df)
+    sets = {k: shingles(r.text) for k, r in enumerate(sorted(everything, key=lambda r: (r.doc_id is None, r.doc_id or 0)))}
+    ids = dict(enumerate(sorted((r.doc_id for r in everything), key=lambda x: (x is None, x or 0))))
+    top = roots({k: x for k, x in sets.items() if x})
+    assert near.columns == df.columns
+    assert Counter(r.doc_id for r in near.collect()) == Counter(ids[k] for k in sets if top.get(k, k) == k)
 
 
 def test_estimates_are_corrected_for_chance():
