@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Rows of a table of a few numbers, some 10 MB in all, that may be sent to every executor.
+SMALL = 100_000
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
 
 
@@ -66,9 +70,20 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Writes df to the shared checkpoint folder and reads on from there; the shuffles on the way are deleted at once, not when the driver next collects garbage."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        return df.select("*").checkpoint()  # a plan of its own, made under this setting
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a table of a few plain columns that is held in the checkpoint folder, to be sent to every executor if it has SMALL rows at most; else Spark shuffles."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import ascii_lower, cut, numbered
+from rungwise.llm.common import ascii_lower, cut, numbered, small
 
 #: Slices of a scan partition's run; a run never holds more than one partition's rows.
 SLICES = 8
@@ -84,5 +84,5 @@ def drop_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep:
     empty table gives no rows. Rows are numbered once, in the checkpoint folder.
     """
     rows, row = numbered(df)
-    gone = exact_dedup(rows, doc_id, text, keep, row=row).filter(~F.col("kept")).select(F.col("row").alias(row))
-    return rows.join(gone, row, "left_anti").drop(row)
+    gone = cut(exact_dedup(rows, doc_id, text, keep, row=row).filter(~F.col("kept")).select(F.col("row").alias(row)))
+    return rows.join(small(gone), row, "left_anti").drop(row)

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import cut, fresh, ship
+from rungwise.llm.common import cut, fresh, ship, small
 
 DIM_BITS = 14
 MIX = np.uint32(2654435761)
@@ -151,7 +151,7 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return Codes.fit([], [])
     each = max(1, min(per_lang, most // found))
     share = sizes.select("lang", F.least(F.lit(1.0), (2.0 * each + 64) / F.col("n")).alias("share"))
-    near = rows.join(share, "lang").filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share")).select("lang", "h", "text")
+    near = rows.join(small(share), "lang").filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share")).select("lang", "h", "text")
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

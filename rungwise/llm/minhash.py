@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import cut, dealt_anew, fresh, ship
+from rungwise.llm.common import cut, dealt_anew, fresh, ship, small
 from rungwise.llm.components import components
 
 BANDS, ROWS, BITS, WORDS = 32, 4, 8, 5
@@ -363,7 +363,7 @@ def drop_near_copies(df: DataFrame, percent: int = 75, doc_id: str = "doc_id", t
     def among(found: DataFrame):
         return (rows[mark] == found["mark"]) & rows[doc_id].cast("long").eqNullSafe(found["doc_id"])
 
-    gone, again = per.filter("not kept").select("doc_id", "mark"), per.filter("kept and n > 1").select("doc_id", "mark")
+    gone, again = small(per.filter("not kept").select("doc_id", "mark")), per.filter("kept and n > 1").select("doc_id", "mark")
     stay = rows.join(gone, among(gone), "left_anti")
     if again.take(1):
         single = stay.join(again, among(again), "left_semi").dropDuplicates([doc_id, mark])

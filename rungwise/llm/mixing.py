@@ -12,14 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import WORD, cut, fresh, numbered
+from rungwise.llm.common import SMALL, WORD, cut, fresh, numbered
 
 #: Hexadecimal digits of the key that give its range, 48 bits: exact in a double.
 KEY_DIGITS = 12
 #: Ranges per source: at least so many, and no more than so many documents in one on average.
 RANGES, PER_RANGE = 512, 65_536
-#: A table of so many sources, some 10 MB, may be sent to every executor.
-SMALL = 100_000
 
 
 def random_key(doc_id: Column, seed: int) -> Column:
@@ -77,11 +75,11 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150,
     stats = rows.groupBy("source_key").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = source_targets(stats.drop("docs"), weights, percent, most)
     plan = cut(targets.join(stats.select("source_key", "docs"), "source_key"))
-    small = plan.count() <= SMALL
+    few = plan.count() <= SMALL
     share = F.conv(F.substring("key", 1, KEY_DIGITS), 16, 10).cast("double") / float(16**KEY_DIGITS)
     ranges = F.greatest(F.lit(RANGES), F.ceil(F.col("docs") / PER_RANGE))
-    dealt = rows.drop("source").join(F.broadcast(plan) if small else plan, "source_key").withColumn("range", F.floor(share * ranges).cast("long"))
-    if not small:  # a join by source must not decide where a source's ranges are worked on
+    dealt = rows.drop("source").join(F.broadcast(plan) if few else plan, "source_key").withColumn("range", F.floor(share * ranges).cast("long"))
+    if not few:  # a join by source must not decide where a source's ranges are worked on
         dealt = dealt.repartition("source_key", "range")
     before = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("source_key", "range").agg(F.sum("size").alias("own")).select("source_key", "range", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("offset"))

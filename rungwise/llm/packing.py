@@ -29,11 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import cut, ship
+from rungwise.llm.common import cut, ship, small
 from rungwise.llm.wordbpe import coder, proof
 
-#: Rows of a table, one for each partition and source, that may be sent to every executor: some 10 MB.
-SMALL = 100_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -135,9 +133,7 @@ def pack(df: DataFrame, vocabulary: str, width: int = 4096, end_id: int = 2, doc
     """
     rows = cut(tokenized(df, vocabulary, doc_id, text, source))
     quota = cut(quotas(rows.groupBy("part", "queue").agg(F.sum("n_tokens").alias("tokens")), width))
-    if quota.count() <= SMALL:  # else Spark shuffles both sides
-        quota = F.broadcast(quota)
-    placed = rows.join(quota, ["part", "queue"]).select("doc_id", "ids", "width", (F.col("first") + F.col("local")).alias("first"), "low", "high", "total")
+    placed = rows.join(small(quota), ["part", "queue"]).select("doc_id", "ids", "width", (F.col("first") + F.col("local")).alias("first"), "low", "high", "total")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PIECES.split(", ")]
