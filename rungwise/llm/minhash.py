@@ -56,7 +56,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = xxh3_64_intdigest(word)
         if len(word) <= 64:

@@ -68,11 +68,11 @@ def prove_whole(path: str) -> dict[str, int]:
 class ChunkCoder(dict):
     """Maps a chunk (UTF-8 bytes without ASCII white space) to its ids, packed little-endian.
 
-    About `limit` chunks and words are remembered; then the memory starts anew,
+    About `limit` chunks and as many words are remembered; then the memory starts anew,
     so a worker's memory is bounded whatever the text.
     """
 
-    def __init__(self, path: str, whole: dict[str, int] | None = None, limit: int = 600_000):
+    def __init__(self, path: str, whole: dict[str, int] | None = None, limit: int = 300_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
@@ -152,6 +152,7 @@ class ChunkCoder(dict):
         cuts = np.append(np.flatnonzero(np.diff(ends)) + 1, len(texts))
         for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
             yield self.looked_up(texts.slice(a, b - a))
+        pa.default_memory_pool().release_unused()  # a worker's neighbours need it
 
     def looked_up(self, texts: pa.Array) -> pa.Array:
         """The texts' ids: distinct chunks are looked up, those not remembered are worked out together, and each chunk's ids are put in its place."""
