@@ -2,8 +2,9 @@
 
 The tokenizer drops white space, and no ASCII white space lies inside a
 pre-token, a special string or a canonical composition. A text's ids are
-therefore the ids of its ASCII-white-space chunks, one after another, and each
-chunk's ids need working out once per worker.
+therefore the ids of its ASCII-white-space chunks, one after another. Some megabytes
+of text are taken together: their distinct chunks are cut into pre-tokens at once, and every
+pre-token's ids need working out once per worker.
 
 `prove_whole` is the offline proof: it encodes every vocabulary string alone
 and keeps those that come back as exactly that one token; `proof` has it run once. A pre-token among
@@ -24,6 +25,7 @@ import pyarrow.compute as pc
 #: Characters below U+0180 are composed, and have had fixed classes and simple lower cases in all Unicode versions in use; U+0130 lowers to two.
 _LATIN = "\x21-\x7e¡-įı-ſ"
 _FIXED = re.compile(f"[{_LATIN}]+")
+_STRANGE = re.compile(f"[^ {_LATIN}]")
 
 
 def _split() -> re.Pattern:
@@ -65,15 +67,14 @@ def prove_whole(path: str) -> dict[str, int]:
     return {t: i for t, i, e in zip(texts, ids, got, strict=True) if e.ids == [i]}
 
 
-class ChunkCoder(dict):
-    """Maps a chunk (UTF-8 bytes without ASCII white space) to its ids, packed little-endian.
+class ChunkCoder:
+    """Maps texts to their ids, packed little-endian.
 
-    About `limit` chunks and as many words are remembered; then the memory starts anew,
+    About `limit` pre-tokens are remembered; then the memory starts anew,
     so a worker's memory is bounded whatever the text.
     """
 
-    def __init__(self, path: str, whole: dict[str, int] | None = None, limit: int = 300_000):
-        super().__init__()
+    def __init__(self, path: str, whole: dict[str, int] | None = None, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -103,7 +104,7 @@ class ChunkCoder(dict):
         self.merge_some([w for w in words if w.isascii()], False)  # printable ASCII stands for itself
         self.merge_some([w for w in words if not w.isascii()], True)
 
-    def merge_some(self, words: list[str], spelt: bool, step: int = 2000) -> None:
+    def merge_some(self, words: list[str], spelt: bool, step: int = 256) -> None:
         texts = [" ".join(words[k : k + step]) for k in range(0, len(words), step)]
         if spelt:
             texts = [t.encode("utf-8").decode("latin-1").translate(self.letters) for t in texts]
@@ -113,33 +114,24 @@ class ChunkCoder(dict):
             own, data = words[k * step : (k + 1) * step], ids.tobytes()
             self.words.update(zip(own, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
 
-    def cut_up(self, chunks: list[str]) -> None:
-        """Chunks of known characters: one pass cuts all into pre-tokens, and a chunk's ids lie where its characters do."""
+    def cut_up(self, chunks: list[str]) -> pa.Array:
+        """Ids of chunks of known characters: one pass cuts all into pre-tokens, and a chunk's ids lie where its characters do."""
         pieces = _PIECES.findall(" ".join(chunks).lower())
-        self.merge_all(list(set(pieces).difference(self.words)))
-        coded = list(map(self.words.__getitem__, pieces))
-        # a chunk ends with the piece whose characters, all told, are as many as its own
+        coded = list(map(self.words.get, pieces))
+        if new := {w for w, x in zip(pieces, coded, strict=True) if x is None}:
+            if len(self.words) + len(new) > self.limit + len(self.whole):
+                self.words = dict(self.whole)
+                new = set(pieces).difference(self.words)
+            self.merge_all(list(new))
+            coded = list(map(self.words.__getitem__, pieces))
+        ids = pa.array(coded, pa.binary())
+        # a chunk holds the pieces that, with those before, have no more characters than it and the chunks before
         reach = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        last = np.searchsorted(reach, np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))))
-        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))[last].tolist()
-        data = b"".join(coded)
-        self.update(zip((c.encode("utf-8") for c in chunks), [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))
-
-    def learn(self, chunks: list[bytes]) -> None:
-        """Remembers the ids of chunks."""
-        if len(self.words) > self.limit:
-            self.words = dict(self.whole)
-        if b"" in chunks:  # white space at an end
-            self[b""] = b""
-            chunks = [c for c in chunks if c]
-        texts = b"\n".join(chunks).decode("utf-8").split("\n") if chunks else []
-        odd = [t for t in texts if not (t.isprintable() if t.isascii() else _FIXED.fullmatch(t)) or "<|" in t and any(s in t for s in self.special)]
-        if odd:  # the library encodes these whole
-            for t, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                self[t.encode("utf-8")] = np.array(got.ids, dtype=self.kind).tobytes()
-            texts = list(set(texts).difference(odd))
-        if texts:
-            self.cut_up(texts)
+        ends = np.searchsorted(reach, np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))), side="right")
+        return joined(ids, ends)
+
+    def strange(self, chunk: str) -> bool:
+        return bool(_STRANGE.search(chunk)) or "<|" in chunk and any(s in chunk for s in self.special)
 
     def encode(self, texts: Iterable[bytes], most: int = 4 << 20) -> Iterator[bytes]:
         """The packed ids of each UTF-8 text."""
@@ -155,22 +147,29 @@ class ChunkCoder(dict):
         pa.default_memory_pool().release_unused()  # a worker's neighbours need it
 
     def looked_up(self, texts: pa.Array) -> pa.Array:
-        """The texts' ids: distinct chunks are looked up, those not remembered are worked out together, and each chunk's ids are put in its place."""
+        """The texts' ids: distinct chunks' ids are worked out together and put in the chunks' places."""
         lists = pc.ascii_split_whitespace(texts.view(pa.string()))
         coded = lists.flatten().dictionary_encode()
-        met = coded.dictionary.view(pa.binary()).to_pylist()
-        found = list(map(self.get, met))
-        new = [c for c, x in zip(met, found, strict=True) if x is None]
-        if new:
-            if len(self) + len(new) > self.limit:
-                self.clear()
-                new = met
-            self.learn(new)
-            found = list(map(self.__getitem__, met))
-        ids = pa.array(found, pa.binary()).take(coded.indices)
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        starts = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(starts[ends])), ids.buffers()[2]])
+        met, at = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices
+        whole = " ".join(met)
+        if _STRANGE.search(whole) or "<|" in whole:  # the library encodes such chunks
+            far = np.fromiter(map(self.strange, met), bool, len(met))
+            got = self.tokenizer.encode_batch_fast(met[far].tolist(), add_special_tokens=False)
+            others = pa.array([np.array(x.ids, dtype=self.kind).tobytes() for x in got], pa.binary())
+            ids = pa.concat_arrays([self.cut_up(met[~far].tolist()), others])
+            place = np.empty(len(met), np.int32)
+            place[np.concatenate([np.flatnonzero(~far), np.flatnonzero(far)])] = np.arange(len(met), dtype=np.int32)
+            at = pa.array(place[at.to_numpy()])
+        else:
+            ids = self.cut_up(met.tolist())
+        return joined(ids.take(at), np.cumsum(lists.value_lengths().to_numpy()))
+
+
+def joined(parts: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Binary values, each of which is all parts from where the one before ends up to its own end."""
+    starts = np.frombuffer(parts.buffers()[1], np.int32)[: len(parts) + 1] if len(parts) else np.zeros(1, np.int32)
+    offsets = np.ascontiguousarray(starts[np.concatenate([[0], ends])])
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), parts.buffers()[2]])
 
 
 _coders: dict[str, ChunkCoder] = {}
