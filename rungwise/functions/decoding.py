@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rungwise.functions.coded import MARK
-from rungwise.functions.markers import MANY, SECTION_WORDS, SHARE, SOME
 
 #: Bytes that have no character in code page 1252; a file that holds one is Latin-1.
 UNDEFINED_1252 = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
@@ -24,26 +23,3 @@ def text_of(content: Column) -> Column:
     undefined = latin.rlike("[" + "".join(map(chr, UNDEFINED_1252)) + "]")
     text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).when(undefined, latin).otherwise(western)
     return F.regexp_replace(text, "\r\n?", "\n")
-
-
-def markers(text: Column) -> Column:
-    """Markers outside strings and (unnested) comments, blanked first."""
-    blanked = F.regexp_replace(text, r'"(?:[^"]|"")*(?:"|$)|(?s:\(\*.*?(?:\*\)|\z))', " ")
-    return F.regexp_extract_all(blanked, F.lit(r"(#[0-9A-Za-z;:=><?]+)"))
-
-
-def looks_compressed(text: Column) -> Column:
-    found = markers(text)
-    length = F.aggregate(found, F.lit(0), lambda a, x: a + F.length(x))
-    visible = F.greatest(F.lit(1), F.length(F.regexp_replace(text, r"\s+", "")))
-    none = ~F.lit(False)
-    for word in SECTION_WORDS:
-        none = none & ~F.contains(text, F.lit(word))
-    return (F.size(found) > 0) & ((F.size(found) >= MANY) | (length / visible >= SHARE) | ((F.size(found) >= SOME) & none))
-
-
-def line_index(text: Column) -> Column:
-    """Array of (line, start, length) for the lines of a text; only LF ends a line."""
-    lines = F.split(text, "\n", -1)
-    starts = F.aggregate(lines, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
-    return F.transform(lines, lambda x, k: F.struct((k + 1).alias("line"), F.get(starts, k).alias("start"), F.length(x).alias("length")))

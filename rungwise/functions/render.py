@@ -90,17 +90,23 @@ def chart(nodes: list[Node]) -> str:
     return "\n".join(out)
 
 
+def initial(n: Node):
+    """A variable's initial value as what it is."""
+    read = {"integer": int, "real": float, "boolean": lambda t: t == "True"}.get(n.props.get("init"), str)
+    return read(n.literal) if n.literal is not None else "Default" if n.props.get("init") == "default" else None
+
+
 def variable_table(nodes: list[Node]) -> str:
     """Variables as aligned columns, every column as wide as its widest cell; [] for none."""
     if not nodes:
         return "[]"
     cells = [
-        [repr(n.name), repr(n.props["type"]), str(n.props["global"]), str(n.props["const"]), str(n.props["state"]), repr(n.literal), repr(n.props["description"])]
+        [repr(n.name), repr(n.props["type"]), str(n.props["global"]), str(n.props["const"]), str(n.props["state"]), repr(initial(n)), repr(n.props["description"])]
         for n in nodes
     ]
     wide = [max(map(len, column)) for column in zip(*cells, strict=True)]
-    heads = ("Name", "Datatype", "Global", "Const", "State", "Init_value", "Description")
-    return "[\n" + "\n".join(STEP + ", ".join(f"{h}: {c:<{w}}" for h, c, w in zip(heads, row, wide, strict=True)) for row in cells) + "]"
+    heads = ("Name: ", " , Datatype: ", ", Global: ", ", Const: ", ", State: ", ", Init_value : ", ", Description: ")
+    return "[\n" + "\n".join(STEP + "".join(f"{h}{c:<{w}}" for h, c, w in zip(heads, row, wide, strict=True)) for row in cells) + "]"
 
 
 def code(n: Node) -> str:
@@ -124,28 +130,50 @@ def listing(items: list[str]) -> str:
     return "[\n" + "\n".join(indent(x, STEP) for x in items) + "]" if items else "[]"
 
 
+def record(n: Node) -> str:
+    """A record type: its fields as a table."""
+    return f"DataType {n.name!r} {variable_table(n.of('field'))}"
+
+
+#: Heads of a summary by kind, and how wide heads are.
+SUMMARIES = {
+    "SingleModule": ("SingleModule", 16),
+    "ModuleTypeDef": ("ModulType", 16),
+    "ModuleTypeInstance": ("ModuleTypeInstance", 17),
+    "FrameModule": ("FrameModule", 13),
+}
+
+
 def module(n: Node) -> str:
     """A module's summary: what it declares, and how many blocks it has."""
     last_code = n.of("code")[-1:]
-    rows = {"Name": repr(n.name)}
-    if "coords" in n.props:
-        rows |= {"Enable": str(n.props["enable"]), "Invoke_coord": repr(tuple(n.props["coords"]))}
+    section = code(last_code[0]) if last_code else "None"
+    inner = listing([module(k) for k in n.of("submodule")])
+    if n.kind == "BasePicture":
+        types = f"TYPEDEFINITIONS (Records): {listing([record(k) for k in n.of('data_type')])}\n\nTYPEDEFINITIONS (Modules): {listing([module(k) for k in n.of('module_type')])}\n"
+        body = f"Name: {n.name!r}\nPosition: {tuple(n.props['coords'])!r}\n\n{types}Localvariables: {variable_table(n.of('local'))}\n\nSubmodules: {inner}\n\nModuleCode: {section}\n\nModuleDefBlocks: {len(n.of('layout'))}\n\n"
+        return "BasePicture{\n" + indent(body, STEP) + "}"
+    head, wide = SUMMARIES[n.kind]
+    rows = [("Name", repr(n.name), wide)]
+    if n.kind != "ModuleTypeDef":
+        rows.append(("Enable", str(n.props["enable"]), wide))
+        if n.kind == "ModuleTypeInstance":
+            tail = n.of("enable")
+            rows.append(("Enable_tail", expression(tail[0]) if tail else "None", wide))
+        rows.append(("Invoke_coord", repr(tuple(n.props["coords"])), wide))
+    mappings = ("ParameterMappings", listing([mapping(k) for k in n.of("mapping")]), 17)
     if n.kind == "ModuleTypeInstance":
-        rows["ModuleTypeName"] = repr(n.props["type"])
+        rows += [("ModuleTypeName", repr(n.props["type"]), wide), mappings]
     else:
-        rows["Datecode"] = repr(n.props.get("datecode"))
+        rows.append(("Datecode", repr(n.props.get("datecode")), wide))
+        if n.kind == "ModuleTypeDef":
+            rows += [("OriginFile", "None", wide), ("OriginLib", "None", wide)]
+        if n.kind != "FrameModule":
+            rows += [("Moduleparameters", variable_table(n.of("parameter")), wide), ("Localvariables", variable_table(n.of("local")), wide)]
+        rows += [("Submodules", inner, wide), ("ModuleCode", section, wide), ("ModuleDefBlocks", str(len(n.of("layout"))), 16), ("ModuleCodeBlocks", str(len(n.of("code"))), 16)]
         if n.kind != "FrameModule":
-            rows |= {"Moduleparameters": variable_table(n.of("parameter")), "Localvariables": variable_table(n.of("local"))}
-        rows |= {
-            "Submodules": listing([module(k) for k in n.of("submodule")]),
-            "ModuleCode": code(last_code[0]) if last_code else "None",
-            "ModuleDefBlocks": str(len(n.of("layout"))),
-            "ModuleCodeBlocks": str(len(n.of("code"))),
-        }
-    if n.kind not in ("FrameModule", "BasePicture"):
-        rows["ParameterMappings"] = listing([mapping(k) for k in n.of("mapping")])
-    wide = max(map(len, rows))
-    return n.kind + "{\n" + indent("\n".join(f"{k:<{wide}}: {v}" for k, v in rows.items()), STEP) + "}"
+            rows.append(mappings)
+    return head + "{\n" + indent("\n".join(f"{k:<{w}}: {v}" for k, v, w in rows), STEP) + "}"
 
 
 #: Roles under which a node's rendering is published; nodes inside an expression are part of their root's.

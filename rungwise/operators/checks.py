@@ -14,10 +14,10 @@ from rungwise.functions import coded, markers, render
 from rungwise.functions.coded import FormatError
 from rungwise.operators.parser import INTERACTORS, MODIFIERS, SECTIONS, SEQUENCE_WORDS, SHAPES, STEP_WORDS, parse
 from rungwise.operators.scanner import SyntaxFault
-from rungwise.operators.stage import parse_source, text_of
+from rungwise.operators.stage import deep, parse_source, text_of
 from rungwise.session import ship
 
-DOCUMENT = "source_id string, format string, original string, normalized string, char_map array<int>, repairs array<string>, error string"
+DOCUMENT = "source_id string, format string, original string, normalized string, char_map array<int>, repairs array<string>, repair_kinds array<string>, error string"
 RUN = "source_id string, success boolean, error_class string, error string, duration_ms double"
 #: Classes of fault that a text may give without the engine being at fault.
 EXPECTED = ("SyntaxFault", "FormatError")
@@ -58,22 +58,36 @@ def documents(sources: DataFrame, source_id: str = "source_id", content: str = "
         try:
             form, text = plain_text(data)
             if not always and not markers.is_compressed(text):
-                return key, form, text, text, None, [], None
+                return key, form, text, text, None, [], [], None
             source, used = markers.expand(text, markers.MARKERS if table is None else table)
-            return key, "compressed", text, source.normalized, source.offsets.tolist(), used, None
+            return key, "compressed", text, source.normalized, source.offsets.tolist(), used, [markers.KINDS[r] for r in used], None
         except FormatError as fault:
-            return key, form, text, None, None, [], str(fault)
+            return key, form, text, None, None, [], [], str(fault)
 
     return _stage(sources, DOCUMENT, row, source_id, content)
 
 
+def marker_facts(sources: DataFrame, source_id: str = "source_id", content: str = "content") -> DataFrame:
+    """source_id, n_markers (outside strings and comments, which nest), compressed: whether the text looks like marker text."""
+
+    def row(key: str, data: bytes | str | None) -> tuple:
+        try:
+            text = plain_text(data)[1]
+        except FormatError:
+            return key, None, None
+        return key, len(markers.markers_of(text)), markers.is_compressed(text)
+
+    return _stage(sources, "source_id string, n_markers int, compressed boolean", row, source_id, content)
+
+
 def summaries(sources: DataFrame, source_id: str = "source_id", content: str = "content") -> DataFrame:
     """source_id, summary: the program's module tree as text for people, null where it doesn't parse."""
 
     def row(key: str, data: bytes | str | None) -> tuple:
         try:
             source, _, _ = markers.prepared(plain_text(data)[1])
-            return key, render.module(parse(source.normalized).of("root")[0])
+            with deep():
+                return key, render.module(parse(source.normalized).of("root")[0])
         except (SyntaxFault, FormatError, RecursionError):
             return key, None
 

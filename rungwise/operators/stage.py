@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,19 @@ _NAMES = NODES.fieldNames()
 _STRINGS = {"source_id", "role", "kind", "name", "name_key", "literal", "props", "rendered"}
 _ARROW = pa.schema([(f, pa.string() if f in _STRINGS else pa.int32()) for f in _NAMES])
 AROUND = 40
+#: Calls that may be open at once: expressions and modules may nest some ten thousand deep.
+DEEP = 200_000
+
+
+@contextmanager
+def deep() -> Iterator[None]:
+    """Room for texts that nest deeply; beyond it they are an error row."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, DEEP))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def text_of(content: bytes) -> str:
@@ -52,25 +67,44 @@ def error_row(source_id: str, stage: str, fault: Exception, source: SourceMap |
     return (source_id, 0, 0, None, 0, 0, "error", "ParseError", None, None, None, at, at, line, col, json.dumps(props), None)
 
 
-def rows_of(source_id: str, tree: Node, source: SourceMap) -> Iterator[tuple]:
-    """The tree in pre-order, positions in the original text."""
+def keyed(n: Node) -> dict:
+    """A node's own facts, and the folded spelling of names that other nodes are found by."""
+    if n.kind == "ModuleTypeInstance":
+        return n.props | {"type_key": n.props["type"].casefold()}
+    if n.kind == "Fork":
+        return n.props | {"target_keys": [x.casefold() for x in n.props["targets"]]}
+    return n.props
+
+
+def rows_of(source_id: str, tree: Node, source: SourceMap, kinds: frozenset[str] | None = None, rendered: bool = True) -> Iterator[tuple]:
+    """The tree in pre-order, positions in the original text; with `kinds`, rows of these only, numbered as in the whole tree."""
     rows: list[list] = []
+    seen = 0
 
     def visit(n: Node, parent: int | None, depth: int, ordinal: int) -> None:
-        me = len(rows)
-        start, end = source.node(n.start, n.end)
-        line, col = source.line_col(start)
-        props = json.dumps(n.props, ensure_ascii=False) if n.props else None
-        rows.append([source_id, me, me, parent, depth, ordinal, n.role, n.kind, n.name, n.name.casefold() if n.name is not None else None, n.literal, start, end, line, col, props, render.published(n)])
+        nonlocal seen
+        me, row = seen, None
+        seen += 1
+        if kinds is None or n.kind in kinds:
+            start, end = source.node(n.start, n.end)
+            line, col = source.line_col(start)
+            facts = keyed(n)
+            props = json.dumps(facts, ensure_ascii=False) if facts else None
+            row = [source_id, me, me, parent, depth, ordinal, n.role, n.kind, n.name, n.name.casefold() if n.name is not None else None, n.literal, start, end, line, col, props, render.published(n) if rendered else None]
+            rows.append(row)
         for k, kid in enumerate(n.kids):
             visit(kid, me, depth + 1, k)
-        rows[me][2] = len(rows) - 1
+        if row:
+            row[2] = seen - 1
 
     visit(tree, None, 0, 0)
     return map(tuple, rows)
 
 
-def parse_source(source_id: str, content: bytes | str | None, decode: Callable[[str], tuple[SourceMap, list[str], bool]] = markers.prepared, failfast: bool = False) -> list[tuple]:
+Decode = Callable[[str], tuple[SourceMap, list[str], bool]]
+
+
+def parse_source(source_id: str, content: bytes | str | None, decode: Decode = markers.prepared, failfast: bool = False, kinds: frozenset[str] | None = None, rendered: bool = True) -> list[tuple]:
     """All rows of one source: its nodes, or one error row. Null content is an empty text."""
     stage, source = "decode", None
     try:
@@ -81,22 +115,26 @@ def parse_source(source_id: str, content: bytes | str | None, decode: Callable[[
             text = text_of(content) if isinstance(content, bytes) else content or ""
         source, repairs, compressed = decode(text)
         stage = "parse"
-        tree = parse(source.normalized)
-        tree.props |= {"format": "compressed" if compressed else form, "repairs": repairs}
-        return list(rows_of(source_id, tree, source))
+        with deep():
+            tree = parse(source.normalized)
+            tree.props |= {"format": "compressed" if compressed else form, "repairs": repairs, "repair_kinds": [markers.KINDS.get(r) for r in repairs]}
+            return list(rows_of(source_id, tree, source, kinds, rendered))
     except (SyntaxFault, FormatError, RecursionError) as fault:
         if failfast:
             raise
         return [error_row(source_id, stage, fault, source)]
 
 
-def parse_sources(sources: DataFrame, source_id: str = "source_id", content: str = "content", mode: str = "PERMISSIVE", batch_rows: int = 20_000) -> DataFrame:
+def parse_sources(sources: DataFrame, source_id: str = "source_id", content: str = "content", mode: str = "PERMISSIVE", batch_rows: int = 20_000, kinds: Iterable[str] | None = None, rendered: bool = True, decode: Decode = markers.prepared) -> DataFrame:
     """The node relation of a table of sources, `content` being binary or text.
 
     No shuffle: partitions are the scan's. A batch leaves the stage as soon as it
     holds `batch_rows` rows, so memory is bounded by the largest single file.
+    With `kinds`, only nodes of these kinds (and errors) leave the stage; without `rendered`,
+    no text for people is made. `decode` is another preparation of texts.
     """
     ship(sources.sparkSession)
+    kinds = None if kinds is None else frozenset(kinds)
     failfast = mode.upper() == "FAILFAST"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +147,7 @@ def parse_sources(sources: DataFrame, source_id: str = "source_id", content: str
 
         for batch in batches:
             for key, data in zip(batch.column(0), batch.column(1), strict=True):
-                held.extend(parse_source(key.as_py(), data.as_py(), failfast=failfast))
+                held.extend(parse_source(key.as_py(), data.as_py(), decode, failfast, kinds, rendered))
                 if len(held) >= batch_rows:
                     yield flush()
         if held:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rungwise.operators.parser import Node, Parser
 
 #: Calls that may be compiled; all others are refused.
-CALLS: dict[str, Callable[..., Column]] = {"abs": F.abs, "sqrt": F.sqrt, "min": F.least, "max": F.greatest, "round": F.round, "trunc": F.floor}
+CALLS: dict[str, Callable[..., Column]] = {"abs": F.abs, "sqrt": F.sqrt, "min": F.least, "max": F.greatest, "round": F.round, "trunc": lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))}
 _BINARY = {"+": Column.__add__, "-": Column.__sub__, "*": Column.__mul__, "/": Column.__truediv__, "<": Column.__lt__, ">": Column.__gt__, "<=": Column.__le__, ">=": Column.__ge__, "==": Column.__eq__, "<>": Column.__ne__}
 
 

@@ -2,23 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from rungwise.functions.provenance import line_starts
+from rungwise.session import ship
 
-from rungwise.functions.decoding import line_index
+#: Lines that leave the stage together.
+LINES = 100_000
 
 
 def lines(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, line, start, length for every line of every text."""
-    return texts.select(F.col(key), F.inline(line_index(F.coalesce(F.col(text), F.lit("")))))
+    """key, line, start, length for every line of every text; only LF ends a line, null text counts as empty. One pass over each text, no shuffle."""
+    ship(texts.sparkSession)
+    kind = to_arrow_type(texts.schema[key].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                body = batch.column(1)[row].as_py()
+                starts = line_starts(body)
+                sizes = np.diff(np.append(starts, len(body) + 1)) - 1
+                for k in range(0, len(starts), LINES):
+                    n = len(starts[k : k + LINES])
+                    own = batch.column(0).take(pa.array(np.full(n, row)))
+                    yield pa.RecordBatch.from_arrays([own.cast(kind), *(pa.array(x.astype(np.int32)) for x in (np.arange(k + 1, k + 1 + n), starts[k : k + LINES], sizes[k : k + LINES]))], names=[key, "line", "start", "length"])
+
+    schema = T.StructType([texts.schema[key], *(T.StructField(c, T.IntegerType()) for c in ("line", "start", "length"))])
+    return texts.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("body")).mapInArrow(run, schema)
 
 
 def line_of(offsets: DataFrame, texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """offsets (key, at) with 1-based line and col. A text's lines are searched in place, so nothing is exploded or multiplied."""
-    starts = F.transform(line_index(F.coalesce(F.col(text), F.lit(""))), lambda x: x["start"])
-    found = texts.select(F.col(key), starts.alias("starts")).join(offsets, key)
-    line = F.size(F.filter("starts", lambda s: s <= F.col("at")))
-    return found.select(key, "at", line.alias("line"), (F.col("at") - F.get("starts", line - 1) + 1).alias("col"))
+    """offsets (key, at) with 1-based line and col: each is looked up in the sorted starts of its text's lines."""
+    ship(texts.sparkSession)
+    asked = offsets.groupBy(key).agg(F.collect_list("at").alias("ats"))
+    found = texts.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("body")).join(asked, key)
+    kind = to_arrow_type(texts.schema[key].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ats = batch.column(2)
+            rows = np.repeat(np.arange(batch.num_rows), ats.value_lengths().to_numpy())
+            at, line, col = [], [], []
+            for body, own in zip(batch.column(1), ats, strict=True):
+                starts, own = line_starts(body.as_py()), np.array(own.as_py(), np.int64)
+                n = np.searchsorted(starts, own, side="right")
+                at.append(own)
+                line.append(n)
+                col.append(own - starts[n - 1] + 1)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)).cast(kind), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (at, line, col))], names=[key, "at", "line", "col"])
+
+    schema = T.StructType([texts.schema[key], *(T.StructField(c, T.IntegerType()) for c in ("at", "line", "col"))])
+    return found.select(key, "body", "ats").mapInArrow(run, schema)
 
 
 def anchors(places: DataFrame, key: str, at: str = "at", real: str = "real") -> DataFrame:

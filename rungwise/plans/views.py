@@ -29,9 +29,9 @@ def _typed(nodes: DataFrame, kinds: tuple[str, ...], schema: str) -> DataFrame:
 
 def programs(nodes: DataFrame) -> DataFrame:
     """A row per parsed source: program_name, root_name, invoke_coord, the three header lines, wire format and repairs."""
-    p = _typed(nodes, ("Program",), "header array<string>, format string, repairs array<string>")
+    p = _typed(nodes, ("Program",), "header array<string>, format string, repairs array<string>, repair_kinds array<string>")
     root = _typed(nodes, ("BasePicture",), "coords array<double>, datecode long").select("source_id", F.col("name").alias("root_name"), F.col("p.coords").alias("invoke_coord"), F.col("p.datecode").alias("datecode"))
-    return p.join(root, "source_id").select("source_id", F.col("name").alias("program_name"), "root_name", "invoke_coord", "datecode", F.col("p.header").alias("header"), F.col("p.format").alias("format"), F.col("p.repairs").alias("repairs"))
+    return p.join(root, "source_id").select("source_id", F.col("name").alias("program_name"), "root_name", "invoke_coord", "datecode", F.col("p.header").alias("header"), F.col("p.format").alias("format"), F.col("p.repairs").alias("repairs"), F.col("p.repair_kinds").alias("repair_kinds"))
 
 
 def variables(nodes: DataFrame) -> DataFrame:
@@ -44,9 +44,9 @@ def variables(nodes: DataFrame) -> DataFrame:
 
 
 def modules(nodes: DataFrame) -> DataFrame:
-    m = _typed(nodes, MODULES, "type string, coords array<double>, enable boolean, layer int, zoomable boolean, zoom_limits array<double>, flags array<string>, datecode long, scan_group_global boolean")
+    m = _typed(nodes, MODULES, "type string, type_key string, coords array<double>, enable boolean, layer int, zoomable boolean, zoom_limits array<double>, flags array<string>, datecode long, scan_group_global boolean")
     return m.select(
-        "source_id", "node_id", "subtree_end", "parent_id", "kind", "name", "name_key", F.col("p.type").alias("type_name"), F.lower("p.type").alias("type_key"),
+        "source_id", "node_id", "subtree_end", "parent_id", "kind", "name", "name_key", F.col("p.type").alias("type_name"), F.col("p.type_key").alias("type_key"),
         F.col("p.coords").alias("invoke_coord"), *[F.col(f"p.{c}").alias(c) for c in ("enable", "layer", "zoomable", "zoom_limits", "flags", "datecode")], span(),
     )
 
@@ -97,7 +97,7 @@ def equations(nodes: DataFrame) -> DataFrame:
 
 
 def chart_nodes(nodes: DataFrame) -> DataFrame:
-    return of_kind(nodes, *CHART).select("source_id", "node_id", "subtree_end", "parent_id", "ordinal", "role", "kind", "name", F.from_json("props", "targets array<string>")["targets"].alias("targets"), span())
+    return of_kind(nodes, *CHART).select("source_id", "node_id", "subtree_end", "parent_id", "ordinal", "role", "kind", "name", "name_key", F.from_json("props", "targets array<string>")["targets"].alias("targets"), F.from_json("props", "target_keys array<string>")["target_keys"].alias("target_keys"), span())
 
 
 def chart_edges(nodes: DataFrame) -> DataFrame:
@@ -115,8 +115,8 @@ def chart_edges(nodes: DataFrame) -> DataFrame:
     tails = forked.filter("after is null").select("source_id", F.col("node_id").alias("from_node"), F.col("from_node").alias("to_node"), F.lit(None).cast("string").alias("to_name"), F.lit("join").alias("kind"))
     code = of_kind(nodes, "ModuleCode").select("source_id", F.col("node_id").alias("low"), F.col("subtree_end").alias("high"), F.col("parent_id").alias("module"))
     inside = n.join(code, "source_id").filter("node_id > low and node_id <= high")
-    forks = inside.filter("kind = 'Fork'").select("source_id", "module", F.col("node_id").alias("from_node"), F.explode("targets").alias("to_name")).withColumn("key", F.lower("to_name"))
-    steps = inside.filter("name is not null").groupBy("source_id", "module", F.lower("name").alias("key")).agg(F.min("node_id").alias("to_node"))
+    forks = inside.filter("kind = 'Fork'").select("source_id", "module", F.col("node_id").alias("from_node"), F.explode(F.arrays_zip(F.col("targets").alias("to_name"), F.col("target_keys").alias("key"))).alias("to")).select("source_id", "module", "from_node", "to.*")
+    steps = inside.filter("name is not null").groupBy("source_id", "module", F.col("name_key").alias("key")).agg(F.min("node_id").alias("to_node"))
     jumps = forks.join(steps, ["source_id", "module", "key"], "left").select("source_id", "from_node", "to_node", "to_name", F.lit("fork").alias("kind"))
     return follow.unionByName(heads).unionByName(tails).unionByName(jumps)
 
@@ -176,7 +176,7 @@ def duplicate_names(nodes: DataFrame) -> DataFrame:
 def constant_writes(nodes: DataFrame) -> DataFrame:
     """Assignments to a variable that the same source declares Const."""
     const = variables(nodes).filter("is_const").select("source_id", F.col("name_key").alias("key")).distinct()
-    targets = nodes.filter((F.col("kind") == "VarRef") & (F.col("role") == "target")).select("source_id", F.col("parent_id").alias("statement_id"), "name", F.lower(F.split("name", r"\.")[0]).alias("key"))
+    targets = nodes.filter((F.col("kind") == "VarRef") & (F.col("role") == "target")).select("source_id", F.col("parent_id").alias("statement_id"), "name", F.split("name_key", r"\.")[0].alias("key"))
     assigned = of_kind(nodes, "Assignment").select("source_id", F.col("node_id").alias("statement_id"))
     return targets.join(assigned, ["source_id", "statement_id"]).join(const, ["source_id", "key"], "left_semi").drop("key")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.functions.decoding import is_coded, text_of
+from rungwise.functions.decoding import is_coded
 
 #: Sub-folders of a test corpus.
 CORPUS_PARTS = ("valid", "invalid", "edge_cases", "semantic")
@@ -21,8 +21,10 @@ def read_sources(spark: SparkSession, path: str | list[str], glob: str | None =
 
 
 def load_text(sources: DataFrame) -> DataFrame:
-    """source_id and text of files that aren't coded, decoded on the JVM, without provenance."""
-    return sources.filter(~F.col("coded")).select("source_id", text_of(F.col("content")).alias("text"))
+    """source_id and text of files of any wire format, decoded and with markers expanded, without provenance; null where that fails."""
+    from rungwise.operators.checks import documents
+
+    return documents(sources).select("source_id", F.col("normalized").alias("text"))
 
 
 def corpus(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ def test_documents(made):
 def test_summaries(made):
     got = {r.source_id: r.summary for r in checks.summaries(made).collect()}
     assert got["plain"] == got["packed"] == got["coded"] and got["broken"] is None
-    assert "Name: 'A'  , Datatype: 'integer', Global: False" in got["plain"] and "ModuleDefBlocks" in got["plain"]
+    assert "Name: 'A'   , Datatype: 'integer', Global: False" in got["plain"] and "ModuleDefBlocks" in got["plain"]
 
 
 def test_runs(made):
@@ -45,4 +45,4 @@ def test_random_texts_never_crash_the_engine(spark):
     assert all(len(r.content) == 400 for r in texts.collect())
     assert checks.crashes(checks.runs(texts)).count() == 0
     deep = spark.createDataFrame([("deep", code("A = " + "(" * 5000 + "1" + ")" * 5000 + ";"))], "source_id string, content string")
-    assert [r.error_class for r in checks.runs(deep).collect()] == ["RecursionError"]
+    assert [r.error_class for r in checks.runs(deep).collect()] == [None]

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from rungwise.functions import coded, markers
 from rungwise.functions.coded import FormatError
 from rungwise.functions.provenance import GENERATED, SourceMap
+from rungwise.plans import positions
 
 
 @given(st.text(st.characters(min_codepoint=1, max_codepoint=127, exclude_characters="\r"), max_size=500))
@@ -87,3 +88,41 @@ def test_compressing_and_expanding_gives_the_same_words():
     text = 'SUBMODULES A Invocation ( 0.0 ) : MODULEDEFINITION (* SUBMODULES *) "ModuleDef" ENDDEF (*x*);'
     source, _ = markers.expand(markers.compress(text))
     assert source.normalized.split() == text.split()
+
+
+def test_what_is_kept_keeps_its_place():
+    for new, old, want in (("TTrueVar", "TrueVar", [0, -1, 1, 2, 3, 4, 5, 6]), ("(Last", "#01Last", [-1, 3, 4, 5, 6]), ("a b c", "a x b y c", [0, 1, 4, 7, 8]), ("", "abc", []), ("abc", "", [-1, -1, -1])):
+        assert markers.aligned(new, old, list(range(len(old)))) == want
+
+
+def test_lines_of_long_texts(spark):
+    texts = ["", "a\n", "\n\nb", "x" * 10 + "\n" + "line\n" * 20_000, None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(1, "twice\n")], "k long, text string")
+    got = {}
+    for r in positions.lines(df, "k").collect():
+        got.setdefault(r.k, []).append((r.line, r.start, r.length))
+    for k, t in enumerate(texts):
+        want, at = [], 0
+        for n, line in enumerate((t or "").split("\n"), 1):
+            want.append((n, at, len(line)))
+            at += len(line) + 1
+        assert sorted(got[k])[: len(want)] == want or k == 1
+    where = positions.line_of(spark.createDataFrame([(3, 0), (3, 11), (3, 50_000), (2, 2)], "k long, at int"), df, "k").collect()
+    assert {(r.k, r.at, r.line, r.col) for r in where} == {(3, 0, 1, 1), (3, 11, 2, 1), (3, 50_000, 9999, 5), (2, 2, 3, 1)}
+
+
+def test_folded_names_meet(spark):
+    from rungwise.operators.stage import parse_sources
+    from rungwise.plans import roundtrip as rt
+    from rungwise.plans import views
+
+    text = rt.HEAD + "T" + rt.ROOT + "TYPEDEFINITIONS\nGRÖSSE = MODULEDEFINITION DateCode_ 1\n" + rt.LAYOUT + "ENDDEF;\nLOCALVARIABLES\nMaß: integer Const;\nSUBMODULES\nI" + rt.INVOKE + "Größe;\n" + rt.LAYOUT + "ModuleCode\nEQUATIONBLOCK E" + rt.PLACE + ":\nMASS = 1;\n" + rt.END
+    nodes = parse_sources(spark.createDataFrame([("s", text)], "source_id string, content string"))
+    assert [r.type_node_id is not None for r in views.resolved_instances(nodes).collect()] == [True]
+    assert [r.name for r in views.constant_writes(nodes).collect()] == ["MASS"]
+
+
+def test_trunc_goes_towards_zero(spark):
+    from rungwise.plans.compiled import column
+
+    assert [r.x for r in spark.createDataFrame([(-1.5,), (1.5,), (0.0,)], "v double").select(column("trunc(v)").alias("x")).collect()] == [-1, 1, 0]

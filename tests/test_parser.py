@@ -8,7 +8,7 @@ from rungwise.functions import render
 from rungwise.functions.markers import compress
 from rungwise.operators.parser import parse, program_name
 from rungwise.operators.scanner import SyntaxFault
-from rungwise.operators.stage import parse_source
+from rungwise.operators.stage import _NAMES, parse_source
 from rungwise.plans.compiled import expression
 from rungwise.plans.roundtrip import END, HEAD, LAYOUT, PLACE, ROOT
 
@@ -197,3 +197,15 @@ def test_encodings():
     text = code("Åke = 1;")
     assert [r["name"] for r in of(text.encode("cp1252"), "Assignment")] == ["Åke"]
     assert [r["name"] for r in of(text.replace("\n", "\r\n").encode("utf-8"), "Assignment")] == ["Åke"]
+
+
+def test_deep_brackets_parse():
+    text = code("A = " + "(1 + " * 3000 + "2" + ")" * 3000 + ";\n")
+    assert len(of(text, "BinOp")) == 3000 and not of(text, "ParseError")
+
+
+def test_only_some_kinds_leave_the_stage():
+    text = code("A = B + 1;\n")
+    whole = {r["node_id"]: r for r in rows(text)}
+    few = [dict(zip(_NAMES, r, strict=True)) for r in parse_source("s", text, kinds=frozenset({"VarRef"}), rendered=False)]
+    assert [r["name"] for r in few] == ["A", "B"] and all(whole[r["node_id"]] | {"rendered": None} == r for r in few)
