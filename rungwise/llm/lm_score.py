@@ -28,12 +28,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,42 +53,44 @@ ENOUGH = 0.05
 STRENGTHS = tuple(4.0**k for k in range(-1, 11))
 
 
-class Lexicon(dict):
-    """A worker's words: each has a place, at which stand its 64-bit hash, its class and its feature hash. Place 0 is the end of a text."""
+class Read(NamedTuple):
+    """Some texts as places in a table of their distinct words; place 0 is the end of a text."""
 
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-        self.reset()
+    tokens: np.ndarray  # the place of every token, each text closed by its end
+    sizes: np.ndarray  # tokens of every text
+    hashes: np.ndarray  # of every place, 64 bits
+    classes: np.ndarray
+    features: np.ndarray
 
-    def reset(self) -> None:
-        self.clear()
-        self.hashes, self.classes, self.features = array("Q", [0]), array("B", [0]), array("L", [1])
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
+def read(texts: pa.Array) -> Read:
+    """The words of UTF-8 texts (binary, no nulls), lower-cased from A to Z."""
+    from xxhash import xxh3_64_intdigest
 
-        h = xxh3_64_intdigest(word) or 1
-        at = self[word] = len(self.hashes)
-        self.hashes.append(h)
-        self.classes.append(1 + zlib.crc32(word[-3:]) % (CLASSES - 1))
-        self.features.append(2 + h % 0x7FFFFFFF)
-        return at
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words = lists.flatten()
+    whole = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty one
+    upto = np.concatenate([[0], np.cumsum(whole)])
+    sizes = np.diff(upto[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]) + 1
+    coded = words.filter(pa.array(whole)).dictionary_encode()
+    met = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
+    hashes = np.array([0, *(xxh3_64_intdigest(w) or 1 for w in met)], np.uint64)
+    classes = np.array([0, *(1 + zlib.crc32(w[-3:]) % (CLASSES - 1) for w in met)], np.uint8)
+    features = np.append(np.uint64(1), 2 + hashes[1:] % np.uint64(0x7FFFFFFF)).astype(np.uint32)
+    tokens = np.zeros(sizes.sum(), np.int32)
+    inside = np.ones(len(tokens), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    tokens[inside] = coded.indices.to_numpy() + 1
+    return Read(tokens, sizes, hashes, classes, features)
 
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all words of the texts, each text closed by its end, and every text's number of tokens."""
-        if len(self) > self.limit:
-            self.reset()
-        get, parts, sizes = self.__getitem__, [], []
-        for t in texts:
-            words = t.as_py().lower().split()
-            parts.append(np.fromiter(map(get, words), np.int64, len(words)))
-            parts.append(np.zeros(1, np.int64))
-            sizes.append(len(words) + 1)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(sizes, np.int64)
 
-
-_lexicon = Lexicon()
+def portions(batch: pa.RecordBatch, text: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts, in column `text`, hold some `most` bytes."""
+    if batch.num_rows:
+        marks = np.cumsum(pc.binary_length(batch.column(text)).to_numpy()) // most
+        cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
 
 
 def histories(features: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,12 +221,11 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """h, class, c of every token of rows (text binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _lexicon
         for batch in batches:
-            tokens, _ = own.read(batch.column(0))
-            n = np.bincount(tokens, minlength=len(own.hashes))
-            met = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(own.hashes)[met].view(np.int64)), pa.array(np.array(own.classes)[met].astype(np.int32)), pa.array(n[met])], names=["h", "class", "n"])
+            for part in portions(batch, 0):
+                own = read(part.column(0))
+                n = np.bincount(own.tokens, minlength=len(own.hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(own.hashes.view(np.int64)), pa.array(own.classes.astype(np.int32)), pa.array(n)], names=["h", "class", "n"])
 
     return rows.mapInArrow(run, "h long, class int, n long").groupBy("h", "class").agg(F.sum("n").alias("c"))
 
@@ -232,11 +234,10 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     """pair, h, context, c of every (word before, word) of rows (text binary); h is the word, context the key of (word before, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _lexicon
-        for batch in batches:
-            tokens, sizes = own.read(batch.column(0))
-            hashes = np.array(own.hashes)[tokens]
-            pairs, contexts = keys_of(hashes, np.array(own.classes)[tokens], sizes)
+        for part in (x for batch in batches for x in portions(batch, 0)):
+            own = read(part.column(0))
+            hashes = own.hashes[own.tokens]
+            pairs, contexts = keys_of(hashes, own.classes[own.tokens], own.sizes)
             pairs, at, n = np.unique(pairs, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (pairs, hashes[at], contexts[at], n)], names=["pair", "h", "context", "n"])
 
@@ -266,13 +267,11 @@ def trained(rows: DataFrame, bias: np.ndarray, weights: np.ndarray | None, past:
     held = rows.sparkSession.sparkContext.broadcast((bias, weights, past))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, trainer, part = _lexicon, Trainer(*held.value), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = batch.column(0)[0].as_py()
-            tokens, sizes = own.read(batch.column(1))
-            trainer.learn(np.array(own.classes)[tokens], *histories(np.array(own.features)[tokens], sizes))
+        trainer, part = Trainer(*held.value), 0
+        for some in (x for batch in batches for x in portions(batch, 1)):
+            part = some.column(0)[0].as_py()
+            own = read(some.column(1))
+            trainer.learn(own.classes[own.tokens], *histories(own.features[own.tokens], own.sizes))
         if trainer.tokens:
             cuts = np.array_split(np.column_stack([trainer.weights, trainer.past]), PARTS)
             yield pa.RecordBatch.from_arrays([pa.array([part] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([trainer.tokens] * PARTS, pa.int64()), pa.array([trainer.loss] * PARTS, pa.float64()), pa.array([x.tobytes() for x in cuts], pa.binary())], names=["part", "cut", "tokens", "loss", "data"])
@@ -335,27 +334,26 @@ def score(df: DataFrame, training: Column, rounds: int | None = None, doc_id: st
     weights, _ = settled(learning, bias, rounds)
     model = spark.sparkContext.broadcast(Model(weights, bias, np.log10(n + v + 1), (keys[order], heavy["c"].to_numpy(np.int64)[order])))
 
+    payload = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("counts", pa.float64()), ("rest", pa.float64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, own = _lexicon, model.value
-        payload = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("counts", pa.float64()), ("rest", pa.float64())])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens, sizes = lexicon.read(batch.column(2))
+        own = model.value
+        for part in (x for batch in batches for x in portions(batch, 2)):
+            texts = read(part.column(2))
+            tokens, sizes, hashes, classes = texts.tokens, texts.sizes, texts.hashes, texts.classes
             starts = np.cumsum(sizes) - sizes
-            hashes = np.array(lexicon.hashes)
             c = own.counts(hashes)
-            rest = np.add.reduceat(own.log10(np.array(lexicon.classes)[tokens], *histories(np.array(lexicon.features)[tokens], sizes)), starts)
+            rest = np.add.reduceat(own.log10(classes[tokens], *histories(texts.features[tokens], sizes)), starts)
             mine = c[tokens]
             known = np.add.reduceat((mine > 0).astype(np.int64), starts)
             logs = np.add.reduceat(np.log10(c + 1.0)[tokens], starts)
-            row = batch.column(0).to_numpy()
-            docs = pa.StructArray.from_arrays([batch.column(1), pa.array(sizes), pa.array(known), pa.array(logs), pa.array(rest)], fields=list(payload))
+            row = part.column(0).to_numpy()
+            docs = pa.StructArray.from_arrays([part.column(1), pa.array(sizes), pa.array(known), pa.array(logs), pa.array(rest)], fields=list(payload))
             yield pa.RecordBatch.from_arrays([pa.array(~row), pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1), pa.int32()), pa.array(row)), docs], names=["h", "rows", "doc"])
             # the other words, and all pairs: one row for each, with the rows it stands in
             at = row[np.repeat(np.arange(len(sizes)), sizes)]
             far = mine == 0
-            for which, place in ((hashes[tokens[far]], at[far]), *((x, at) for x in keys_of(hashes[tokens], np.array(lexicon.classes)[tokens], sizes))):
+            for which, place in ((hashes[tokens[far]], at[far]), *((x, at) for x in keys_of(hashes[tokens], classes[tokens], sizes))):
                 if not len(which):
                     continue
                 order = np.argsort(which, kind="stable")

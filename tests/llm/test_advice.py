@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rungwise.llm import lm_score
@@ -13,18 +14,18 @@ def test_pair_terms_make_a_distribution(spark):
     texts = ["the sea the bee the sea", "a bee the tea", "a sea a bee", "the sea", ""] * 3 + ["once"]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select(F.col("text").cast("binary").alias("text"))
     counts = lm_score.word_counts(rows).cache()
-    own = lm_score.Lexicon()
-    [own[w.encode()] for t in texts for w in t.split()]
-    classes = dict(zip(own.hashes, own.classes, strict=True))
+    own = lm_score.read(pa.array([t.encode() for t in texts]))
+    classes = {int(h): int(c) for h, c in zip(own.hashes, own.classes, strict=True)}
     c = {x.h & (2**64 - 1): x.c for x in counts.collect()}
     sizes = np.ones(lm_score.CLASSES)
     for h, n in c.items():
         sizes[classes[h]] += n + 1
     got = {x.h & (2**64 - 1): x.v for x in lm_score.pair_terms(lm_score.pair_counts(rows), counts, sizes, sum(c.values())).collect()}
     pairs = Counter()
-    for t in texts:
+    for one in np.split(own.hashes[own.tokens], np.cumsum(own.sizes)[:-1]):
+        assert one[-1] == 0
         last = 1
-        for h in [own.hashes[own[w.encode()]] for w in t.split()] + [0]:
+        for h in one.tolist():
             pairs[last, h] += 1
             last = h
     contexts = Counter()
@@ -66,3 +67,13 @@ def test_training_goes_on_from_the_average_while_it_pays(spark):
     assert len(losses) > 2 and gains[0] > 0.3 and all(g >= lm_score.ENOUGH for g in gains[:-1]) and gains[-1] < lm_score.ENOUGH
     assert len(lm_score.settled(rows, flat, 1)[1]) == 1
     assert len(lm_score.settled(rows.limit(0), flat)[1]) == 1
+
+
+def test_words_are_read_as_defined():
+    texts = ["", "  \n", "The end ", "\tÜnï THE\x1cx", "a  b"]
+    own = lm_score.read(pa.array([t.encode() for t in texts]))
+    want = [[], [], ["the", "end"], ["Ünï", "the\x1cx"], ["a", "b"]]
+    assert own.sizes.tolist() == [len(w) + 1 for w in want]
+    from xxhash import xxh3_64_intdigest
+
+    assert own.hashes[own.tokens].tolist() == [h for w in want for h in [*(xxh3_64_intdigest(x.encode()) for x in w), 0]]
