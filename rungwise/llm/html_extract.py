@@ -3,8 +3,8 @@
 Markup is stripped to lines, one per block of text; an element that ends the
 flow of text (a menu, an advert, the borders of the article) leaves a gap of empty lines.
 The length of every window of `WINDOW` lines is the line-block
-distribution. Text surges where a window first holds some after a gap and dives
-where the windows fall back to nothing; what lies between a surge and
+distribution. Text surges where the windows rise from nothing to a fair height and dives
+where they fall back to nothing; what lies between a surge and
 its dive is kept if it is the page's article, or, on a page that marks none, if it carries a fair part
 of the page's text and is not mostly links. There, text that goes on in the same container after a gap is of one piece with the text before it.
 """
@@ -25,10 +25,18 @@ from rungwise.llm.common import ship
 WINDOW = 3
 #: A region of an unmarked page is kept from this share of the largest region's length.
 FAIR = 0.25
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>?", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: A stretch of text counts from this share of the page's highest window.
+SURGE = 0.1
+
+# comments, declarations, tags with their attributes (a quote that is never closed is a character like any other), tags cut off
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)?+|=)*+)>"
+    r"|</?[a-zA-Z][^>]*>?",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+))?+)?+", re.S)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # Element names and the words in class, id and role that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,15 +53,33 @@ HINTS = frozenset(
     "comment comments commentlist respond replies reply discussion disqus share sharing social related recommended recommendations trending skip search contentinfo complementary dialog tags toc".split()
 )
 
+#: Parts that say nothing of their own in a name like `ad-box`.
+NEUTRAL = frozenset("box block slot container wrapper wrap list links link bar buttons button area section panel unit item items inner outer group top bottom left right post posts article articles main page site js id widget text icon icons form message".split())
+
 Line = tuple[str, int, bool, int]  # text, characters inside links, whether the article holds it, number of its container
 
 
+def attributes_of(text: str) -> dict[str, str]:
+    """Names in lower case; the first of several of one name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def names_no_article(name: str) -> bool:
+    """A hint by itself, or one joined to hints and neutral parts only: `ad`, `cookie-notice`, `ad_box`, but not `with-sidebar` or `ad-hoc`."""
+    if name in HINTS:
+        return True
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    return len(parts) > 1 and not HINTS.isdisjoint(parts) and all(x in HINTS or x in NEUTRAL for x in parts)
+
+
 def _hinted(attributes: str) -> bool:
-    for m in _NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            if name in HINTS or HINTS.intersection(re.split(r"[-_]+|\d+", name)):
-                return True
-    return bool(_HIDDEN.search(attributes))
+    own = attributes_of(attributes)
+    if "hidden" in own and own["hidden"].lower() != "false" or own.get("aria-hidden", "").lower() == "true" or _NO_DISPLAY.search(own.get("style", "")):
+        return True
+    return any(names_no_article(x) for key in ("class", "id", "role") for x in own.get(key, "").lower().split())
 
 
 def lines_of(page: str) -> list[Line]:
@@ -158,7 +184,7 @@ def lines_of(page: str) -> list[Line]:
 
 
 def regions(lines: list[Line]) -> list[tuple[int, int]]:
-    """(surge, dive) of every stretch over which the line-block distribution stays above nothing."""
+    """(surge, dive) of every stretch of windows that hold text, from nothing to nothing, which rises to SURGE of the page's highest window or holds lines of the article."""
     sizes = np.array([len(t) for t, *_ in lines], np.int64)
     if not sizes.any():
         return []
@@ -166,7 +192,9 @@ def regions(lines: list[Line]) -> list[tuple[int, int]]:
     blocks = total[np.minimum(np.arange(len(sizes)) + WINDOW, len(sizes))] - total[:-1]
     live = np.concatenate([[False], blocks > 0, [False]])
     surge, dive = np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(~live[1:] & live[:-1])
-    return list(zip(surge.tolist(), dive.tolist(), strict=True))
+    high = np.maximum.reduceat(blocks, surge) >= SURGE * blocks.max()  # between a dive and the next surge stands nothing
+    own = np.concatenate([[0], np.cumsum([x[2] for x in lines])])
+    return [(a, b) for a, b, up in zip(surge.tolist(), dive.tolist(), high.tolist(), strict=True) if up or own[b] > own[a]]
 
 
 def main_text(page: str | None) -> str:
@@ -194,7 +222,12 @@ def main_text(page: str | None) -> str:
 
 
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars for every row; repeated rows and null identifiers come out row by row, an empty table gives none. No shuffle."""
+    """page_id, url, text, n_chars for every row.
+
+    A null, empty or text-free page gives the empty text. Repeated rows and null identifiers
+    come out row by row, an empty table gives none; other columns of df, whatever their names, are not
+    read. Pages are read whole, however long, one at a time. No shuffle.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,6 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from rungwise.llm import html_extract
 
 
@@ -10,3 +13,45 @@ def test_an_advert_does_not_end_running_text():
     assert html_extract.main_text(apart) == long
     links = f"<body><div><p>{long}</p><nav>x</nav><p><a>Only a link here</a></p><nav>y</nav><p>{short}</p></div></body>"
     assert html_extract.main_text(links) == f"{long} {short}"
+
+
+PARA = "A paragraph of running text that says something at length, so that it counts. "
+
+
+def test_names_of_the_articles_own_blocks_lose_nothing():
+    for head in ('<div class="overflow-hidden">', '<div data-x="hidden gems">', '<div class="page with-sidebar">', '<div class="lead notice-board">', '<div id="toc-1">', '<p class="share-price">', '<p class="ad-hoc">', "<p title=it's>"):
+        page = f"<body>{head}{PARA}</div><p>{PARA}isn't it</p></body>"
+        assert html_extract.main_text(page).startswith(PARA.strip()) and html_extract.main_text(page).endswith("isn't it"), head
+        page = f"<body><article><p>{PARA}</p>{head}Inside.</div><p>End isn't near.</p></article></body>"
+        assert html_extract.main_text(page) == f"{PARA}Inside. End isn't near.", head
+
+
+def test_what_is_no_article_goes():
+    for head in ('<div class="ad">', '<div class="cookie-notice">', "<div id=comments>", '<div hidden>', '<div style="display: none">', '<div aria-hidden="true">', '<div class="share-buttons big">', "<div role=search>", '<div class="ad_box">', '<div title="open class=x hidden>'):
+        page = f"<body><article><p>{PARA}</p>{head}Away.</div><p>End.</p></article></body>"
+        assert html_extract.main_text(page) == f"{PARA}End.", head
+
+
+def brute_regions(lines):
+    """By definition, window by window."""
+    size = lambda k: sum(len(lines[j][0]) for j in range(k, min(len(lines), k + html_extract.WINDOW)))
+    blocks = [size(k) for k in range(len(lines))]
+    out, k = [], 0
+    while k < len(lines):
+        if blocks[k] == 0:
+            k += 1
+            continue
+        end = k
+        while end < len(lines) and blocks[end]:
+            end += 1
+        if max(blocks[k:end]) >= html_extract.SURGE * max(blocks) or any(x[2] for x in lines[k:end]):
+            out.append((k, end))
+        k = end
+    return out
+
+
+@given(st.lists(st.tuples(st.sampled_from([0, 0, 0, 0, 1, 3, 50, 200]), st.booleans()), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_regions_by_definition(shape):
+    lines = [("x" * n, 0, inside and n > 0, 0) for n, inside in shape]
+    assert html_extract.regions(lines) == brute_regions(lines)
