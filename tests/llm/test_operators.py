@@ -296,7 +296,7 @@ def test_nearest(spark, monkeypatch):
     centres = r.normal(size=(8, 16)) * 3
     v = (centres[r.integers(0, 8, 1500)] + r.normal(size=(1500, 16))).astype(np.float32)
     v[7] = v[100]
-    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 0), (2003, [1.0, None] * 8, 0), (None, v[1].tolist(), 0), (1, v[1].tolist(), 0), (3000, [1.0, 2.0], 0), (3001, [1.0, 3.0], 0)]
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 0), (2003, [1.0, None] * 8, 0), (None, v[1].tolist(), 0), (3000, [1.0, 2.0], 0), (3001, [1.0, 3.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rank", F.lit("clash"))
     got = defaultdict(list)
     for x in neighbours.nearest(df).orderBy("query_id", "rank").collect():
@@ -314,6 +314,27 @@ def test_nearest(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_equals_brute_force_on_copies(spark, monkeypatch):
+    """Repeated identifiers, a large group of copies and several cells."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "LEAST", 4)
+    r = np.random.default_rng(5)
+    v = np.concatenate([r.normal(size=(900, 6)) * 3, np.tile(r.normal(size=6), (500, 1))])
+    ids = [*range(1400)]
+    ids[1], ids[7], ids[950] = 3, 200, 300
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>").repartition(5)
+    got = defaultdict(list)
+    for x in neighbours.nearest(df).collect():
+        got[x.query_id].append((x.rank, x.vec_id, round(x.score, 9)))
+    want = defaultdict(list)
+    for k, q in enumerate(ids):
+        if q % 100 == 0:
+            d = np.sqrt(((v - v[k]) ** 2).sum(1))
+            order = [j for j in sorted(range(1400), key=lambda j: (round(d[j], 12), ids[j])) if j != k][:10]
+            want[q] += [(n, ids[j], round(float(d[j]), 9)) for n, j in enumerate(order, 1)]
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+
+
 # near duplicates
 
 
