@@ -111,7 +111,7 @@ class Model:
 
     def score(self, evidence: float) -> float:
         a, b = self.curve
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, a + b * min(evidence, 60.0)))))
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, a + b * evidence))))
 
 
 def sample(labels: DataFrame, doc_id: str, label: str, per_label: int) -> DataFrame:
@@ -122,7 +122,12 @@ def sample(labels: DataFrame, doc_id: str, label: str, per_label: int) -> DataFr
 
 
 def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 15_000, most_terms: int = 20_000) -> Model:
-    """Fits the model. Of terms, the `most_terms` most significant count. Without labelled text of both labels the score is the share of toxic labels."""
+    """Fits the model on at most `per_label` labelled rows of each label; of their terms, the `most_terms` most significant count.
+
+    Labels other than 0 and 1 and those of null identifiers are left out, of a document's several labels the largest counts, labels that tie
+    in hash go by identifier. Rows of df that repeat a labelled identifier count each, null text is empty; other columns, whatever
+    their names, are not read. Without labelled text of both labels, as in an empty table, the score is the share of toxic labels.
+    """
     spark = ship(df.sparkSession)
     few = sample(labels, doc_id, label, per_label)
     share = {r["toxic"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
@@ -176,7 +181,7 @@ def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         model.k = max(1e-6, len(clean) / sum(n * math.exp(-model.lam * m) for n, m in clean))
     calibrated = spark.sparkContext.broadcast(model)
     fitted = segmented.mapInArrow(weigh, "toxic int, evidence double").collect()
-    x = np.array([min(60.0, r["evidence"]) for r in fitted])
+    x = np.array([r["evidence"] for r in fitted])
     y = np.array([float(r["toxic"]) for r in fitted])
     model.curve = logistic(x, y, [share.get(0, 0), share.get(1, 0)])
     return model
@@ -205,7 +210,11 @@ def logistic(x: np.ndarray, y: np.ndarray, shares: list[int]) -> tuple[float, fl
 
 
 def score(df: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score, predicted, segments (start and end in white-space chunks, score) of every row; null text counts as empty. No shuffle."""
+    """doc_id, score, predicted, segments (start and end in white-space chunks, score) of every row.
+
+    Null text counts as empty, which has no segments; null identifiers and repeated rows come out row by row, texts are read
+    whole, an empty table gives no rows. No shuffle.
+    """
     spark = ship(df.sparkSession)
     held = spark.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
