@@ -42,20 +42,22 @@ _EDGE = re.compile(r"\(\*|\*\)")
 class Cursor:
     def __init__(self, text: str):
         self.text, self.at = text, 0
+        self.solid = -1  # where no white space stands, as was last found
         self.ended = 0  # where the last thing read ended
         self.far, self.wanted = 0, set()
 
     # where things are
 
     def here(self) -> int:
-        self.at = SPACE.match(self.text, self.at).end()
+        if self.at != self.solid:
+            self.at = self.solid = SPACE.match(self.text, self.at).end()
         return self.at
 
     def miss(self, what: str) -> None:
-        if self.at > self.far:
-            self.far, self.wanted = self.at, set()
         if self.at == self.far:
             self.wanted.add(what)
+        elif self.at > self.far:
+            self.far, self.wanted = self.at, {what}
 
     def fault(self, *what: str) -> SyntaxFault:
         at = self.here()
@@ -72,7 +74,7 @@ class Cursor:
     # words and marks
 
     def sees(self, word: str) -> bool:
-        at = self.here()
+        at = self.at if self.at == self.solid else self.here()
         if not self.text.startswith(word, at):
             return False
         if word in WHOLE:
