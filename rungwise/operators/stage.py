@@ -67,13 +67,25 @@ def error_row(source_id: str, stage: str, fault: Exception, source: SourceMap |
     return (source_id, 0, 0, None, 0, 0, "error", "ParseError", None, None, None, at, at, line, col, json.dumps(props), None)
 
 
-def keyed(n: Node) -> dict:
-    """A node's own facts, and the folded spelling of names that other nodes are found by."""
+#: Kinds that have a path of module names, and kinds of a chart's elements.
+MODULES = frozenset(("BasePicture", "SingleModule", "FrameModule", "ModuleTypeInstance"))
+CHART = frozenset(("InitStep", "Step", "Transition", "TransitionSub", "Subsequence", "Alternative", "Parallel", "Fork", "Break"))
+
+
+def facts_of(n: Node, path: tuple[str, ...], module: int | None) -> dict:
+    """A node's own facts, and what views would have to join for: a module's path, the module whose code holds an element, the folded spelling of names that others are found by."""
+    more: dict = {}
+    if n.kind in MODULES:
+        more["path"] = path
     if n.kind == "ModuleTypeInstance":
-        return n.props | {"type_key": n.props["type"].casefold()}
-    if n.kind == "Fork":
-        return n.props | {"target_keys": [x.casefold() for x in n.props["targets"]]}
-    return n.props
+        more["type_key"] = n.props["type"].casefold()
+    elif n.kind in CHART:
+        more["module"] = module
+        if n.kind == "Fork":
+            more["target_keys"] = [x.casefold() for x in n.props["targets"]]
+    elif n.kind == "ParameterMapping" and (source := n.of("source")) and source[0].kind == "VarRef":
+        more["source_name"] = source[0].name
+    return n.props | more
 
 
 def rows_of(source_id: str, tree: Node, source: SourceMap, kinds: frozenset[str] | None = None, rendered: bool = True) -> Iterator[tuple]:
@@ -81,23 +93,27 @@ def rows_of(source_id: str, tree: Node, source: SourceMap, kinds: frozenset[str]
     rows: list[list] = []
     seen = 0
 
-    def visit(n: Node, parent: int | None, depth: int, ordinal: int) -> None:
+    def visit(n: Node, parent: int | None, depth: int, ordinal: int, path: tuple[str, ...], module: int | None) -> None:
         nonlocal seen
         me, row = seen, None
         seen += 1
+        if n.kind in MODULES:
+            path = (*path, n.name)
+        elif n.kind == "ModuleCode":
+            module = parent
         if kinds is None or n.kind in kinds:
             start, end = source.node(n.start, n.end)
             line, col = source.line_col(start)
-            facts = keyed(n)
+            facts = facts_of(n, path, module)
             props = json.dumps(facts, ensure_ascii=False) if facts else None
             row = [source_id, me, me, parent, depth, ordinal, n.role, n.kind, n.name, n.name.casefold() if n.name is not None else None, n.literal, start, end, line, col, props, render.published(n) if rendered else None]
             rows.append(row)
         for k, kid in enumerate(n.kids):
-            visit(kid, me, depth + 1, k)
+            visit(kid, me, depth + 1, k, path, module)
         if row:
             row[2] = seen - 1
 
-    visit(tree, None, 0, 0)
+    visit(tree, None, 0, 0, (), None)
     return map(tuple, rows)
 
 

@@ -118,7 +118,7 @@ def rt_module_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region").join(nations, "r_regionkey")
     lines = F.concat(F.lit("SUBMODULES\nR"), F.col("r_regionkey").cast("string"), F.lit(rt.INVOKE + "MODULEDEFINITION DateCode_ 1\nSUBMODULES\n"), F.col("inner"), F.lit(close))
     made = r.select(F.concat_ws("-", "r_regionkey", "part").alias("source_id"), lines.alias("lines")).select("source_id", rt.program(F.col("source_id"), F.col("lines")).alias("content"))
-    p = views.module_paths(once(made, *views.MODULES)).filter("depth = 3")
+    p = views.module_paths(only(made, *views.MODULES)).filter("depth = 3")
     return p.select(number("name", "S").alias("s_suppkey"), F.array_join(F.slice("path", 2, 3), "/").alias("path"), "depth", "kind")
 
 
@@ -128,7 +128,7 @@ def rt_param_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(", Total => "), F.when(F.col("o_orderkey") % 2 == 0, F.lit("GLOBAL Limit")).otherwise(rt.real(F.col("o_totalprice"))), F.lit(");"),
     )
     rows = table(spark, sf_dir, "orders").withColumn("part", rt.block(F.col("o_orderkey")))
-    nodes = once(rt.sources(rows, ["part"], "o_orderkey", line, ("SUBMODULES\n", "\n")), "ModuleTypeInstance", "ParameterMapping", "VarRef")
+    nodes = once(rt.sources(rows, ["part"], "o_orderkey", line, ("SUBMODULES\n", "\n")), "ModuleTypeInstance", "ParameterMapping")
     owner = views.modules(nodes).filter("kind = 'ModuleTypeInstance'").select("source_id", F.col("node_id").alias("instance_node_id"), number("name", "O").alias("o_orderkey"), "type_name")
     m = views.parameter_mappings(nodes).join(owner, ["source_id", "instance_node_id"])
     return m.select("o_orderkey", "type_name", "target", "source_kind", "source_name", "is_global", F.when(F.col("target") == "Status", F.col("source_literal")).alias("status"), F.when(F.col("target") == "Total", F.col("source_literal").cast("double")).alias("total"))
@@ -204,7 +204,7 @@ def event_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rt_chart_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = once(event_programs(spark, sf_dir), "ModuleCode", *views.CHART)
+    nodes = once(event_programs(spark, sf_dir), *views.CHART)
     steps = views.chart_nodes(nodes)
     edges = views.chart_edges(nodes).filter("kind = 'next'").join(steps.select("source_id", F.col("node_id").alias("from_node"), F.col("kind").alias("from_kind"), F.col("name").alias("from_name")), ["source_id", "from_node"])
     return edges.select(F.split("source_id", "-")[0].cast("long").alias("user_id"), "from_kind", "from_name", "to_name")
@@ -216,7 +216,7 @@ def rt_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     branch = F.concat(F.lit("SEQTRANSITION T"), F.col("s_suppkey").cast("string"), F.lit(" WAIT_FOR True\nSEQSTEP S"), F.col("s_suppkey").cast("string"), F.lit("\nSEQFORK Start, Lost"))
     made = s.groupBy("s_nationkey", "part").agg(rt.joined("s_suppkey", branch, "\nALTERNATIVEBRANCH\n").alias("b"))
     body = F.concat(F.lit("ModuleCode\nSEQUENCE Main" + rt.PLACE + "\nSEQINITSTEP Start\nALTERNATIVESEQ\nSEQTRANSITION First WAIT_FOR False\nALTERNATIVEBRANCH\n"), "b", F.lit("\nENDALTERNATIVE\nENDSEQUENCE\n"))
-    nodes = once(made.select(F.concat_ws("-", "s_nationkey", "part").alias("source_id"), body.alias("b")).select("source_id", rt.program(F.col("source_id"), F.lit(""), F.col("b")).alias("content")), "ModuleCode", *views.CHART)
+    nodes = once(made.select(F.concat_ws("-", "s_nationkey", "part").alias("source_id"), body.alias("b")).select("source_id", rt.program(F.col("source_id"), F.lit(""), F.col("b")).alias("content")), *views.CHART)
     e = views.chart_edges(nodes).withColumn("s_nationkey", F.split("source_id", "-")[0].cast("int"))
     return e.groupBy("s_nationkey", F.col("kind").alias("edge")).agg(F.count("*").alias("n"), F.count("to_node").alias("n_resolved"))
 

@@ -60,10 +60,9 @@ def data_types(nodes: DataFrame) -> DataFrame:
 
 
 def parameter_mappings(nodes: DataFrame) -> DataFrame:
-    m = _typed(nodes, ("ParameterMapping",), "source string, `global` boolean, duration boolean")
-    source = nodes.filter((F.col("role") == "source") & (F.col("kind") == "VarRef")).select("source_id", F.col("parent_id").alias("node_id"), F.col("name").alias("source_name"))
-    return m.join(source, ["source_id", "node_id"], "left").select(
-        "source_id", F.col("parent_id").alias("instance_node_id"), "node_id", F.col("name").alias("target"), F.col("p.source").alias("source_kind"), "source_name",
+    m = _typed(nodes, ("ParameterMapping",), "source string, source_name string, `global` boolean, duration boolean")
+    return m.select(
+        "source_id", F.col("parent_id").alias("instance_node_id"), "node_id", F.col("name").alias("target"), F.col("p.source").alias("source_kind"), F.col("p.source_name").alias("source_name"),
         F.col("literal").alias("source_literal"), F.col("p.global").alias("is_global"), F.col("p.duration").alias("is_duration"), span(),
     )
 
@@ -97,7 +96,8 @@ def equations(nodes: DataFrame) -> DataFrame:
 
 
 def chart_nodes(nodes: DataFrame) -> DataFrame:
-    return of_kind(nodes, *CHART).select("source_id", "node_id", "subtree_end", "parent_id", "ordinal", "role", "kind", "name", "name_key", F.from_json("props", "targets array<string>")["targets"].alias("targets"), F.from_json("props", "target_keys array<string>")["target_keys"].alias("target_keys"), span())
+    c = _typed(nodes, CHART, "targets array<string>, target_keys array<string>, module int")
+    return c.select("source_id", "node_id", "subtree_end", "parent_id", "ordinal", "role", "kind", "name", "name_key", *[F.col(f"p.{c}").alias(c) for c in ("targets", "target_keys", "module")], span())
 
 
 def chart_edges(nodes: DataFrame) -> DataFrame:
@@ -113,10 +113,8 @@ def chart_edges(nodes: DataFrame) -> DataFrame:
     forked = n.select("source_id", F.col("parent_id").alias("from_node"), "node_id", "name", "role", F.row_number().over(body).alias("k"), F.lead("node_id").over(body).alias("after")).filter(F.col("role").startswith("branch:"))
     heads = forked.filter("k = 1").select("source_id", "from_node", F.col("node_id").alias("to_node"), F.col("name").alias("to_name"), F.lit("branch").alias("kind"))
     tails = forked.filter("after is null").select("source_id", F.col("node_id").alias("from_node"), F.col("from_node").alias("to_node"), F.lit(None).cast("string").alias("to_name"), F.lit("join").alias("kind"))
-    code = of_kind(nodes, "ModuleCode").select("source_id", F.col("node_id").alias("low"), F.col("subtree_end").alias("high"), F.col("parent_id").alias("module"))
-    inside = n.join(code, "source_id").filter("node_id > low and node_id <= high")
-    forks = inside.filter("kind = 'Fork'").select("source_id", "module", F.col("node_id").alias("from_node"), F.explode(F.arrays_zip(F.col("targets").alias("to_name"), F.col("target_keys").alias("key"))).alias("to")).select("source_id", "module", "from_node", "to.*")
-    steps = inside.filter("name is not null").groupBy("source_id", "module", F.col("name_key").alias("key")).agg(F.min("node_id").alias("to_node"))
+    forks = n.filter("kind = 'Fork'").select("source_id", "module", F.col("node_id").alias("from_node"), F.explode(F.arrays_zip(F.col("targets").alias("to_name"), F.col("target_keys").alias("key"))).alias("to")).select("source_id", "module", "from_node", "to.*")
+    steps = n.filter("name is not null").groupBy("source_id", "module", F.col("name_key").alias("key")).agg(F.min("node_id").alias("to_node"))
     jumps = forks.join(steps, ["source_id", "module", "key"], "left").select("source_id", "from_node", "to_node", "to_name", F.lit("fork").alias("kind"))
     return follow.unionByName(heads).unionByName(tails).unionByName(jumps)
 
@@ -155,11 +153,7 @@ def descendants(nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
 
 def module_paths(nodes: DataFrame) -> DataFrame:
     """Each module with its path of names from the root and its depth."""
-    m = modules(nodes).select("source_id", "node_id", "subtree_end", "kind", "name")
-    above = m.select("source_id", F.col("node_id").alias("a"), F.col("subtree_end").alias("b"), F.col("name").alias("up"))
-    pairs = m.join(above, "source_id").filter("node_id >= a and node_id <= b")
-    names = F.transform(F.array_sort(F.collect_list(F.struct("a", "up"))), lambda x: x["up"])
-    return pairs.groupBy("source_id", "node_id", "kind", "name").agg(names.alias("path")).withColumn("depth", F.size("path") - 1)
+    return _typed(nodes, MODULES, "path array<string>").select("source_id", "node_id", "kind", "name", F.col("p.path").alias("path"), (F.size("p.path") - 1).alias("depth"))
 
 
 def resolved_instances(nodes: DataFrame) -> DataFrame:
