@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rungwise.session import ship
+
 #: Words are runs of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,35 +17,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SMALL = 100_000
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors once per application, so that workers need no shared path."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w") as z:
-            for folder, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
-        path = os.path.join(tempfile.mkdtemp(), "rungwise_pkg.zip")
-        with open(path, "wb") as f:
-            f.write(data.getvalue())
-        context.addPyFile(path)
-        _shipped.add(context.applicationId)
-    return spark
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the one the cluster names in spark.checkpoint.dir; our own only in local mode, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
+        if not named and context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
@@ -108,3 +85,6 @@ def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     aggregate's partitioning is used again.
     """
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+
+
+__all__ = ["SMALL", "UPPER", "WORD", "ascii_lower", "cut", "dealt_anew", "fold", "fresh", "numbered", "shared_folder", "ship", "small", "table"]
