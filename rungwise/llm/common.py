@@ -58,6 +58,20 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_TIDY, before)
 
 
+def cut_by(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """cut(), dealt into `parts` partitions by key in a way Spark knows of: joins on key leave these rows where they lie.
+
+    Adaptive execution, under which a plan tells no partitioning, is off for this plan alone.
+    """
+    conf, adaptive = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(adaptive, "true")
+    conf.set(adaptive, "false")
+    try:
+        return cut(df.repartition(parts, key))
+    finally:
+        conf.set(adaptive, before)
+
+
 def small(df: DataFrame) -> DataFrame:
     """df, a table of a few plain columns that is held in the checkpoint folder, to be sent to every executor if it has SMALL rows at most; else Spark shuffles."""
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
@@ -87,4 +101,4 @@ def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
 
 
-__all__ = ["SMALL", "UPPER", "WORD", "ascii_lower", "cut", "dealt_anew", "fold", "fresh", "numbered", "shared_folder", "ship", "small", "table"]
+__all__ = ["SMALL", "UPPER", "WORD", "ascii_lower", "cut", "cut_by", "dealt_anew", "fold", "fresh", "numbered", "shared_folder", "ship", "small", "table"]

@@ -67,17 +67,17 @@ class Words(dict):
 _words = Words()
 
 
-def shingles(text: bytes | None) -> np.ndarray:
-    """Sorted distinct hashes of the five-word shingles of a text; of all its words if they are fewer."""
+def shingles(text: bytes | None, size: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of `size` words of a text; of all its words if they are fewer."""
     words = (text or b"").lower().split()  # ASCII letters and ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - WORDS + 1)
+    n = max(1, len(h) - size + 1)
     out = np.zeros(n, np.uint64)
-    for k in range(min(WORDS, len(h))):
+    for k in range(min(size, len(h))):
         out = mix(out * _ODD + h[k : k + n])
-    if len(h) < WORDS:
+    if len(h) < size:
         out = mix(out + np.uint64(len(h)))
     return np.unique(out)
 
@@ -141,14 +141,14 @@ def sketch(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, mark long, n long, set_hash binary, signature binary, keys array<long>")
 
 
-def full_sets(df: DataFrame) -> DataFrame:
+def full_sets(df: DataFrame, size: int = WORDS) -> DataFrame:
     """id, sign, hashes (sorted, packed) from rows id, sign, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                sets = [shingles(t.as_py()).tobytes() for t in part.column(2)]
+                sets = [shingles(t.as_py(), size).tobytes() for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], names=["id", "sign", "hashes"])
 
     return df.mapInArrow(run, "id long, sign binary, hashes binary")
@@ -305,16 +305,15 @@ def near_duplicates(df: DataFrame, percent: int = 75, doc_id: str = "doc_id", te
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     component_id is the least doc_id reachable over links, itself included; kept says
-    that the row stands for its component: it holds that doc_id and, of rows that repeat it, is
-    the first. Null identifiers come after all others, so a component's is null only
+    that the row holds that doc_id, so rows that repeat it are kept each. Null identifiers come after all others, so a component's is null only
     if all its rows' are. A null or word-free text has no shingles and no links: its row is kept, with
     component_id = doc_id. Rows that repeat a doc_id are documents of their own. An empty table gives no rows.
     """
-    return judged(df, percent, doc_id, text).drop("mark")
+    return judged(df, percent, doc_id, text).drop("mark").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def judged(df: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
-    """near_duplicates() with `mark`, by which rows of one identifier are told apart."""
+    """near_duplicates() with `mark`, by which rows of one identifier are told apart, and one row alone kept of each component."""
     ship(df.sparkSession)
     base = cut(sketch(df, doc_id, text))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "mark"))

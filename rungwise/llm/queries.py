@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm import exact_dedup, html_extract, langid, lm_score, minhash, mixing, neighbours, packing, token_counts, toxicity
+from rungwise.llm import exact_dedup, exponion, html_extract, jaccard_join, langid, lm_score, minhash, mixing, neighbours, packing, token_counts, toxicity, whitening
 from rungwise.llm.common import fold, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -64,6 +64,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), width=4096, end_id=2)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, seed=2)
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), percent=90)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
 def corpus_pipeline():
     """The module at the top of the repository."""
     if "corpus_pipeline" not in sys.modules:
