@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import cut, dealt_anew, ship
+from rungwise.llm.common import cut, dealt_anew, ship, small
 from rungwise.llm.components import components
 from rungwise.llm.minhash import BLOCK, HELD, SEATS, at_places, full_sets, mark_of, mix, seated, shingles, sorted_places
 
 IMAGE, WORDS = 1024, 3
 #: Different texts by which rare shingles are told from common ones, about, and entries of the table of common ones at most.
-SAMPLED, COMMON = 10_000, 1 << 20
+SAMPLED, COMMON = 4_000, 1 << 20
 #: Pivots of a region that is split, levels of splits between tasks, members that are compared at once.
 PIVOTS, LEVELS, LEAF = 24, 4, 48
 
@@ -111,13 +111,12 @@ def sketch(df: DataFrame, doc_id: str, text: str, percent: int, common: tuple[np
                     continue
                 sets.append(int(mix(x).sum()).to_bytes(8, "little") + int(np.bitwise_xor.reduce(mix(~x))).to_bytes(8, "little"))
                 images.append(image(x))
-                order = mix(x)
+                order = mix(x) >> np.uint64(16)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    rank = np.lexsort((order, np.where(known[at] == x, times[at], 0)))
-                else:
-                    rank = np.argsort(order)
-                keys.append(x[rank[: len(x) + (-percent * len(x) // 100) + 1]].view(np.int64))
+                    order |= np.where(known[at] == x, times[at], 0).astype(np.uint64) << np.uint64(48)
+                most = min(len(x), len(x) + (-percent * len(x) // 100) + 1)
+                keys.append(x[np.argpartition(order, most - 1)[:most]].view(np.int64))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(images, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "doc_id", "mark", "n", "set_hash", "image", "keys"])
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), mark_of(text).alias("mark"), F.col(text).cast("binary").alias("text"))
@@ -133,12 +132,27 @@ def common_shingles(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), WORDS).view(np.int64))], names=["h"])
 
     texts = df.filter(F.length(text) > 0).select(F.col(text).cast("binary").alias("text"), mark_of(text).alias("mark"))
-    share = math.ceil((1 << 20) * min(1.0, SAMPLED / max(1, texts.count())))
+    share = math.ceil((1 << 20) * min(1.0, SAMPLED / max(1, df.count())))
     picked = texts.filter(F.pmod(F.xxhash64("mark"), F.lit(1 << 20)) < share).dropDuplicates(["mark"]).select("text")
     found = picked.mapInArrow(run, "h long").groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
     known, times = found.column("h").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(known)
-    return known[order], times[order]
+    return known[order], np.minimum(times[order], 0xFFFF)
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that sizes and images don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (words_of(batch.column(c).to_pylist()) for c in (4, 5))
+            size, other = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            least = np.maximum(np.abs(size - other), np.bitwise_count(one ^ two).sum(1, dtype=np.int64))
+            rows = pa.array(np.flatnonzero(least * (100 + percent) <= (100 - percent) * (size + other)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["u", "v"])
+
+    one, two = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("image").alias(f"i{x}")) for x in "uv")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "iu", "iv").mapInArrow(run, "u long, v long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -263,14 +277,20 @@ def join(df: DataFrame, percent: int = 90, doc_id: str = "doc_id", text: str = "
     exploded = classes.select("id", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
     seats = cut(exploded.join(dealt_anew(shared, "key"), "key"))
-    wanted = classes.join(seats.select("id").distinct(), "id").select("id", F.col("best.doc_id").alias("at"), F.col("best.mark").alias("mark"))
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(text).alias("mark"), F.col(text).cast("binary").alias("text"))
-    read = wanted.join(texts, (wanted["mark"] == texts["mark"]) & wanted["at"].eqNullSafe(texts["doc_id"])).select("id", F.lit(b"").alias("sign"), "text")
-    if base.groupBy("doc_id", "mark").count().filter("count > 1").take(1):  # one of the rows that repeat each other
-        read = read.dropDuplicates(["id"])
-    sets = cut(full_sets(read, WORDS).drop("sign"))
+    repeated = bool(base.groupBy("doc_id", "mark").count().filter("count > 1").take(1))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """id, hashes (sorted, packed) of the classes that may still be linked, from their texts."""
+        wanted = cut(classes.join(ids, "id", "left_semi").select("id", F.col("best.doc_id").alias("at"), F.col("best.mark").alias("mark")))
+        read = texts.join(small(wanted), (wanted["mark"] == texts["mark"]) & wanted["at"].eqNullSafe(texts["doc_id"])).select("id", F.lit(b"").alias("sign"), "text")
+        if repeated:  # one of the rows that repeat each other
+            read = read.dropDuplicates(["id"])
+        return cut(full_sets(read, WORDS).drop("sign"))
+
     first = seats.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    roots = cut(components(confirmed(first, sets, percent)))
+    first = cut(plausible(first, classes, percent))
+    roots = cut(components(confirmed(first, sets_of(first.select(F.col("u").alias("id")).union(first.select("v"))), percent)))
     labelled = seats.drop("hub").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
     members = labelled.join(dealt_anew(open_keys, "key"), "key").select("key", "id", "root")
@@ -279,7 +299,8 @@ def join(df: DataFrame, percent: int = 90, doc_id: str = "doc_id", text: str = "
         before, members = members, split(members, percent, level)
         if members is before:
             break
-    tops = components(settled(cut(likely(members, percent)), sets, percent))
+    seats = cut(likely(members, percent))
+    tops = components(settled(seats, sets_of(seats.select("id")), percent))
     rooted = classes.select("set_hash", "n", "id", "best").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = rooted.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))
     leads = rooted.groupBy("top").agg(F.min("best").alias("lead"))
