@@ -137,24 +137,28 @@ class Codes:
 def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, most: int = 4000, rounds: int = 60) -> Codes:
     """Fits the codes on rows of non-null text and lang: `per_lang` of each language, fewer if that makes more than `most` in all.
 
-    Every language is learnt, of one row at least. A language's rows are those of least hash; all
+    Every language is learnt, of one row at least. A language's rows are those of least hash of identifier and text, so rows of null or shared identifiers are
+    told apart; rows that repeat both count once. All
     but about twice as many fall to a filter. N-grams are counted where the texts lie, so no text is
     moved; one task fits the codes on the sample's sparse counts (96 KB a row at most), and only the codes come to the driver.
     Rows of null text or lang aren't learnt from; of rows that tie in hash those of smaller counts come first; empty texts count; an
     empty table gives codes that know no language.
     """
     ship(df.sparkSession)
-    rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.lit(5)).alias("h"))
-    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text), F.lit(5)).alias("h"))
+    sizes = cut(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")))
     found = sizes.count()
     if not found:
         return Codes.fit([], [])
     each = max(1, min(per_lang, most // found))
-    share = sizes.select("lang", F.least(F.lit(1.0), (2.0 * each + 64) / F.col("n")).alias("share"))
-    near = rows.join(small(share), "lang").filter(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share")).select("lang", "h", "text")
+    share = sizes.select("lang", "least", F.least(F.lit(1.0), (2.0 * each + 64) / F.col("n")).alias("share"))
+    near = rows.join(small(share), "lang").filter((F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share")) | (F.col("h") == F.col("least"))).select("lang", "h", "text")
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # rows that repeat each other; the filter has left few of different hash
         for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            batch = batch.take(pa.array([k for k, x in enumerate(keys) if not (x in seen or seen.add(x))], pa.int64()))
             found = [counted(t.as_py()) for t in batch.column(2)]
             packed = [v.astype(np.float32).tobytes() + used.astype(np.uint16).tobytes() for used, v in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["lang", "h", "grams"])
@@ -170,7 +174,7 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return pa.table({"langs": pa.array([own.langs], pa.list_(pa.string())), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("weights", own.weights), ("bias", own.bias), ("trust", own.trust))}})
 
     first = Window.partitionBy("lang").orderBy("h", "grams")
-    few = near.mapInArrow(profiles, "lang string, h long, grams binary").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= each).select("lang", "h", "grams")
+    few = near.mapInArrow(profiles, "lang string, h long, grams binary").dropDuplicates(["lang", "h", "grams"]).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= each).select("lang", "h", "grams")
     (got,) = few.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "langs array<string>, weights binary, bias binary, trust binary").collect()
     weights, bias, trust = (np.frombuffer(got[k], np.float32) for k in ("weights", "bias", "trust"))
     return Codes(list(got["langs"]), weights.reshape(1 << DIM_BITS, -1), bias, trust)

@@ -9,6 +9,19 @@ def test_every_language_is_learnt(spark):
     assert codes.langs == [f"l{k:04d}" for k in range(1203)] and codes.weights.shape == (1 << langid.DIM_BITS, codes.code.shape[1])
 
 
+def test_rows_of_null_or_shared_identifiers(spark):
+    schema = "doc_id long, text string, lang string"
+    for doc_id in (None, 7):
+        rows = [(doc_id, f"text {i} {'eine' if i % 2 else 'one'}", "de" if i % 2 else "en") for i in range(2000)]
+        codes = langid.learn(spark.createDataFrame(rows, schema), rounds=1)
+        assert codes.langs == ["de", "en"]
+    for n in (1, 3000):  # rows that repeat each other are one
+        codes = langid.learn(spark.createDataFrame([(doc_id, "same", "en")] * n + [(i, f"text {i}", "de") for i in range(9)], schema).repartition(4), rounds=1)
+        assert codes.langs == ["de", "en"]
+    same = [langid.learn(spark.createDataFrame([(1, "a b", "en")] * n + [(2, "c d", "de")], schema), rounds=3).weights for n in (1, 50)]
+    assert np.array_equal(*same)
+
+
 def test_the_sparse_fit_equals_a_dense_one():
     r = np.random.default_rng(0)
     texts = ["".join(r.choice(list("abcdef" if k % 2 else "defghi"), 40)) for k in range(300)]

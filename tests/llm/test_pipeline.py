@@ -41,3 +41,12 @@ def test_run(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.agg(F.sum("length")).first()[0] == out.filter("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_stages_take_null_identifiers(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.lit(None).cast("long"))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.filter("doc_id IS NULL").count() == docs.count() > 0
