@@ -2,17 +2,19 @@
 
 Markup is stripped to lines, one per block of text; an element that ends the
 flow of text (a menu, an advert, the borders of the article) leaves a gap of empty lines.
-The length of every window of `WINDOW` lines is the line-block
-distribution. Text surges where the windows rise from nothing to a fair height and dives
+The length of every window of `WINDOW` lines, without what stands inside links, is the line-block
+distribution. Text surges where the windows rise from nothing and dives
 where they fall back to nothing; what lies between a surge and
-its dive is kept if it is the page's article, or, on a page that marks none, if it carries a fair part
-of the page's text and is not mostly links. There, text that goes on in the same container after a gap is of one piece with the text before it.
+its dive is kept if it is the page's article, or, on a page that marks none, if its windows rise to a fair height. There,
+text that goes on in the same container after a gap is of one piece with the text before it, however short, and stretches of nothing but links are none.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +25,7 @@ from pyspark.sql import functions as F
 from rungwise.llm.common import ship
 
 WINDOW = 3
-#: A region of an unmarked page is kept from this share of the largest region's length.
-FAIR = 0.25
-#: A stretch of text counts from this share of the page's highest window.
+#: A stretch of an unmarked page's text surges from this share of the page's highest window.
 SURGE = 0.1
 
 # comments, declarations, tags with their attributes (a quote that is never closed is a character like any other), tags cut off
@@ -88,13 +88,16 @@ def lines_of(page: str) -> list[Line]:
     stack: list[tuple[str, bool]] = []  # open elements, and whether each drops its content
     text: list[str] = []
     holders: list[tuple[int, int]] = []  # open containers: depth, number
-    state = {"dropped": 0, "article": 0, "links": 0, "header": 0, "heading": 0, "linked": 0, "held": 0, "holder": 0}
+    named: Counter[str] = Counter()  # open elements of each name
+    tags: dict[str, tuple[list[int], list[int]]] = {}  # where elements of a name open and close
+    state = {"dropped": 0, "article": 0, "links": 0, "header": 0, "heading": 0, "linked": 0, "held": 0, "holder": 0, "said": 0, "articles": 0, "dropper": "", "depth": 0}
 
     def say(piece: str) -> None:
         if piece and not state["dropped"] and (not state["header"] or state["heading"]):
             piece = html.unescape(piece)
-            if not text or not "".join(text).strip():
+            if not state["said"]:
                 state["held"] = holders[-1][1] if holders else 0
+                state["said"] = not piece.isspace()
             text.append(piece)
             state["linked"] += len(piece) * bool(state["links"])
 
@@ -103,7 +106,7 @@ def lines_of(page: str) -> list[Line]:
         if body:
             out.append((body, min(len(body), state["linked"]), state["article"] > 0, state["held"]))
         text.clear()
-        state["linked"] = 0
+        state["linked"] = state["said"] = 0
 
     def gap() -> None:
         end_line()
@@ -119,6 +122,7 @@ def lines_of(page: str) -> list[Line]:
     def close(depth: int) -> None:
         while len(stack) > depth:
             name, drops = stack.pop()
+            named[name] -= 1
             if holders and holders[-1][0] == len(stack):
                 holders.pop()
             border = name in ("article", "main") or drops
@@ -129,6 +133,8 @@ def lines_of(page: str) -> list[Line]:
                 gap()
 
     def innermost(names, stop=()) -> int | None:
+        if not any(named[x] for x in names):
+            return None
         for depth in range(len(stack) - 1, -1, -1):
             if stack[depth][0] in names:
                 return depth
@@ -136,6 +142,13 @@ def lines_of(page: str) -> list[Line]:
                 return None
         return None
 
+    def unclosed(name: str, at: int) -> bool:
+        """Whether no end tag from here on is that of the open element of this name."""
+        if name not in tags:
+            tags[name] = tuple([m.start() for m in re.finditer(rf"<{slash}{name}\b", page, re.I)] for slash in ("", "/"))
+        opens, ends = (len(x) - bisect_left(x, at) for x in tags[name])
+        return ends <= opens
+
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -165,15 +178,21 @@ def lines_of(page: str) -> list[Line]:
             end_line()
         if name in VOID:
             continue
-        if name in ("article", "main") and state["dropped"] and not innermost(("form", "dialog", "aside", "noscript", "template")):
-            close(next(d for d, (_, drops) in enumerate(stack) if drops))  # an unclosed menu or header ends where the article starts
-        drops = name in DROPPED or (name not in ("html", "body", "article", "main", *HEADINGS) and bool(rest) and _hinted(rest)) or (name == "header" and not state["article"])
+        if name in ("article", "main") and state["dropped"] == 1 and state["dropper"] in ("nav", "header") and unclosed(state["dropper"], m.start()):
+            close(state["depth"])  # a menu or header that is never closed ends where the article starts
+        exempt = name in ("html", "body", "main", *HEADINGS) or name == "article" and not state["articles"]
+        hinted = not exempt and bool(rest) and _hinted(rest)
+        drops = name in DROPPED or hinted or (name == "header" and not state["article"])
+        if drops and not state["dropped"]:
+            state["dropper"], state["depth"] = "" if hinted else name, len(stack)
+        state["articles"] += name == "article"
         if (drops or name in ("article", "main")) and not state["dropped"] and not state["article"]:
             gap()
         if name in HOLDERS:
             state["holder"] += 1
             holders.append((len(stack), state["holder"]))
         stack.append((name, drops))
+        named[name] += 1
         step(name, drops, 1)
         if name in RAW:
             ends = re.compile(rf"</{name}\b", re.I).search(page, at)
@@ -183,42 +202,48 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def regions(lines: list[Line]) -> list[tuple[int, int]]:
-    """(surge, dive) of every stretch of windows that hold text, from nothing to nothing, which rises to SURGE of the page's highest window or holds lines of the article."""
+def stretches(lines: list[Line]) -> list[tuple[int, int, bool]]:
+    """(surge, dive, whether it rises to SURGE of the page's highest window) of every stretch of windows that hold text, from nothing to nothing.
+
+    Windows live by any text and rise by what stands outside links.
+    """
     sizes = np.array([len(t) for t, *_ in lines], np.int64)
     if not sizes.any():
         return []
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    blocks = total[np.minimum(np.arange(len(sizes)) + WINDOW, len(sizes))] - total[:-1]
-    live = np.concatenate([[False], blocks > 0, [False]])
+
+    def windows(x: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(x)])
+        return total[np.minimum(np.arange(len(x)) + WINDOW, len(x))] - total[:-1]
+
+    live = np.concatenate([[False], windows(sizes) > 0, [False]])
+    weights = windows(sizes - np.array([n for _, n, *_ in lines], np.int64))
     surge, dive = np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(~live[1:] & live[:-1])
-    high = np.maximum.reduceat(blocks, surge) >= SURGE * blocks.max()  # between a dive and the next surge stands nothing
+    high = np.maximum.reduceat(weights, surge)  # between a dive and the next surge stands nothing
+    return list(zip(surge.tolist(), dive.tolist(), (high >= SURGE * weights.max()).tolist(), strict=True))
+
+
+def regions(lines: list[Line]) -> list[tuple[int, int]]:
+    """(surge, dive) of every stretch that rises high enough or holds lines of the article."""
     own = np.concatenate([[0], np.cumsum([x[2] for x in lines])])
-    return [(a, b) for a, b, up in zip(surge.tolist(), dive.tolist(), high.tolist(), strict=True) if up or own[b] > own[a]]
+    return [(a, b) for a, b, up in stretches(lines) if up or own[b] > own[a]]
 
 
 def main_text(page: str | None) -> str:
     """Null, empty and text-free pages give the empty string."""
     lines = lines_of(page or "")
-    found = []
-    for a, b in regions(lines):
-        kept = [x for x in lines[a:b] if x[0]]
-        size = sum(len(t) for t, *_ in kept)
-        found.append((kept, size, sum(n for _, n, *_ in kept) / max(1, size), any(x[2] for x in kept)))
-    if marked := [x for x in found if x[3]]:
-        chosen = marked
-    else:
-        plain = [x for x in found if x[2] <= 0.5] or found
-        runs: list[list] = []  # lines, length
-        for kept, size, *_ in plain:
+    found = [([x for x in lines[a:b] if x[0]], up) for a, b, up in stretches(lines)]
+    chosen = [kept for kept, _ in found if any(x[2] for x in kept)]
+    if not chosen:
+        plain = [x for x in found if any(n < len(t) for t, n, *_ in x[0])] or found
+        runs: list[list] = []  # lines, whether any of them surge
+        for kept, up in plain:
             if runs and runs[-1][0][-1][3] == kept[0][3]:
                 runs[-1][0].extend(kept)
-                runs[-1][1] += size
+                runs[-1][1] |= up
             else:
-                runs.append([list(kept), size])
-        most = max((x[1] for x in runs), default=0)
-        chosen = [x for x in runs if x[1] >= FAIR * most]
-    return " ".join(x[0] for kept, *_ in chosen for x in kept)
+                runs.append([list(kept), up])
+        chosen = [kept for kept, up in runs if up]
+    return " ".join(x[0] for kept in chosen for x in kept)
 
 
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -10,7 +10,9 @@ def test_an_advert_does_not_end_running_text():
         page = f"<body>{open_}<p>{long}</p><div class='ad'>x</div><p>{short}</p>{close}<nav>z</nav><div><p>Elsewhere</p></div></body>"
         assert html_extract.main_text(page) == f"{long} {short}"
     apart = f"<body><div><p>{long}</p></div><div class='ad'>x</div><div><p>{short}</p></div></body>"
-    assert html_extract.main_text(apart) == long
+    assert html_extract.main_text(apart) == f"{long} {short}"
+    tiny = f"<body><div><p>{long}</p><div class='ad'>x</div><p>So.</p></div><div class='ad'>x</div><div><p>Go on</p></div></body>"
+    assert html_extract.main_text(tiny) == f"{long} So."
     links = f"<body><div><p>{long}</p><nav>x</nav><p><a>Only a link here</a></p><nav>y</nav><p>{short}</p></div></body>"
     assert html_extract.main_text(links) == f"{long} {short}"
 
@@ -55,3 +57,34 @@ def brute_regions(lines):
 def test_regions_by_definition(shape):
     lines = [("x" * n, 0, inside and n > 0, 0) for n, inside in shape]
     assert html_extract.regions(lines) == brute_regions(lines)
+
+
+def test_articles_of_others_go():
+    """Reader comments, teasers and menus that hold articles of their own, beside the article or in it."""
+    for x in (
+        '<section class="comments"><article class="comment"><p>I say so</p></article></section>',
+        '<ol class="comment-list"><li class="comment"><article><p>Hm</p></article></li></ol>',
+        '<div class="related"><article><a>More</a> teaser</article></div>',
+        "<nav><article>Menu</article></nav>",
+        '<header><article>Top</article></header>',
+        '<div><article class="comment">By a reader</article></div>',
+    ):
+        assert html_extract.main_text(f"<body><main><article><p>{PARA}</p></article>{x}</main></body>") == PARA.strip(), x
+        if not x.startswith("<header"):  # one inside the article is its own
+            assert html_extract.main_text(f"<body><article><p>{PARA}</p>{x}</article></body>") == PARA.strip(), x
+    for menu in ("<nav><a>menu</a>", "<header>top", "<nav>one<nav>two</nav>"):
+        assert html_extract.main_text(f"<body>{menu}<article><p>{PARA}</p></article><nav>z</nav></body>") == PARA.strip(), menu
+    assert html_extract.main_text(f'<body><article class="comment"><p>{PARA}</p></article></body>') == PARA.strip()
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_extract.main_text(page)
+        return time.process_time() - began
+
+    for part, end in (("<b>x</b> ", ""), ("<div>", "</x>"), ("<ul><span>", "<li></li>"), ("<article><nav>", "")):
+        short, long = (min(took("<p>" + part * n + end * n) for _ in range(2)) for n in (2_000, 16_000))
+        assert long < 30 * short + 0.5, part
