@@ -130,5 +130,52 @@ FROM p
 """
 
 
+def components_sql(words: int, percent: int, kept: str = "") -> str:
+    """Documents, the sizes of their sets of `words`-word shingles, and the least doc_id reachable by links of `percent`."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({NORMAL}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(s) AS s, s AS shingle
+           FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - {words - 1}, 1) + 1), lambda k: array_to_string(w[k : k + {words - 1}], ' '))) AS s FROM w WHERE len(w) > 0)),
+     n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+     l AS MATERIALIZED (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
+     e AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+     r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.root AS component_id{kept}
+FROM documents d JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+def clusters_sql(k: int = 40, rounds: int = 5, width: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """Rounds of assignment and exact floor means over integers, every vector against every centroid."""
+
+    def step(n: int) -> str:
+        return f"""
+     d{n} AS MATERIALIZED (SELECT e.vec_id, c.c, list_sum(list_transform(range(1, {width + 1}), lambda j: (e.x[j] - c.x[j]) * (e.x[j] - c.x[j])))::BIGINT AS far FROM e, c{n} c),
+     a{n} AS MATERIALIZED (SELECT vec_id, min(far) AS far, arg_min(c, (far, c)) AS c FROM d{n} GROUP BY vec_id)"""
+
+    def move(n: int) -> str:
+        return f""",
+     m{n} AS (SELECT a.c, j, sum(e.x[j])::BIGINT AS s, count(*) AS n FROM a{n} a JOIN e USING (vec_id), range(1, {width + 1}) t(j) GROUP BY ALL),
+     v{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM m{n} GROUP BY c),
+     c{n + 1} AS MATERIALIZED (SELECT c.c, coalesce(v.x, c.x) AS x FROM c{n} c LEFT JOIN v{n} v USING (c)),"""
+
+    steps = "".join(step(n) + move(n) for n in range(rounds)) + step(rounds)
+    return f"""
+WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda v: floor({scale} * v::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda v: isfinite(v))) = {width}),
+     c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c, x FROM e QUALIFY c < {k}),{steps}
+SELECT vec_id, a.c::INTEGER AS cluster, far AS distance, sum(far) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(far) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op3_mixing": OP3_SQL}
+    return {
+        "op2_exact_dedup": OP2_SQL,
+        "op3_mixing": OP3_SQL,
+        "op8_near_dedup": components_sql(5, 75, ", d.doc_id = m.root AS kept"),
+        "op11_centroid_clustering": clusters_sql(),
+        "op12_jaccard_join": components_sql(3, 90),
+    }
