@@ -74,15 +74,15 @@ def regions(far: np.ndarray, radius: float) -> np.ndarray:
 
 
 def possible(images: np.ndarray, sizes: np.ndarray, roots: np.ndarray, asks: np.ndarray, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (asking, stored) of rows of different roots that images do not rule out, region by region; a pair may come twice."""
-    ask, hold = np.flatnonzero(asks), np.flatnonzero(~asks)
+    """Pairs (asking, stored) of rows of different roots that images do not rule out, region by region; a pair may come twice. `asks` says 1 of rows that ask, 0 of stored ones, -1 of those that are both."""
+    ask, hold = np.flatnonzero(asks != 0), np.flatnonzero(asks <= 0)
     if not len(ask) or not len(hold):
         return
     if len(hold) > LEAF and depth < 8:
         pivots = hold[np.linspace(0, len(hold) - 1, min(PIVOTS, math.isqrt(len(hold)))).astype(np.int64)]
         inside = regions(distance(gap(images, sizes, images[pivots], sizes[pivots]), sizes, sizes[pivots]), 1 - percent / 100)
         parts = [np.flatnonzero(inside[:, j]) for j in range(len(pivots))]
-        work = [int(asks[p].sum()) * int((~asks[p]).sum()) for p in parts]
+        work = [int((asks[p] != 0).sum()) * int((asks[p] <= 0).sum()) for p in parts]
         if sum(work) < 0.7 * len(ask) * len(hold):
             for p in parts:
                 for a, b in possible(images[p], sizes[p], roots[p], asks[p], percent, depth + 1):
@@ -140,6 +140,16 @@ def common_shingles(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return known[order], np.minimum(times[order], 0xFFFF)
 
 
+def sized(seats: DataFrame, percent: int) -> DataFrame:
+    """key, id, n, hub of seats (key, id, n, hub, size) that have a neighbour of a size near enough for a link; of regions beyond a block, all."""
+    key = Window.partitionBy("key")
+    order = key.orderBy("n", "id")
+    near_in_size = (100 * F.lag("n").over(order) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(order))
+    few = seats.filter(F.col("size") <= BLOCK).withColumn("fits", near_in_size).filter("fits")
+    few = few.withColumn("hub", F.min("id").over(key))
+    return few.select("key", "id", "n", "hub").unionByName(seats.filter(F.col("size") > BLOCK).select("key", "id", "n", "hub"))
+
+
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that sizes and images don't rule out."""
 
@@ -177,13 +187,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def split(members: DataFrame, percent: int, level: int) -> DataFrame:
-    """members (key, id, n, root, image) with those regions that are larger than a block, and gain by it, split into the regions of some of their members."""
+def loads(members: DataFrame) -> DataFrame:
+    """key, load, size of each region: a load of 1 fills a block by members or by shingles."""
     load = F.sum(F.greatest(F.lit(1.0 / BLOCK), F.col("n") / HELD)).alias("load")
-    large = cut(members.groupBy("key").agg(load, F.count("*").alias("size")).filter("load > 1"))
+    return members.groupBy("key").agg(load, F.count("*").alias("size"))
+
+
+def split(members: DataFrame, images: DataFrame, percent: int, level: int) -> DataFrame:
+    """members (key, id, n, root) with those regions that are larger than a block, and gain by it, split into the regions of some of their members."""
+    large = cut(loads(members).filter("load > 1"))
     if not large.take(1):
         return members
-    inside = members.join(dealt_anew(large, "key"), "key")
+    inside = members.join(dealt_anew(large, "key"), "key").join(images, "id")
     chance = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = inside.withColumn("chance", chance).filter(F.col("chance") < 4.0 * PIVOTS / F.col("size"))  # some 4 * PIVOTS of each region
     first = drawn.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("chance", "id"))).filter(F.col("place") <= PIVOTS)
@@ -201,27 +216,32 @@ def split(members: DataFrame, percent: int, level: int) -> DataFrame:
                 here, sizes = words_of(part.column("image").to_pylist()), part.column("n").to_numpy()
                 found = regions(distance(gap(here, sizes, there, others), sizes, others), 1 - percent / 100)
                 parts = pa.array([np.flatnonzero(f).tolist() for f in found], pa.list_(pa.int32()))
-                yield from part.drop_columns(["pivots"]).append_column("parts", parts).to_batches()
+                yield from part.select(["key", "id", "n", "root"]).append_column("parts", parts).to_batches()
 
-    dealt = inside.drop("load", "size").join(dealt_anew(pivots, "key"), "key").select("key", "id", "n", "root", "image", "pivots")
-    dealt = cut(dealt.mapInArrow(run, "key long, id long, n long, root long, image binary, parts array<int>"))
-    weights = dealt.select("key", "n", F.explode("parts").alias("part")).groupBy("key", "part").agg(load)
-    gains = weights.groupBy("key").agg(F.sum(F.col("load") * F.col("load")).alias("work")).join(large, "key")
+    dealt = inside.select("key", "id", "n", "root", "image").join(dealt_anew(pivots, "key"), "key").select("key", "id", "n", "root", "image", "pivots")
+    dealt = cut(dealt.mapInArrow(run, "key long, id long, n long, root long, parts array<int>"))
+    part = F.explode("parts").alias("part")
+    weights = loads(dealt.select(F.struct("key", part).alias("key"), "n"))
+    gains = weights.groupBy("key.key").agg(F.sum(F.col("load") * F.col("load")).alias("work")).join(large, "key")
     gains = cut(gains.filter("work < 0.7 * load * load").select("key"))
-    better = dealt.join(gains, "key").select(F.explode("parts").alias("part"), "key", "id", "n", "root", "image")
-    better = better.select(F.xxhash64("key", "part", F.lit(level)).alias("key"), "id", "n", "root", "image")
-    return cut(members.join(gains, "key", "left_anti").unionByName(better))
+    better = dealt.join(dealt_anew(gains, "key"), "key").select(part, "key", "id", "n", "root")
+    better = better.select(F.xxhash64("key", "part", F.lit(level)).alias("key"), "id", "n", "root")
+    return cut(members.join(dealt_anew(gains, "key"), "key", "left_anti").unionByName(better))
 
 
 SEAT = SEATS + ", n long, image binary"
 
 
 def columns_of(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    return words_of(rows.column("image").to_pylist()), rows.column("n").to_numpy(), rows.column("root").to_numpy(), rows.column("asks").to_numpy()
+    asks = rows.column("asks").cast(pa.int8()).fill_null(-1).to_numpy()
+    return words_of(rows.column("image").to_pylist()), rows.column("n").to_numpy(), rows.column("root").to_numpy(), asks
+
 
+def likely(members: DataFrame, images: DataFrame, percent: int) -> DataFrame:
+    """The seats of rows that have, at their place, a partner of another component whom images don't rule out.
 
-def likely(members: DataFrame, percent: int) -> DataFrame:
-    """The seats of rows that have, at their place, a partner of another component that images don't rule out."""
+    A region that fits in a block is one place, where all ask and all are stored; a larger one that no pivots split is seated in blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in at_places(batches):
@@ -231,8 +251,11 @@ def likely(members: DataFrame, percent: int) -> DataFrame:
                     live[s + a] = live[s + b] = True
             yield from rows.filter(pa.array(live)).combine_chunks().to_batches()
 
-    seats = seated(members).join(members.select("key", "id", "n", "image"), ["key", "id"])
-    return sorted_places(seats.select("key", "b", "c", "id", "root", "asks", "n", "image")).mapInArrow(run, SEAT)
+    large = cut(loads(members).filter("load > 1").select("key"))
+    one = members.join(dealt_anew(large, "key"), "key", "left_anti").select("key", F.lit(0).alias("b"), F.lit(0).alias("c"), "id", "root", F.lit(None).cast("boolean").alias("asks"), "n")
+    many = members.join(dealt_anew(large, "key"), "key")
+    seats = one.unionByName(seated(many).join(members.select("id", "n").distinct(), "id").select(one.columns)).join(images, "id")
+    return sorted_places(seats.select(*one.columns, "image")).mapInArrow(run, SEAT)
 
 
 def settled(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -274,9 +297,9 @@ def join(df: DataFrame, percent: int = 90, doc_id: str = "doc_id", text: str = "
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "mark"))
     classes = base.filter(F.col("set_hash").isNotNull()).groupBy("set_hash", "n").agg(best.alias("best"), F.first("image").alias("image"), F.first("keys").alias("keys"))
     classes = cut(classes.withColumn("id", F.col("best.row")))
-    exploded = classes.select("id", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    seats = cut(exploded.join(dealt_anew(shared, "key"), "key"))
+    exploded = classes.select("id", "n", F.explode("keys").alias("key"))
+    shared = exploded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    seats = cut(sized(cut(exploded.join(dealt_anew(shared, "key"), "key").select("key", "id", "n", "hub", "size")), percent))
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(text).alias("mark"), F.col(text).cast("binary").alias("text"))
     repeated = bool(base.groupBy("doc_id", "mark").count().filter("count > 1").take(1))
 
@@ -293,13 +316,13 @@ def join(df: DataFrame, percent: int = 90, doc_id: str = "doc_id", text: str = "
     roots = cut(components(confirmed(first, sets_of(first.select(F.col("u").alias("id")).union(first.select("v"))), percent)))
     labelled = seats.drop("hub").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    members = labelled.join(dealt_anew(open_keys, "key"), "key").select("key", "id", "root")
-    members = cut(members.join(classes.select("id", "n", "image"), "id").select("key", "id", "n", "root", "image"))
+    members = cut(labelled.join(dealt_anew(open_keys, "key"), "key").select("key", "id", "n", "root"))
+    images = classes.select("id", "image")
     for level in range(LEVELS):
-        before, members = members, split(members, percent, level)
+        before, members = members, split(members, images, percent, level)
         if members is before:
             break
-    seats = cut(likely(members, percent))
+    seats = cut(likely(members, images, percent))
     tops = components(settled(seats, sets_of(seats.select("id")), percent))
     rooted = classes.select("set_hash", "n", "id", "best").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = rooted.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))

@@ -19,6 +19,7 @@ A pair at the threshold of 0.75 shares none of 32 keys with probability 5e-6.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,29 +51,54 @@ _TERMS = mix(np.arange(HASHES + 1, 2 * HASHES + 1, dtype=np.uint64) * _ODD)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-class Words(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) > 200_000:
-            self.clear()
-        h = xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_words = Words()
+#: A random number for each byte, the same for A-Z as for a-z, zero for the six white-space characters; and how far words are hashed at once.
+_BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1000)) * _ODD)
+_BYTE[65:91] = _BYTE[97:123]
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE[_SPACE] = 0
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+CHUNK = 1 << 20
+_BASE = int(mix(_ODD[None])[0]) | 1
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0, base^1, ... modulo 2^64."""
+    out = np.ones(n, np.uint64)
+    out[1:] = base
+    return np.multiply.accumulate(out)
+
+
+_up, _down = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order: the bytes' numbers weighted by a power for each place in the word, all words of a chunk at once."""
+    global _up, _down
+    out, at = [], 0
+    while at < len(text):
+        end = at + CHUNK
+        if end < len(text):
+            gap = _GAP.search(text, end)
+            end = gap.start() if gap else len(text)
+        data = np.frombuffer(text, np.uint8)[at:end]
+        if len(data) > len(_up):
+            n = 1 << len(data).bit_length()
+            _up, _down = powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)
+        blank = _SPACE[data]
+        start = ~blank
+        start[1:] &= blank[:-1]
+        starts = np.flatnonzero(start)
+        if len(starts):
+            out.append(mix(np.add.reduceat(_BYTE[data] * _up[: len(data)], starts) * _down[starts]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(text: bytes | None, size: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the shingles of `size` words of a text; of all its words if they are fewer."""
-    words = (text or b"").lower().split()  # ASCII letters and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text or b"")
+    if not len(h):
+        return h
     n = max(1, len(h) - size + 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(size, len(h))):

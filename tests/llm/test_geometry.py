@@ -195,9 +195,11 @@ def test_images_and_windows_lose_nothing(seed, percent):
     n = len(sets)
     both = [x for k in range(2) for x in range(n)]
     found = set()
-    asks = np.array([False] * n + [True] * n)
+    asks = np.array([0] * n + [1] * n)
     for a, b in jaccard_join.possible(images[both], sizes[both], np.array(both), asks, percent):
         found |= {(both[i], both[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    alone = {(i, j) for a, b in jaccard_join.possible(images, sizes, np.arange(n), np.full(n, -1), percent) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert alone == found
     for i in range(n):
         for j in range(n):
             if i != j and jaccard_join.linked(sets[i], sets[j], percent):
