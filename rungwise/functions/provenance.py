@@ -68,6 +68,11 @@ class SourceMap:
         first = self.position(start) or 0
         return (first, first) if end <= start else (first, (self.position(end - 1) or 0) + 1)
 
+    def spans(self, n) -> tuple[int, int, int, int]:
+        """A node's start, end, line and column in the original."""
+        start, end = self.node(n.start, n.end)
+        return (start, end, *self.line_col(start))
+
     def line_col(self, at: int) -> tuple[int, int]:
         """1-based line and column of an original offset, held within the text."""
         at = min(max(at, 0), len(self.original))

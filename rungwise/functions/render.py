@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from textwrap import indent
 
 from rungwise.operators.parser import Node
@@ -90,20 +91,36 @@ def chart(nodes: list[Node]) -> str:
     return "\n".join(out)
 
 
-def initial(n: Node):
-    """A variable's initial value as what it is."""
-    read = {"integer": int, "real": float, "boolean": lambda t: t == "True"}.get(n.props.get("init"), str)
-    return read(n.literal) if n.literal is not None else "Default" if n.props.get("init") == "default" else None
+def value_of(kind: str | None, text: str | None):
+    """What a literal of a kind stands for. A point in time is a mapping of its own, `Default` and no value are None."""
+    if kind == "time":
+        return {"Time_Value": text}
+    read = {"integer": int, "real": float, "boolean": lambda t: t == "True"}.get(kind, str)
+    return read(text) if text is not None else None
+
+
+# The built-in types, of which a declaration's type is shown as a member.
+BUILT_IN = ("string", "boolean", "integer", "identstring", "tagstring", "time", "duration", "linestring", "maxstring", "real")
+
+
+def type_text(name: str) -> str:
+    return f"<Simple_DataType.{name.upper()}: {name.lower()!r}>" if name.lower() in BUILT_IN else repr(name)
+
+
+def variable(n: Node) -> str:
+    """A variable on one line."""
+    return "Name: {}, Datatype: {}, Global: {}, Const: {}, State: {}, Init_value : {}, Description: {}".format(*cells_of(n))
+
+
+def cells_of(n: Node) -> list[str]:
+    return [repr(n.name), type_text(n.props["type"]), str(n.props["global"]), str(n.props["const"]), str(n.props["state"]), repr(value_of(n.props.get("init"), n.literal)), repr(n.props["description"])]
 
 
 def variable_table(nodes: list[Node]) -> str:
     """Variables as aligned columns, every column as wide as its widest cell; [] for none."""
     if not nodes:
         return "[]"
-    cells = [
-        [repr(n.name), repr(n.props["type"]), str(n.props["global"]), str(n.props["const"]), str(n.props["state"]), repr(initial(n)), repr(n.props["description"])]
-        for n in nodes
-    ]
+    cells = [cells_of(n) for n in nodes]
     wide = [max(map(len, column)) for column in zip(*cells, strict=True)]
     heads = ("Name: ", " , Datatype: ", ", Global: ", ", Const: ", ", State: ", ", Init_value : ", ", Description: ")
     return "[\n" + "\n".join(STEP + "".join(f"{h}{c:<{w}}" for h, c, w in zip(heads, row, wide, strict=True)) for row in cells) + "]"
@@ -123,7 +140,9 @@ def mapping(n: Node) -> str:
     source = n.of("source")
     if n.props["source"] == "variable":
         return f"{n.name} => {source[0].name}"
-    return f"{n.name} => {literal(source[0]) if source else repr(n.literal)}"
+    if n.props["source"] == "time":
+        return f"{n.name} => {value_of('time', n.literal)!r}"
+    return f"{n.name} => {literal(source[0]) if source else '<None>'}"
 
 
 def listing(items: list[str]) -> str:
@@ -131,8 +150,110 @@ def listing(items: list[str]) -> str:
 
 
 def record(n: Node) -> str:
-    """A record type: its fields as a table."""
-    return f"DataType {n.name!r} {variable_table(n.of('field'))}"
+    """A record type: what it is declared as, and its fields as a table. Sources tell neither file nor library."""
+    rows = [("Name", repr(n.name)), ("Description", repr(n.props["description"])), ("Datecode", repr(n.props["datecode"])), ("OriginFile", "None"), ("OriginLib", "None")]
+    return "Datatype{\n" + indent("\n".join([*(f"{k:<11}: {v}" for k, v in rows), f"Variables in datatype   : {variable_table(n.of('field'))}"]), STEP) + "}"
+
+
+def layout(n: Node) -> str:
+    """A module's layout options."""
+    box = tuple(tuple(p) for p in n.props["clipping_bounds"])
+    zoom = n.props["zoom_limits"]
+    rows = [("ClippingBounds", box), ("ZoomLimits", tuple(zoom) if zoom else None), ("SeqLayers", n.props["layer_limit"]), ("Grid", n.props["grid"]), ("Zoomable", n.props["zoomable"])]
+    return "\n" + indent("\n".join(f"{k:<15}: {v}" for k, v in rows), STEP)
+
+
+Spans = Callable[[Node], tuple[int, int, int, int]]
+
+
+def structure(n: Node, spans: Spans) -> str:
+    """A node of code in full: its class, and every field by name, spans included."""
+    start, end, line, column = spans(n)
+    span = f"span=SourceSpan(start={start}, end={end}, line={line}, column={column})"
+
+    def one(role: str) -> str:
+        return structure(n.of(role)[0], spans)
+
+    def several(role: str, around: str = "[]") -> str:
+        held = [structure(k, spans) for k in n.of(role)]
+        return around[0] + ", ".join(held) + ("," if around == "()" and len(held) == 1 else "") + around[1]
+
+    def pairs(many: bool) -> str:
+        held = []
+        for k in range(len({x.role for x in n.kids if x.role.startswith("condition:")})):
+            held.append(f"({one(f'condition:{k}')}, {several(f'then:{k}', '()') if many else one(f'value:{k}')})")
+        return "(" + ", ".join(held) + ("," if len(held) == 1 else "") + ")"
+
+    match n.kind:
+        case "Literal":
+            return repr(value_of(n.props["type"], n.literal))
+        case "Comment":
+            return f"CodeComment(text={n.literal!r}, {span})"
+        case "VarRef":
+            return f"VarRef(name={n.name!r}, state={n.props['state']!r}, {span})"
+        case "BoolOp":
+            return f"BoolOp(op={n.name!r}, operands={several('operand', '()')}, {span})"
+        case "NotOp":
+            return f"NotOp(operand={one('operand')}, {span})"
+        case "UnaryOp":
+            return f"UnaryOp(op={n.name!r}, operand={one('operand')}, {span})"
+        case "Compare" | "BinOp":
+            return f"{n.kind}(left={one('left')}, op={n.name!r}, right={one('right')}, {span})"
+        case "FuncCall":
+            return f"FuncCall(name={n.name!r}, args={several('argument', '()')}, {span})"
+        case "FuncCallStmt":
+            return f"FuncCallStmt(call={one('call')}, {span})"
+        case "Assignment":
+            return f"Assignment(target={one('target')}, value={one('value')}, {span})"
+        case "TernaryOp":
+            return f"TernaryOp(branches={pairs(False)}, else_expr={one('else')}, {span})"
+        case "IfStmt":
+            return f"IfStmt(branches={pairs(True)}, else_block={several('else', '()') if n.props.get('has_else') else None}, {span})"
+        case "InitStep" | "Step":
+            parts = ", ".join(f"{x}={several(x)}" for x in ("enter", "active", "exit"))
+            return f"SFCStep(kind={('init' if n.kind == 'InitStep' else 'step')!r}, name={n.name!r}, code=SFCCodeBlocks({parts}))"
+        case "Transition":
+            return f"SFCTransition(name={n.name!r}, condition={one('condition')})"
+        case "Alternative" | "Parallel":
+            return f"SFC{n.kind}(branches=[{', '.join(several(f'branch:{k}') for k in range(n.props['branches']))}])"
+        case "Subsequence" | "TransitionSub":
+            return f"SFC{n.kind}(name={n.name!r}, body={several('element')})"
+        case "Fork":
+            return f"SFCFork(targets={tuple(n.props['targets'])!r})"
+        case _:
+            return "SFCBreak()"
+
+
+def block(n: Node, spans: Spans) -> str:
+    """A sequence or an equation block: its head, and its code in full, comments as they stand."""
+    body = listing([k.literal if k.kind == "Comment" else structure(k, spans) for k in n.kids])
+    head = f"name={n.name}, pos={tuple(n.props['position'])},"
+    if n.kind == "Equation":
+        return f"Equation({head}\n    code={body})"
+    return f"Sequence({head} type={n.props['type']}, control={n.props['control']}, timer={n.props['timer']},\n    code={body})"
+
+
+def told(n: Node, spans: Spans) -> str | None:
+    """The text of a node that has one of its own: variables, records, mappings, layouts, sequences and equation blocks."""
+    match n.kind:
+        case "Variable":
+            return variable(n)
+        case "DataType":
+            return record(n)
+        case "ParameterMapping":
+            return mapping(n)
+        case "ModuleDef":
+            return layout(n)
+        case "Sequence" | "Equation":
+            return block(n, spans)
+    return None
+
+
+def bound(n: Node, spans: Spans) -> str:
+    """What an enable hangs on: a variable or expression in full; a literal as itself."""
+    if n.kind == "Binding":
+        return structure(n.kids[0], spans) if n.kids else str(n.literal)
+    return str(value_of(n.props["type"], n.literal)) if n.kind == "Literal" else structure(n, spans)
 
 
 #: Heads of a summary by kind, and how wide heads are.
@@ -144,13 +265,13 @@ SUMMARIES = {
 }
 
 
-def module(n: Node) -> str:
+def module(n: Node, spans: Spans) -> str:
     """A module's summary: what it declares, and how many blocks it has."""
     last_code = n.of("code")[-1:]
     section = code(last_code[0]) if last_code else "None"
-    inner = listing([module(k) for k in n.of("submodule")])
+    inner = listing([module(k, spans) for k in n.of("submodule")])
     if n.kind == "BasePicture":
-        types = f"TYPEDEFINITIONS (Records): {listing([record(k) for k in n.of('data_type')])}\n\nTYPEDEFINITIONS (Modules): {listing([module(k) for k in n.of('module_type')])}\n"
+        types = f"TYPEDEFINITIONS (Records): {listing([record(k) for k in n.of('data_type')])}\n\nTYPEDEFINITIONS (Modules): {listing([module(k, spans) for k in n.of('module_type')])}\n"
         body = f"Name: {n.name!r}\nPosition: {tuple(n.props['coords'])!r}\n\n{types}Localvariables: {variable_table(n.of('local'))}\n\nSubmodules: {inner}\n\nModuleCode: {section}\n\nModuleDefBlocks: {len(n.of('layout'))}\n\n"
         return "BasePicture{\n" + indent(body, STEP) + "}"
     head, wide = SUMMARIES[n.kind]
@@ -159,7 +280,7 @@ def module(n: Node) -> str:
         rows.append(("Enable", str(n.props["enable"]), wide))
         if n.kind == "ModuleTypeInstance":
             tail = n.of("enable")
-            rows.append(("Enable_tail", expression(tail[0]) if tail else "None", wide))
+            rows.append(("Enable_tail", bound(tail[0], spans) if tail else "None", wide))
         rows.append(("Invoke_coord", repr(tuple(n.props["coords"])), wide))
     mappings = ("ParameterMappings", listing([mapping(k) for k in n.of("mapping")]), 17)
     if n.kind == "ModuleTypeInstance":

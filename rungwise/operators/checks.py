@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rungwise.functions import coded, markers, render
 from rungwise.functions.coded import FormatError
@@ -18,16 +19,15 @@ from rungwise.operators.stage import deep, parse_source, text_of
 from rungwise.session import ship
 
 DOCUMENT = "source_id string, format string, original string, normalized string, char_map array<int>, repairs array<string>, repair_kinds array<string>, error string"
+TEXT = "source_id string, start int, kind string, name string, text string"
 RUN = "source_id string, success boolean, error_class string, error string, duration_ms double"
 #: Classes of fault that a text may give without the engine being at fault.
-EXPECTED = ("SyntaxFault", "FormatError")
+EXPECTED = ("SyntaxFault", "FormatError", "RecursionError")
 
 
 def _stage(sources: DataFrame, schema: str, row: Callable[[str, bytes | str | None], tuple], source_id: str, content: str) -> DataFrame:
     ship(sources.sparkSession)
     out = sources.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     kinds = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +80,29 @@ def marker_facts(sources: DataFrame, source_id: str = "source_id", content: str
     return _stage(sources, "source_id string, n_markers int, compressed boolean", row, source_id, content)
 
 
+def texts(sources: DataFrame, source_id: str = "source_id", content: str = "content") -> DataFrame:
+    """source_id, start, kind, name, text: every variable, record, mapping, layout, sequence and equation block as text for people; none of a source that doesn't parse."""
+    kinds = to_arrow_schema(sources.sparkSession.createDataFrame([], TEXT).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, data in zip(batch.column(0), batch.column(1), strict=True):
+                rows: list[tuple] = []
+                try:
+                    source, _, _ = markers.prepared(plain_text(data.as_py())[1])
+                    with deep():
+                        for n in parse(source.normalized).walk():
+                            if (text := render.told(n, source.spans)) is not None:
+                                rows.append((key.as_py() or "", source.spans(n)[0], n.kind, n.name, text))
+                except (SyntaxFault, FormatError, RecursionError):
+                    continue
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    ship(sources.sparkSession)
+    return sources.select(F.col(source_id).cast("string"), F.col(content)).mapInArrow(run, TEXT)
+
+
 def summaries(sources: DataFrame, source_id: str = "source_id", content: str = "content") -> DataFrame:
     """source_id, summary: the program's module tree as text for people, null where it doesn't parse."""
 
@@ -87,7 +110,7 @@ def summaries(sources: DataFrame, source_id: str = "source_id", content: str = "
         try:
             source, _, _ = markers.prepared(plain_text(data)[1])
             with deep():
-                return key, render.module(parse(source.normalized).of("root")[0])
+                return key, render.module(parse(source.normalized).of("root")[0], source.spans)
         except (SyntaxFault, FormatError, RecursionError):
             return key, None
 

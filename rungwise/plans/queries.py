@@ -12,13 +12,10 @@ from pyspark.sql import functions as F
 
 from rungwise.operators import checks
 from rungwise.operators.stage import parse_sources
-from rungwise.plans import positions, views
+from rungwise.plans import forms, positions, views
 from rungwise.plans import roundtrip as rt
 from rungwise.plans.compiled import column
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from rungwise.plans.tables import table
 
 
 def number(name: str = "name", prefix: str = "V"):
@@ -512,8 +509,12 @@ rt_conditions rt_comments rt_chart_edges rt_alternatives rt_graphics rt_interact
 anchor_lookup marker_ratio identifier_counts string_literals key_stream compiled_expression rt_repairs rt_marker_positions rt_marker_errors rt_encodings rt_layout rt_shapes rt_procedures rt_charts_all rendered_summaries deep_nesting soup_runs""".split()
 
 
+#: Modules that hold further queries.
+MORE = (forms,)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: globals()[n] for n in NAMES}
+    return {n: globals()[n] for n in NAMES} | {k: f for m in MORE for k, f in m.QUERIES.items()}
 
 
 def _repaired(at: int) -> str:
@@ -629,8 +630,8 @@ SQL = {
         SELECT s_suppkey, 'BasePicture{' || chr(10) || array_to_string(list_transform(string_split(
             'Name: ''BasePicture''' || chr(10) || 'Position: (0.0, 0.0, 0.0, 1.0, 1.0)' || chr(10) || chr(10) || 'TYPEDEFINITIONS (Records): []' || chr(10) || chr(10) || 'TYPEDEFINITIONS (Modules): []' || chr(10)
             || 'Localvariables: [' || chr(10)
-            || '    Name: ' || rpad('''A' || s_suppkey || '''', w, ' ') || ' , Datatype: ''integer'', Global: False, Const: False, State: False, Init_value : 7   , Description: ' || rpad('None', w2, ' ') || chr(10)
-            || '    Name: ' || rpad('''Longer''', w, ' ') || ' , Datatype: ''real''   , Global: False, Const: False, State: False, Init_value : None, Description: ' || rpad('''' || s_name || '''', w2, ' ') || ']' || chr(10) || chr(10)
+            || '    Name: ' || rpad('''A' || s_suppkey || '''', w, ' ') || ' , Datatype: <Simple_DataType.INTEGER: ''integer''>, Global: False, Const: False, State: False, Init_value : 7   , Description: ' || rpad('None', w2, ' ') || chr(10)
+            || '    Name: ' || rpad('''Longer''', w, ' ') || ' , Datatype: <Simple_DataType.REAL: ''real''>      , Global: False, Const: False, State: False, Init_value : None, Description: ' || rpad('''' || s_name || '''', w2, ' ') || ']' || chr(10) || chr(10)
             || 'Submodules: [' || chr(10) || '    ModuleTypeInstance{' || chr(10)
             || '        Name             : ''I' || s_suppkey || '''' || chr(10) || '        Enable           : True' || chr(10) || '        Enable_tail      : None' || chr(10) || '        Invoke_coord     : (0.0, 0.0, 0.0, 1.0, 1.0)' || chr(10)
             || '        ModuleTypeName   : ''Type''' || chr(10) || '        ParameterMappings: [' || chr(10) || '            P => V' || s_suppkey || chr(10) || '            Q => GLOBAL]}]' || chr(10) || chr(10)
@@ -642,4 +643,4 @@ SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {k: v for m in MORE for k, v in m.SQL.items()}
