@@ -75,7 +75,7 @@ def marker_facts(sources: DataFrame, source_id: str = "source_id", content: str
             text = plain_text(data)[1]
         except FormatError:
             return key, None, None
-        return key, len(markers.markers_of(text)), markers.is_compressed(text)
+        return key, *markers.facts(text)
 
     return _stage(sources, "source_id string, n_markers int, compressed boolean", row, source_id, content)
 

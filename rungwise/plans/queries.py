@@ -393,10 +393,11 @@ def rt_marker_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").withColumn("part", rt.block(F.col("o_orderkey")))
     made = rt.as_markers(rt.sources(rows, ["part"], "o_orderkey", line, ("ModuleCode\nEQUATIONBLOCK Main" + rt.PLACE + ":\n", "\n"), in_layout=True)).persist()
     refs = only(made, "VarRef").join(made, "source_id")
-    head = F.substring("content", F.lit(1), F.col("start"))
+    starts = positions.lines(made, "source_id", "content").select("source_id", "line", F.col("start").alias("line_start"), "length")
+    refs = refs.join(starts, ["source_id", "line"])
     return refs.select(
         number("name", "A").alias("o_orderkey"), "name", F.substring("content", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"),
-        (F.regexp_count(head, F.lit("\n")) + 1 == F.col("line")).alias("line_fits"), (F.length(F.substring_index(head, "\n", -1)) + 1 == F.col("col")).alias("col_fits"),
+        F.col("start").between(F.col("line_start"), F.col("line_start") + F.col("length")).alias("line_fits"), (F.col("start") - F.col("line_start") + 1 == F.col("col")).alias("col_fits"),
     )
 
 

@@ -6,6 +6,7 @@ import pytest
 
 from rungwise.functions import render
 from rungwise.functions.markers import compress
+from rungwise.functions.provenance import SourceMap
 from rungwise.operators.parser import parse, program_name
 from rungwise.operators.scanner import SyntaxFault
 from rungwise.operators.stage import _NAMES, parse_source
@@ -114,7 +115,7 @@ def test_modules_and_mappings():
     assert first.props["layer"] == 3 and first.props["enable"] is False and first.props["flags"] == ["LayerModule"]
     assert [(m.name, m.props["source"], m.props["global"], m.props["duration"]) for m in first.of("mapping")] == [("P", "variable", True, False), ("Q", "value", False, True), ("S", "time", False, False)]
     assert tree.of("submodule")[1].of("submodule")[0].name == "I2"
-    assert "ModuleTypeName" in render.module(tree)
+    assert "ModuleTypeName" in render.module(tree, SourceMap(text, text).spans)
 
 
 def test_sequences():
