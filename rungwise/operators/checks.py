@@ -156,11 +156,16 @@ def soup(seed: int, length: int) -> str:
 
 def random_sources(spark: SparkSession, rounds: int, seed: int = 0, length: int = 500) -> DataFrame:
     """source_id, content of `rounds` random texts; round i has seed + i, zero being a seed like any other."""
-    ship(spark)
+    return soups(spark.range(rounds).select((F.col("id") + seed).alias("seed")), length)
+
+
+def soups(seeds: DataFrame, length: int = 500) -> DataFrame:
+    """source_id, content: a random text for every seed (a column `seed`)."""
+    ship(seeds.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([f"random-{seed + i}" for i in ids]), pa.array([soup(seed + i, length) for i in ids])], names=["source_id", "content"])
+            own = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([f"random-{i}" for i in own]), pa.array([soup(i, length) for i in own])], names=["source_id", "content"])
 
-    return spark.range(rounds).mapInArrow(run, "source_id string, content string")
+    return seeds.select("seed").mapInArrow(run, "source_id string, content string")

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from rungwise.functions.provenance import line_starts
+from rungwise.plans.asof import as_of, filled
 from rungwise.session import ship
 
 #: Lines that leave the stage together.
@@ -39,31 +40,13 @@ def lines(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def line_of(offsets: DataFrame, texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """offsets (key, at) with 1-based line and col: each is looked up in the sorted starts of its text's lines."""
-    ship(texts.sparkSession)
-    asked = offsets.groupBy(key).agg(F.collect_list("at").alias("ats"))
-    found = texts.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("body")).join(asked, key)
-    kind = to_arrow_type(texts.schema[key].dataType)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ats = batch.column(2)
-            rows = np.repeat(np.arange(batch.num_rows), ats.value_lengths().to_numpy())
-            at, line, col = [], [], []
-            for body, own in zip(batch.column(1), ats, strict=True):
-                starts, own = line_starts(body.as_py()), np.array(own.as_py(), np.int64)
-                n = np.searchsorted(starts, own, side="right")
-                at.append(own)
-                line.append(n)
-                col.append(own - starts[n - 1] + 1)
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)).cast(kind), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (at, line, col))], names=[key, "at", "line", "col"])
-
-    schema = T.StructType([texts.schema[key], *(T.StructField(c, T.IntegerType()) for c in ("at", "line", "col"))])
-    return found.select(key, "body", "ats").mapInArrow(run, schema)
+    """offsets (key, at) with 1-based line and col, as an as-of look-up in the starts of lines. Offsets of no text are left out."""
+    asked = offsets.select(key, F.col("at").cast("int").alias("at"))
+    starts = lines(texts.join(asked.select(key).distinct(), key, "left_semi"), key, text)
+    found = as_of(asked, starts.select(key, F.col("start").alias("at"), F.struct("line", "start").alias("begun")), key, "at", "begun")
+    return found.filter("begun IS NOT NULL").select(key, "at", F.col("begun.line").alias("line"), (F.col("at") - F.col("begun.start") + 1).alias("col"))
 
 
 def anchors(places: DataFrame, key: str, at: str = "at", real: str = "real") -> DataFrame:
     """As-of look-up: each place's own original offset or, where it has none, that of the last place before it, 0 before any."""
-    before = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return places.withColumn("anchor", F.coalesce(F.last(real, ignorenulls=True).over(before), F.lit(0)))
+    return filled(places.withColumn("anchor", F.col(real)), key, [at], "anchor").withColumn("anchor", F.coalesce("anchor", F.lit(0)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rungwise.operators import checks
 from rungwise.operators.stage import parse_sources
-from rungwise.plans import forms, positions, views
+from rungwise.plans import forms, huge, positions, views
 from rungwise.plans import roundtrip as rt
 from rungwise.plans.compiled import column
 from rungwise.plans.tables import table
@@ -307,6 +307,20 @@ def line_col_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.line_of(at, docs, "doc_id")
 
 
+def huge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents, each text in chunks of 2,000 characters that any task may have."""
+    return huge.lines(huge.chunks_of(table(spark, sf_dir, "documents"), "doc_id", size=2000), "doc_id")
+
+
+def huge_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings and comments of every document, quoted and then commented out, found in chunks of 500 characters: how many of each kind, and how long."""
+    plain = F.translate(F.coalesce("text", F.lit("")), '"*()', "'x[]")
+    text = F.concat(F.lit('(* "a" (* b *) *) '), rt.quoted(plain), F.lit(' "x""y" (* '), plain, F.lit(' *) "open (* '), plain)
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    found = huge.opaque(huge.chunks_of(docs, "doc_id", size=500), "doc_id")
+    return found.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
+
+
 def anchor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("at"), F.when(F.col("event_type") != "click", F.col("event_id") * 2).alias("real"))
     return positions.anchors(e, "user_id")
@@ -500,14 +514,15 @@ def deep_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def soup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """300 random texts: none crashes the engine, none takes ten seconds."""
-    found = checks.runs(checks.random_sources(spark, 300)).persist()
-    return found.agg(F.count("*").alias("n")).select("n", F.lit(checks.crashes(found).count()).cast("long").alias("n_crashes"), F.lit(checks.slow(found).count()).cast("long").alias("n_slow"))
+    """A random text for every customer, its key the seed: none crashes the engine, none takes ten seconds."""
+    found = checks.runs(checks.soups(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seed"))))
+    crashed = ~F.col("success") & ~F.col("error_class").isin(*checks.EXPECTED)
+    return found.agg(F.count("*").alias("n"), F.count_if(crashed).alias("n_crashes"), F.count_if(F.col("duration_ms") > 10_000).alias("n_slow"))
 
 
 NAMES = """rt_variables rt_compressed rt_coded datatype_counts rt_var_modifiers rt_time_values rt_strings rt_records rt_module_tree rt_param_mappings resolved_types rt_statements expression_shape
 rt_conditions rt_comments rt_chart_edges rt_alternatives rt_graphics rt_interact parse_failures parse_runs program_names kind_rollup duplicate_names constant_writes line_index line_col_lookup
-anchor_lookup marker_ratio identifier_counts string_literals key_stream compiled_expression rt_repairs rt_marker_positions rt_marker_errors rt_encodings rt_layout rt_shapes rt_procedures rt_charts_all rendered_summaries deep_nesting soup_runs""".split()
+anchor_lookup marker_ratio identifier_counts string_literals key_stream compiled_expression huge_lines huge_regions rt_repairs rt_marker_positions rt_marker_errors rt_encodings rt_layout rt_shapes rt_procedures rt_charts_all rendered_summaries deep_nesting soup_runs""".split()
 
 
 #: Modules that hold further queries.
@@ -639,7 +654,13 @@ SQL = {
             || 'ModuleCode: None' || chr(10) || chr(10) || 'ModuleDefBlocks: 1' || chr(10) || chr(10), chr(10)), lambda x: CASE WHEN x = '' THEN x ELSE '    ' || x END), chr(10)) || '}' AS summary
         FROM (SELECT s_suppkey, s_name, greatest(8, 3 + length(s_suppkey::VARCHAR))::INT AS w, (length(s_name) + 2)::INT AS w2 FROM supplier)""",
     "deep_nesting": "SELECT n_nationkey::INT AS n_nationkey, 100 * n_nationkey::BIGINT AS n_operators, 0::BIGINT AS n_errors FROM nation",
-    "soup_runs": "SELECT 300::BIGINT AS n, 0::BIGINT AS n_crashes, 0::BIGINT AS n_slow",
+    "soup_runs": "SELECT count(*) AS n, 0::BIGINT AS n_crashes, 0::BIGINT AS n_slow FROM customer",
+    "huge_lines": r"""
+        SELECT doc_id, k AS line, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(x) AS length
+        FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents)""",
+    "huge_regions": """
+        SELECT doc_id, kind, n, CASE kind WHEN 'C' THEN 23 + coalesce(length(text), 0) ELSE 17 + 2 * coalesce(length(text), 0) END::BIGINT AS n_chars
+        FROM documents, (VALUES ('C', 2::BIGINT), ('S', 3::BIGINT)) t(kind, n)""",
 }
 
 

@@ -7,7 +7,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -29,3 +29,14 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _shipped.add(context.applicationId)
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share: the one the cluster names in spark.checkpoint.dir; one of our own only in local mode, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
