@@ -72,11 +72,13 @@ MODULES = frozenset(("BasePicture", "SingleModule", "FrameModule", "ModuleTypeIn
 CHART = frozenset(("InitStep", "Step", "Transition", "TransitionSub", "Subsequence", "Alternative", "Parallel", "Fork", "Break"))
 
 
-def facts_of(n: Node, path: tuple[str, ...], module: int | None, owner: str | None) -> dict:
-    """A node's own facts, and what views would have to join for: a module's path, the kind of module that declares a variable or maps a parameter, the module whose code holds an element, the folded spelling of names that others are found by."""
+def facts_of(n: Node, path: tuple[str, ...], module: int | None, owner: str | None, within: int | None) -> dict:
+    """A node's own facts, and what views would have to join for: a module's path and the module type it stands in, the kind of module that declares a variable or maps a parameter, the module whose code holds an element, the folded spelling of names that others are found by."""
     more: dict = {}
     if n.kind in MODULES:
         more["path"] = path
+        if within is not None:
+            more["within"] = within
     if n.kind == "ModuleTypeInstance":
         more["type_key"] = n.props["type"].casefold()
     elif n.kind in CHART:
@@ -85,6 +87,8 @@ def facts_of(n: Node, path: tuple[str, ...], module: int | None, owner: str | No
             more["target_keys"] = [x.casefold() for x in n.props["targets"]]
     elif n.kind == "Variable":
         more["owner"] = owner
+        if (key := n.props["type"].casefold()) not in render.BUILT_IN:
+            more["type_key"] = key
     elif n.kind == "ParameterMapping":
         more["owner"] = owner
         if (source := n.of("source")) and source[0].kind == "VarRef":
@@ -97,7 +101,7 @@ def rows_of(source_id: str, tree: Node, source: SourceMap, kinds: frozenset[str]
     rows: list[list] = []
     seen = 0
 
-    def visit(n: Node, parent: int | None, depth: int, ordinal: int, path: tuple[str, ...], module: int | None, owner: str | None) -> None:
+    def visit(n: Node, parent: int | None, depth: int, ordinal: int, path: tuple[str, ...], module: int | None, owner: str | None, within: int | None) -> None:
         nonlocal seen
         me, row = seen, None
         seen += 1
@@ -105,21 +109,23 @@ def rows_of(source_id: str, tree: Node, source: SourceMap, kinds: frozenset[str]
             path = (*path, n.name)
         elif n.kind == "ModuleCode":
             module = parent
+        elif n.kind == "ModuleTypeDef":
+            within = me
         if kinds is None or n.kind in kinds:
             start, end = source.node(n.start, n.end)
             line, col = source.line_col(start)
-            facts = facts_of(n, path, module, owner)
+            facts = facts_of(n, path, module, owner, within)
             if n.kind == "BinOp":
                 facts["own_end"] = source.node(n.start, n.kids[1].end)[1]  # end is that of the whole chain
             props = json.dumps(facts, ensure_ascii=False) if facts else None
             row = [source_id, me, me, parent, depth, ordinal, n.role, n.kind, n.name, n.name.casefold() if n.name is not None else None, n.literal, start, end, line, col, props, render.published(n) if rendered else None]
             rows.append(row)
         for k, kid in enumerate(n.kids):
-            visit(kid, me, depth + 1, k, path, module, n.kind)
+            visit(kid, me, depth + 1, k, path, module, n.kind, within)
         if row:
             row[2] = seen - 1
 
-    visit(tree, None, 0, 0, (), None, None)
+    visit(tree, None, 0, 0, (), None, None, None)
     return map(tuple, rows)
 
 

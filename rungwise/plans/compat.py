@@ -22,13 +22,13 @@ LOST = {
     "Equation": ("layer",),
     "GraphObject": ("points", "types", "texts", "alignment", "connection", "width", "fraction", "format"),
     "BinOp": ("own_end",),
-    "Variable": ("owner",),
+    "Variable": ("owner", "type_key"),
     "ParameterMapping": ("owner", "source_name"),
-} | {k: ("path", "type_key", "head_end") for k in MODULES if k != "BasePicture"}
+} | {k: ("path", "within", "type_key", "head_end") for k in MODULES if k != "BasePicture"}
 LOST["BasePicture"] += ("path", "type_key", "head_end")
 LOST |= {k: ("module", "target_keys") for k in CHART}
 #: Fields of ours that only help views; their loss is none of the program's.
-HELPERS = ("path", "type_key", "head_end", "module", "target_keys", "owner", "source_name", "format", "repairs", "repair_kinds")
+HELPERS = ("path", "within", "type_key", "head_end", "module", "target_keys", "owner", "source_name", "format", "repairs", "repair_kinds")
 #: Flags of a module's head that stay.
 FLAGS = ("IgnoreMaxModule", "LayerModule")
 #: Kinds whose nodes have no span of their own.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rungwise.operators import checks
 from rungwise.operators.stage import parse_sources
-from rungwise.plans import forms, huge, positions, views
+from rungwise.plans import forms, huge, names, positions, views
 from rungwise.plans import roundtrip as rt
 from rungwise.plans.compiled import column
 from rungwise.plans.tables import table
@@ -526,7 +526,7 @@ anchor_lookup marker_ratio identifier_counts string_literals key_stream compiled
 
 
 #: Modules that hold further queries.
-MORE = (forms,)
+MORE = (forms, names)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
