@@ -1,7 +1,7 @@
 """Exact join of documents at a Jaccard distance of shingle sets, in metric space.
 
 1. Documents of one shingle set form a class. Its set is kept whole for the last check, and as
-   an image: a bit for each of IMAGE residues, set if the set holds an odd number of its shingles. The larger of the images'
+   an image: a bit for each of IMAGE residues, or of as many as the set has shingles, set if the set holds an odd number of its shingles. The larger of the images'
    Hamming distance and the difference of the sizes is a metric that never exceeds
    the symmetric difference; put in place of it in the Jaccard distance, it gives
    a distance that is itself a metric and never exceeds the Jaccard distance.
@@ -9,8 +9,8 @@
    therefore are single shingles: a set lies in the regions of its rarest ones. If its
    n - ceil(t n) + 1 first ones, in any order that all sets share, hold none of those of another, their
    overlap is too small for a link. How often a shingle occurs is taken from a bounded sample; that bears on the cost alone.
-3. In each region the least set is tried first, and sets it links with form components.
-   Regions that hold one component only are done.
+3. In each region the least set is tried first, then a forest of the pairs that images leave possible; sets
+   that these link form components. Regions that hold one component only are done.
 4. A region larger than a block is split: some of its sets are pivots, each member lies in the Voronoi
    region of its nearest pivot, and is replicated to that of every pivot at most twice the radius further
    away, which by the triangle inequality holds whatever it may link with. The parts are split again
@@ -22,7 +22,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +41,28 @@ PIVOTS, LEVELS, LEAF = 24, 4, 48
 
 
 def image(x: np.ndarray) -> bytes:
-    bits = np.bincount((mix(x) >> np.uint64(54)).astype(np.int64), minlength=IMAGE) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    width = max(IMAGE, 1 << (len(x) - 1).bit_length())
+    bits = np.bincount((mix(x) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(image: bytes | np.ndarray, words: int) -> np.ndarray:
+    """An image of fewer bits, the same as if it had been taken so."""
+    out = np.frombuffer(image, np.uint64)
+    while len(out) > words:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def apart(one: bytes, other: bytes) -> int:
+    """Hamming distance of two images, at the width of the smaller one."""
+    words = min(len(one), len(other)) // 8
+    return int(np.bitwise_count(folded(one, words) ^ folded(other, words)).sum())
 
 
 def words_of(images: Iterable[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(images), np.uint64).reshape(-1, IMAGE // 64)
+    held = [folded(x, IMAGE // 64) for x in images]
+    return np.stack(held) if held else np.zeros((0, IMAGE // 64), np.uint64)
 
 
 def gap(one: np.ndarray, size: np.ndarray, other: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -73,7 +89,7 @@ def regions(far: np.ndarray, radius: float) -> np.ndarray:
     return far <= far.min(1, keepdims=True) + 2 * radius + 1e-9
 
 
-def possible(images: np.ndarray, sizes: np.ndarray, roots: np.ndarray, asks: np.ndarray, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def possible(images: np.ndarray, full: np.ndarray, sizes: np.ndarray, roots: np.ndarray, asks: np.ndarray, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (asking, stored) of rows of different roots that images do not rule out, region by region; a pair may come twice. `asks` says 1 of rows that ask, 0 of stored ones, -1 of those that are both."""
     ask, hold = np.flatnonzero(asks != 0), np.flatnonzero(asks <= 0)
     if not len(ask) or not len(hold):
@@ -85,13 +101,21 @@ def possible(images: np.ndarray, sizes: np.ndarray, roots: np.ndarray, asks: np.
         work = [int((asks[p] != 0).sum()) * int((asks[p] <= 0).sum()) for p in parts]
         if sum(work) < 0.7 * len(ask) * len(hold):
             for p in parts:
-                for a, b in possible(images[p], sizes[p], roots[p], asks[p], percent, depth + 1):
+                for a, b in possible(images[p], full[p], sizes[p], roots[p], asks[p], percent, depth + 1):
                     yield p[a], p[b]
             return
     for k in range(0, len(ask), 64):
         part = ask[k : k + 64]
         a, b = np.nonzero(near(gap(images[part], sizes[part], images[hold], sizes[hold]), sizes[part], sizes[hold], percent) & (roots[part][:, None] != roots[hold][None, :]))
-        yield part[a], hold[b]
+        a, b = part[a], hold[b]
+        wide = np.flatnonzero(np.minimum(sizes[a], sizes[b]) > IMAGE)
+        if len(wide):
+            stays = np.ones(len(a), bool)
+            for k in wide:
+                i, j = a[k], b[k]
+                stays[k] = apart(full[i], full[j]) * (100 + percent) <= (100 - percent) * (sizes[i] + sizes[j])
+            a, b = a[stays], b[stays]
+        yield a, b
 
 
 def sketch(df: DataFrame, doc_id: str, text: str, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -155,9 +179,9 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (words_of(batch.column(c).to_pylist()) for c in (4, 5))
             size, other = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            least = np.maximum(np.abs(size - other), np.bitwise_count(one ^ two).sum(1, dtype=np.int64))
+            hamming = np.array([apart(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            least = np.maximum(np.abs(size - other), hamming)
             rows = pa.array(np.flatnonzero(least * (100 + percent) <= (100 - percent) * (size + other)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["u", "v"])
 
@@ -234,7 +258,8 @@ SEAT = SEATS + ", n long, image binary"
 
 def columns_of(rows: pa.Table) -> tuple[np.ndarray, ...]:
     asks = rows.column("asks").cast(pa.int8()).fill_null(-1).to_numpy()
-    return words_of(rows.column("image").to_pylist()), rows.column("n").to_numpy(), rows.column("root").to_numpy(), asks
+    full = rows.column("image").to_pylist()
+    return words_of(full), np.array([*full, None], object)[:-1], rows.column("n").to_numpy(), rows.column("root").to_numpy(), asks
 
 
 def likely(members: DataFrame, images: DataFrame, percent: int) -> DataFrame:
@@ -251,11 +276,54 @@ def likely(members: DataFrame, images: DataFrame, percent: int) -> DataFrame:
                     live[s + a] = live[s + b] = True
             yield from rows.filter(pa.array(live)).combine_chunks().to_batches()
 
+    return at_seats(members, images).mapInArrow(run, SEAT)
+
+
+def forest(members: DataFrame, images: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that images leave possible, of each place only those that join components of which the ones before would already have made one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in at_places(batches):
+            columns, ids, out = columns_of(rows), rows.column("id").to_numpy(), []
+            for s, e in bounds:
+                own = Joined(columns[3][s:e])
+                for a, b in possible(*(x[s:e] for x in columns), percent):
+                    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                        if own.join(i, j):
+                            out.append((int(max(ids[s + i], ids[s + j])), int(min(ids[s + i], ids[s + j]))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return at_seats(members, images).mapInArrow(run, "u long, v long").distinct()
+
+
+class Joined:
+    """The components of a place's rows, by their roots."""
+
+    def __init__(self, roots: np.ndarray):
+        self.roots, self.up = roots.tolist(), {}
+
+    def top(self, r: int) -> int:
+        while r in self.up:
+            r = self.up[r]
+        return r
+
+    def join(self, i: int, j: int, if_: Callable[[], bool] = lambda: True) -> tuple[int, int] | None:
+        """The two roots, larger first, if rows i and j were of different components and are of one now."""
+        u, v = self.top(self.roots[i]), self.top(self.roots[j])
+        if u == v or not if_():
+            return None
+        u, v = max(u, v), min(u, v)
+        self.up[u] = v
+        return u, v
+
+
+def at_seats(members: DataFrame, images: DataFrame) -> DataFrame:
+    """Members with their images at their places, sorted by place."""
     large = cut(loads(members).filter("load > 1").select("key"))
     one = members.join(dealt_anew(large, "key"), "key", "left_anti").select("key", F.lit(0).alias("b"), F.lit(0).alias("c"), "id", "root", F.lit(None).cast("boolean").alias("asks"), "n")
     many = members.join(dealt_anew(large, "key"), "key")
     seats = one.unionByName(seated(many).join(members.select("id", "n").distinct(), "id").select(one.columns)).join(images, "id")
-    return sorted_places(seats.select(*one.columns, "image")).mapInArrow(run, SEAT)
+    return sorted_places(seats.select(*one.columns, "image"))
 
 
 def settled(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -266,20 +334,12 @@ def settled(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             columns, out = columns_of(rows), []
             hashes = rows.column("hashes")
             for s, e in bounds:
-                own: dict[int, int] = {}  # roots joined so far
-
-                def top(r: int, own: dict[int, int] = own) -> int:
-                    while r in own:
-                        r = own[r]
-                    return r
-
-                roots = columns[2][s:e].tolist()
+                own = Joined(columns[3][s:e])
                 for a, b in possible(*(x[s:e] for x in columns), percent):
                     for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                        u, v = top(roots[i]), top(roots[j])
-                        if u != v and linked(*(np.frombuffer(hashes[s + k].as_buffer(), np.uint64) for k in (i, j)), percent):
-                            own[max(u, v)] = min(u, v)
-                            out.append((max(u, v), min(u, v)))
+                        link = own.join(i, j, lambda i=i, j=j, s=s: linked(*(np.frombuffer(hashes[s + k].as_buffer(), np.uint64) for k in (i, j)), percent))
+                        if link:
+                            out.append(link)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return sorted_places(seats.join(sets, "id").select("key", "b", "c", "id", "root", "asks", "n", "image", "hashes")).mapInArrow(run, "u long, v long").distinct()
@@ -311,18 +371,25 @@ def join(df: DataFrame, percent: int = 90, doc_id: str = "doc_id", text: str = "
             read = read.dropDuplicates(["id"])
         return cut(full_sets(read, WORDS).drop("sign"))
 
+    def of_pairs(pairs: DataFrame) -> DataFrame:
+        return confirmed(pairs, sets_of(pairs.select(F.col("u").alias("id")).union(pairs.select("v"))), percent)
+
+    def rooted_in(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Rows of those regions that hold more than one component, with their roots."""
+        rows = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        several = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+        return cut(rows.join(dealt_anew(several, "key"), "key").select("key", "id", "n", "root"))
+
     first = seats.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    first = cut(plausible(first, classes, percent))
-    roots = cut(components(confirmed(first, sets_of(first.select(F.col("u").alias("id")).union(first.select("v"))), percent)))
-    labelled = seats.drop("hub").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    members = cut(labelled.join(dealt_anew(open_keys, "key"), "key").select("key", "id", "n", "root"))
+    links = cut(of_pairs(cut(plausible(first, classes, percent))))
+    members = rooted_in(seats.drop("hub"), cut(components(links)))
     images = classes.select("id", "image")
     for level in range(LEVELS):
         before, members = members, split(members, images, percent, level)
         if members is before:
             break
-    seats = cut(likely(members, images, percent))
+    roots = cut(components(links.union(of_pairs(cut(forest(members, images, percent))))))
+    seats = cut(likely(rooted_in(members.drop("root"), roots), images, percent))
     tops = components(settled(seats, sets_of(seats.select("id")), percent))
     rooted = classes.select("set_hash", "n", "id", "best").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = rooted.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))
