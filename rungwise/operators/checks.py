@@ -22,7 +22,7 @@ DOCUMENT = "source_id string, format string, original string, normalized string,
 TEXT = "source_id string, start int, kind string, name string, text string"
 RUN = "source_id string, success boolean, error_class string, error string, duration_ms double"
 #: Classes of fault that a text may give without the engine being at fault.
-EXPECTED = ("SyntaxFault", "FormatError", "RecursionError")
+EXPECTED = ("SyntaxFault", "FormatError", "RecursionError", "BudgetFault")
 
 
 def _stage(sources: DataFrame, schema: str, row: Callable[[str, bytes | str | None], tuple], source_id: str, content: str) -> DataFrame:
@@ -117,13 +117,13 @@ def summaries(sources: DataFrame, source_id: str = "source_id", content: str = "
     return _stage(sources, "source_id string, summary string", row, source_id, content)
 
 
-def runs(sources: DataFrame, source_id: str = "source_id", content: str = "content") -> DataFrame:
-    """One row per source: whether it parsed, else its fault, and how long it took. Any exception is a row, also those that are the engine's."""
+def runs(sources: DataFrame, source_id: str = "source_id", content: str = "content", budget: int | None = None) -> DataFrame:
+    """One row per source: whether it parsed within its budget of steps, else its fault, and how long it took. Any exception is a row, also those that are the engine's."""
 
     def row(key: str, data: bytes | str | None) -> tuple:
         began = time.perf_counter()
         try:
-            parse_source(key, data, failfast=True)
+            parse_source(key, data, failfast=True, budget=budget)
             fault = None
         except Exception as e:
             fault = e

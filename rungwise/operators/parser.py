@@ -891,9 +891,9 @@ def program_name(line: str) -> str | None:
     return None
 
 
-def parse(text: str) -> Node:
-    """The tree of a whole program text; raises SyntaxFault. Positions are offsets in this text."""
-    return Parser(text).program()
+def parse(text: str, budget: int | None = None) -> Node:
+    """The tree of a whole program text; raises SyntaxFault, or BudgetFault after `budget` steps of the cursor. Positions are offsets in this text."""
+    return Parser(text, budget).program()
 
 
 __all__ = ["SPACE", "Node", "Parser", "SyntaxFault", "parse", "program_name"]

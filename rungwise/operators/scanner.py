@@ -11,6 +11,8 @@ import re
 
 import regex
 
+from rungwise.functions.limits import BudgetFault
+
 
 class SyntaxFault(Exception):
     """The text is no program. offset is in the normalized text; expected lists what could have stood there."""
@@ -40,8 +42,9 @@ _EDGE = re.compile(r"\(\*|\*\)")
 
 
 class Cursor:
-    def __init__(self, text: str):
+    def __init__(self, text: str, budget: int | None = None):
         self.text, self.at = text, 0
+        self.budget, self.steps = budget, 0  # a step for each place that is looked at, again after going back
         self.solid = -1  # where no white space stands, as was last found
         self.ended = 0  # where the last thing read ended
         self.far, self.wanted = 0, set()
@@ -50,6 +53,9 @@ class Cursor:
 
     def here(self) -> int:
         if self.at != self.solid:
+            self.steps += 1
+            if self.budget is not None and self.steps > self.budget:
+                raise BudgetFault(self.budget)
             self.at = self.solid = SPACE.match(self.text, self.at).end()
         return self.at
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from rungwise.functions import coded, markers, render
 from rungwise.functions.coded import FormatError
+from rungwise.functions.limits import BudgetFault, limited
 from rungwise.functions.provenance import SourceMap
 from rungwise.operators.parser import Node, parse
 from rungwise.operators.scanner import SyntaxFault
@@ -27,7 +28,7 @@ from rungwise.session import ship
 
 _NAMES = NODES.fieldNames()
 _STRINGS = {"source_id", "role", "kind", "name", "name_key", "literal", "props", "rendered"}
-_ARROW = pa.schema([(f, pa.string() if f in _STRINGS else pa.int32()) for f in _NAMES])
+ARROW = pa.schema([(f, pa.string() if f in _STRINGS else pa.int32()) for f in _NAMES])
 AROUND = 40
 #: Calls that may be open at once: expressions and modules may nest some ten thousand deep.
 DEEP = 200_000
@@ -129,11 +130,27 @@ def rows_of(source_id: str, tree: Node, source: SourceMap, kinds: frozenset[str]
     return map(tuple, rows)
 
 
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
+
 Decode = Callable[[str], tuple[SourceMap, list[str], bool]]
+Read = Callable[[str], Node]
 
 
-def parse_source(source_id: str, content: bytes | str | None, decode: Decode = markers.prepared, failfast: bool = False, kinds: frozenset[str] | None = None, rendered: bool = True) -> list[tuple]:
-    """All rows of one source: its nodes, or one error row. Null content is an empty text."""
+def built(source_id: str, content: bytes | str | None, build: Callable[[str, Node, SourceMap], Iterable[tuple]], decode: Decode = markers.prepared, read: Read = parse) -> Iterable[tuple]:
+    """The rows that a tree-builder gives for a source's tree, none if it can't be decoded or parsed."""
+    try:
+        text = coded.decode(content) if isinstance(content, bytes) and content.startswith(coded.MARK) else text_of(content) if isinstance(content, bytes) else content or ""
+        source, _, _ = decode(text)
+        with deep():
+            return list(build(source_id, read(source.normalized), source))
+    except (SyntaxFault, FormatError, RecursionError, BudgetFault):
+        return []
+
+
+def parse_source(source_id: str, content: bytes | str | None, decode: Decode = markers.prepared, failfast: bool = False, kinds: frozenset[str] | None = None, rendered: bool = True, budget: int | None = None, read: Read | None = None) -> list[tuple]:
+    """All rows of one source: its nodes, or one error row. Null content is an empty text. `budget` is the steps a source may take, decoding and parsing each."""
     stage, source = "decode", None
     try:
         form = "plain"
@@ -141,25 +158,27 @@ def parse_source(source_id: str, content: bytes | str | None, decode: Decode = m
             form, text = "coded", coded.decode(content)
         else:
             text = text_of(content) if isinstance(content, bytes) else content or ""
-        source, repairs, compressed = decode(text)
+        with limited(budget):
+            source, repairs, compressed = decode(text)
         stage = "parse"
         with deep():
-            tree = parse(source.normalized)
+            tree = read(source.normalized) if read else parse(source.normalized, budget)
             tree.props |= {"format": "compressed" if compressed else form, "repairs": repairs, "repair_kinds": [markers.KINDS.get(r) for r in repairs]}
             return list(rows_of(source_id, tree, source, kinds, rendered))
-    except (SyntaxFault, FormatError, RecursionError) as fault:
+    except (SyntaxFault, FormatError, RecursionError, BudgetFault) as fault:
         if failfast:
             raise
         return [error_row(source_id, stage, fault, source)]
 
 
-def parse_sources(sources: DataFrame, source_id: str = "source_id", content: str = "content", mode: str = "PERMISSIVE", batch_rows: int = 20_000, kinds: Iterable[str] | None = None, rendered: bool = True, decode: Decode = markers.prepared) -> DataFrame:
+def parse_sources(sources: DataFrame, source_id: str = "source_id", content: str = "content", mode: str = "PERMISSIVE", batch_rows: int = 20_000, kinds: Iterable[str] | None = None, rendered: bool = True, decode: Decode = markers.prepared, budget: int | None = None, read: Read | None = None) -> DataFrame:
     """The node relation of a table of sources, `content` being binary or text.
 
     No shuffle: partitions are the scan's. A batch leaves the stage as soon as it
     holds `batch_rows` rows, so memory is bounded by the largest single file.
     With `kinds`, only nodes of these kinds (and errors) leave the stage; without `rendered`,
-    no text for people is made. `decode` is another preparation of texts.
+    no text for people is made. `decode` is another preparation of texts, `read` another parser. A source
+    that takes more than `budget` steps is an error row of class BudgetFault, and the next one goes on.
     """
     ship(sources.sparkSession)
     kinds = None if kinds is None else frozenset(kinds)
@@ -168,18 +187,14 @@ def parse_sources(sources: DataFrame, source_id: str = "source_id", content: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*held, strict=True))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _ARROW, strict=True)], schema=_ARROW)
-
         for batch in batches:
             for key, data in zip(batch.column(0), batch.column(1), strict=True):
-                held.extend(parse_source(key.as_py(), data.as_py(), decode, failfast, kinds, rendered))
+                held.extend(parse_source(key.as_py(), data.as_py(), decode, failfast, kinds, rendered, budget, read))
                 if len(held) >= batch_rows:
-                    yield flush()
+                    yield batch_of(held)
+                    held.clear()
         if held:
-            yield flush()
+            yield batch_of(held)
 
     named = sources.select(F.coalesce(F.col(source_id).cast("string"), F.lit("")).alias("source_id"), F.col(content).alias("content"))
     return named.mapInArrow(run, NODES)
