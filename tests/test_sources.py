@@ -45,11 +45,11 @@ def test_format_reads_all_files(spark, folder):
     assert nodes.filter("kind = 'Program'").count() == 40 and nodes.filter("kind = 'Variable'").count() == 160
 
 
-def test_filters_reach_the_reader(spark, folder):
+def test_filters_reach_the_reader(spark, folder, capsys):
     format.register(spark)
     found = load(spark, folder, pushdown="true").filter("kind = 'Variable' AND source_id LIKE '%7.s'")
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [StringEndsWith(source_id,7.s)]" in plan
+    found.explain("formatted")
+    assert "PushedFilters: [StringEndsWith(source_id,7.s)]" in capsys.readouterr().out
     assert {r.source_id.rsplit("/", 1)[1] for r in found.select("source_id").collect()} == {"p7.s", "p17.s", "p27.s", "p37.s"}
 
 
