@@ -139,10 +139,64 @@ def rows_sql(rows: list[tuple[str, ...]], names: str, template: str = "") -> str
     return "\nUNION ALL ".join(f"SELECT s_suppkey, {', '.join(f'{filled_sql(x)} AS {c}' for c, x in zip(columns, row, strict=True))} FROM {source}" for row in rows)
 
 
+INTERACTORS = ("ComBut_", "OptBut_", "ProcedureInteract", "CheckBox_", "TextBox_", "MenuInteract", "SimpleInteract")
+#: A program with comments inside the head of a module type, scan groups, bindings beside coordinates and all interactors without a procedure.
+CORNERS = (
+    rt.HEAD + 'P{k}"\nBasePicture Invocation ( 0.0 : InVar_ X{k} , 0.0 , 0.0 , 1.0 : ( Y{k} > 1 ) , 1.0 ) : MODULEDEFINITION DateCode_ 1 ( GroupConn = GLOBAL Scan{k}.Group )\n'
+    "TYPEDEFINITIONS\nKind{k} (* about (* nested *) *) = (* more *) PRIVATE_ (* still *) MODULEDEFINITION DateCode_ {k} ( GroupConn = Inner{k} )\n" + rt.LAYOUT + "ENDDEF;\nLOCALVARIABLES\nA: integer;\n"
+    + rt.LAYOUT.replace("( -1.0 , -1.0 )", "( -1.0 : InVar_ Left{k} , -1.0 : InVar_ {k} )") + "InteractObjects :\n"
+    + "".join(f"{x} ( 0.0 , 0.0 : OutVar_ At{x}{{k}} ) ( 1.0 , 1.0 )\nLayer_ = {{k}} Bool_Value Variable = False : OutVar_ To{x}{{k}} Abs_\n" for x in INTERACTORS)
+    + rt.END
+)
+#: Kind, role, name or value, of what CORNERS holds in its corners.
+CORNERED = [
+    ("Binding", "tail", "X{k}"), ("Compare", "tail", ">"), ("VarRef", "scan_group", "Scan{k}.Group"), ("ModuleTypeDef", "module_type", "Kind{k}"), ("VarRef", "scan_group", "Inner{k}"), ("Comment", "description", "(* about (* nested *) *)"),
+    ("Comment", "discarded", "(* more *)"), ("Comment", "discarded", "(* still *)"), ("Binding", "tail", "Left{k}"), ("Binding", "tail", "{k}"),
+    *(row for x in INTERACTORS for row in (("InteractObject", "interact", x), ("Binding", "tail", f"At{x}{{k}}"), ("Binding", "tail", f"To{x}{{k}}"), ("Property", "assign", "Variable"))),
+]
+
+
+def corner_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in the corners of every supplier's program."""
+    nodes = parse_sources(of_suppliers(spark, sf_dir, CORNERS), rendered=False)
+    kinds, roles = ("InteractObject", "Property", "ModuleTypeDef", "Comment", "ParseError"), ("tail", "scan_group")
+    found = nodes.filter((F.col("kind").isin(*kinds) & (F.col("role") != "end")) | F.col("role").isin(*roles))
+    return found.select(F.col("source_id").cast("long").alias("s_suppkey"), "kind", "role", F.coalesce("name", "literal").alias("name"))
+
+
+#: A code section with every element of a chart, and it as text.
+CODED = (
+    rt.HEAD + "P{k}" + rt.ROOT + rt.LAYOUT + "ModuleCode\nSEQUENCE S{k}" + rt.PLACE + "\nSEQINITSTEP I{k} ENTERCODE A = 1; B = \"t{k}\"; EXITCODE C = NOT D;\nSEQTRANSITION T{k} WAIT_FOR A > {k} AND B\n"
+    "ALTERNATIVESEQ SEQTRANSITION WAIT_FOR A SEQFORK I{k} ALTERNATIVEBRANCH SEQTRANSITION WAIT_FOR B SEQBREAK ENDALTERNATIVE\nPARALLELSEQ SEQSTEP P ACTIVECODE f(A, -1); PARALLELBRANCH SEQSTEP Q ENDPARALLEL\n"
+    "SUBSEQUENCE Sub{k} SEQSTEP X ENDSUBSEQUENCE\nSUBSEQTRANSITION ST SEQSTEP Y ENDSUBSEQTRANSITION\nENDSEQUENCE\nEQUATIONBLOCK E{k}" + rt.PLACE + ":\nIF A THEN B = IF C THEN 1.50 ELSE {k} ENDIF; ELSE D = 2 * (A + 1); ENDIF;\n" + rt.END
+)
+CHART_TEXT = (
+    "InitStep I{k}\n    Enter:\n        A = 1\n        B = 't{k}'\n    Exit:\n        C = NOT(D)\nTransition T{k} WAIT_FOR A > {k} AND \nB\nAlternative:\n    Branch 1:\n        Transition WAIT_FOR A\n        Fork to I{k}\n"
+    "    Branch 2:\n        Transition WAIT_FOR B\n        Break\nEndAlternative\nParallel:\n    Branch 1:\n        Step P\n            Active:\n                f(A, -1)\n    Branch 2:\n        Step Q\nEndParallel\n"
+    "Subsequence Sub{k}:\n    Step X\nEndSubsequence\nTransitionSub ST:\n    Step Y\nEndTransitionSub"
+)
+CODE_TEXT = (
+    "ModuleCode{\n    Sequences:\n        Sequence 'S{k}' at (0.0, 0.0) with size (1.0, 1.0) (type=SEQUENCE)\n            Code:\n" + "".join(" " * 16 + line + "\n" for line in CHART_TEXT.split("\n"))
+    + "\n    Equations:\n        EquationBlock name='E{k}' at (0.0, 0.0) with size (1.0, 1.0)\n            Code:\n"
+    + "".join(" " * 16 + line + "\n" for line in ("IF A", "THEN", "    B = IF C", "    THEN", "        1.5", "    ELSE", "        {k}", "    ENDIF", "ELSE", "    D = (2 * (A + 1))", "ENDIF")) + "}"
+)
+
+
+def rendered_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's chart as text, and the whole code section, out of the program's summary."""
+    made = of_suppliers(spark, sf_dir, CODED)
+    charts = parse_sources(made, kinds=("Sequence",)).select("source_id", F.lit("chart").alias("part"), F.col("rendered").alias("text"))
+    whole = F.regexp_replace(F.regexp_extract("summary", r"(?s)ModuleCode: (ModuleCode\{\n.*?\n    \})\n", 1), r"(?m)^    ", "")
+    codes = checks.summaries(made).select("source_id", F.lit("code").alias("part"), whole.alias("text"))
+    return charts.unionByName(codes).select(F.col("source_id").cast("long").alias("s_suppkey"), "part", "text")
+
+
 SQL = {
+    "corner_names": rows_sql(CORNERED, "kind role name"),
+    "rendered_code": rows_sql([("chart", CHART_TEXT), ("code", CODE_TEXT)], "part text"),
     "compat_view": rows_sql(LOSSES, "kind name field own compat"),
     "compat_kinds": "SELECT kind, count(*) * n AS n, count(*) * n_kept AS n_kept, count(*) * n_spans AS n_spans FROM supplier, (VALUES " + ", ".join(map(str, KINDS)) + ") t(kind, n, n_kept, n_spans) GROUP BY kind, n, n_kept, n_spans",
     "text_forms": rows_sql(TEXTS, "kind name text", SHOWN),
 }
 
-QUERIES = {"compat_view": compat_view, "compat_kinds": compat_kinds, "text_forms": text_forms}
+QUERIES = {"corner_names": corner_names, "rendered_code": rendered_code, "compat_view": compat_view, "compat_kinds": compat_kinds, "text_forms": text_forms}

@@ -9,6 +9,7 @@ from rungwise.operators.stage import parse_sources
 from rungwise.plans import resolve
 from rungwise.plans import roundtrip as rt
 from rungwise.plans.tables import table
+from rungwise.session import checkpointed
 
 
 def type_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def chart_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = F.greatest(F.col("event_id") - 4 + F.col("event_id") % 7 * 5, F.lit(0)).cast("string")
     line = F.concat(F.when(fork, F.concat(F.lit("ALTERNATIVESEQ SEQTRANSITION WAIT_FOR A SEQSTEP E"), F.col("event_id").cast("string"), F.lit(" SEQFORK E"), target, F.lit(" ALTERNATIVEBRANCH SEQBREAK ENDALTERNATIVE"))).otherwise(F.concat(F.lit("SEQSTEP E"), F.col("event_id").cast("string"))))
     made = rt.sources(e, ["user_id", "part"], "event_id", line, ("ModuleCode\nSEQUENCE Main" + rt.PLACE + "\n", "\nENDSEQUENCE\n"), in_layout=True)
-    nodes = parse_sources(made, kinds=("Sequence", "InitStep", "Step", "Transition", "Alternative", "Fork", "Break"), rendered=False).persist()
+    nodes = checkpointed(parse_sources(made, kinds=("Sequence", "InitStep", "Step", "Transition", "Alternative", "Fork", "Break"), rendered=False))
     found = resolve.reached(nodes).filter("kind = 'Step'")
     return found.select(F.substring("name", 2, 20).cast("long").alias("event_id"), "reached")
 

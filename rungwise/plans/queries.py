@@ -16,6 +16,7 @@ from rungwise.plans import forms, huge, names, positions, views
 from rungwise.plans import roundtrip as rt
 from rungwise.plans.compiled import column
 from rungwise.plans.tables import table
+from rungwise.session import checkpointed
 
 
 def number(name: str = "name", prefix: str = "V"):
@@ -23,8 +24,8 @@ def number(name: str = "name", prefix: str = "V"):
 
 
 def once(sources: DataFrame, *kinds: str, rendered: bool = False) -> DataFrame:
-    """Nodes of these kinds, parsed once however many views a query joins: kept in memory, and on disk what has no room there."""
-    return parse_sources(sources, kinds=kinds, rendered=rendered).persist()
+    """Nodes of these kinds, parsed once however many views a query joins: written to the checkpoint folder, so no executor holds on to them."""
+    return checkpointed(parse_sources(sources, kinds=kinds, rendered=rendered))
 
 
 def only(sources: DataFrame, *kinds: str, rendered: bool = False) -> DataFrame:
