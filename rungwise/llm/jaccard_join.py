@@ -9,7 +9,7 @@
    therefore are single shingles: a set lies in the regions of its rarest ones. If its
    n - ceil(t n) + 1 first ones, in any order that all sets share, hold none of those of another, their
    overlap is too small for a link. How often a shingle occurs is taken from a bounded sample; that bears on the cost alone.
-3. In each region the least set is tried first, then a forest of the pairs that images leave possible; sets
+3. In each region a forest of the pairs that images leave possible is confirmed on the full sets; sets
    that these link form components. Regions that hold one component only are done.
 4. A region larger than a block is split: some of its sets are pivots, each member lies in the Voronoi
    region of its nearest pivot, and is replicated to that of every pivot at most twice the radius further
@@ -165,28 +165,11 @@ def common_shingles(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sized(seats: DataFrame, percent: int) -> DataFrame:
-    """key, id, n, hub of seats (key, id, n, hub, size) that have a neighbour of a size near enough for a link; of regions beyond a block, all."""
-    key = Window.partitionBy("key")
-    order = key.orderBy("n", "id")
+    """key, id, n of seats (key, id, n, size) that have a neighbour of a size near enough for a link; of regions beyond a block, all."""
+    order = Window.partitionBy("key").orderBy("n", "id")
     near_in_size = (100 * F.lag("n").over(order) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(order))
     few = seats.filter(F.col("size") <= BLOCK).withColumn("fits", near_in_size).filter("fits")
-    few = few.withColumn("hub", F.min("id").over(key))
-    return few.select("key", "id", "n", "hub").unionByName(seats.filter(F.col("size") > BLOCK).select("key", "id", "n", "hub"))
-
-
-def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that sizes and images don't rule out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, other = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            hamming = np.array([apart(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
-            least = np.maximum(np.abs(size - other), hamming)
-            rows = pa.array(np.flatnonzero(least * (100 + percent) <= (100 - percent) * (size + other)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["u", "v"])
-
-    one, two = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("image").alias(f"i{x}")) for x in "uv")
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "iu", "iv").mapInArrow(run, "u long, v long")
+    return few.select("key", "id", "n").unionByName(seats.filter(F.col("size") > BLOCK).select("key", "id", "n"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -358,8 +341,8 @@ def join(df: DataFrame, percent: int = 90, doc_id: str = "doc_id", text: str = "
     classes = base.filter(F.col("set_hash").isNotNull()).groupBy("set_hash", "n").agg(best.alias("best"), F.first("image").alias("image"), F.first("keys").alias("keys"))
     classes = cut(classes.withColumn("id", F.col("best.row")))
     exploded = classes.select("id", "n", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    seats = cut(sized(cut(exploded.join(dealt_anew(shared, "key"), "key").select("key", "id", "n", "hub", "size")), percent))
+    shared = exploded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    seats = cut(sized(cut(exploded.join(dealt_anew(shared, "key"), "key").select("key", "id", "n", "size")), percent))
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(text).alias("mark"), F.col(text).cast("binary").alias("text"))
     repeated = bool(base.groupBy("doc_id", "mark").count().filter("count > 1").take(1))
 
@@ -380,15 +363,12 @@ def join(df: DataFrame, percent: int = 90, doc_id: str = "doc_id", text: str = "
         several = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
         return cut(rows.join(dealt_anew(several, "key"), "key").select("key", "id", "n", "root"))
 
-    first = seats.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    links = cut(of_pairs(cut(plausible(first, classes, percent))))
-    members = rooted_in(seats.drop("hub"), cut(components(links)))
-    images = classes.select("id", "image")
+    members, images = seats.withColumn("root", F.col("id")), classes.select("id", "image")
     for level in range(LEVELS):
         before, members = members, split(members, images, percent, level)
         if members is before:
             break
-    roots = cut(components(links.union(of_pairs(cut(forest(members, images, percent))))))
+    roots = cut(components(of_pairs(cut(forest(members, images, percent)))))
     seats = cut(likely(rooted_in(members.drop("root"), roots), images, percent))
     tops = components(settled(seats, sets_of(seats.select("id")), percent))
     rooted = classes.select("set_hash", "n", "id", "best").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
