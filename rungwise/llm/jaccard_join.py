@@ -228,7 +228,7 @@ def split(members: DataFrame, images: DataFrame, percent: int, level: int) -> Da
     dealt = inside.select("key", "id", "n", "root", "image").join(dealt_anew(pivots, "key"), "key").select("key", "id", "n", "root", "image", "pivots")
     dealt = cut(dealt.mapInArrow(run, "key long, id long, n long, root long, parts array<int>"))
     part = F.explode("parts").alias("part")
-    weights = loads(dealt.select(F.struct("key", part).alias("key"), "n"))
+    weights = loads(dealt.select("key", part, "n").select(F.struct("key", "part").alias("key"), "n"))
     gains = weights.groupBy("key.key").agg(F.sum(F.col("load") * F.col("load")).alias("work")).join(large, "key")
     gains = cut(gains.filter("work < 0.7 * load * load").select("key"))
     better = dealt.join(dealt_anew(gains, "key"), "key").select(part, "key", "id", "n", "root")
