@@ -22,6 +22,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import cut, dealt_anew, ship, small
+from rungwise.llm.common import cut, dealt_anew, shared_folder, ship, small
 from rungwise.llm.components import components
 from rungwise.llm.minhash import BLOCK, HELD, SEATS, at_places, full_sets, mark_of, mix, seated, shingles, sorted_places
 
@@ -194,6 +195,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder. Unlike a checkpoint it has a size that Spark knows; what it guesses for joins of joins of checkpoints grows without bound."""
+    path = f"{shared_folder(df.sparkSession)}/join-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def loads(members: DataFrame) -> DataFrame:
     """key, load, size of each region: a load of 1 fills a block by members or by shingles."""
     load = F.sum(F.greatest(F.lit(1.0 / BLOCK), F.col("n") / HELD)).alias("load")
@@ -231,9 +239,11 @@ def split(members: DataFrame, images: DataFrame, percent: int, level: int) -> Da
     weights = loads(dealt.select("key", part, "n").select(F.struct("key", "part").alias("key"), "n"))
     gains = weights.groupBy("key.key").agg(F.sum(F.col("load") * F.col("load")).alias("work")).join(large, "key")
     gains = cut(gains.filter("work < 0.7 * load * load").select("key"))
+    if not gains.take(1):
+        return members
     better = dealt.join(dealt_anew(gains, "key"), "key").select(part, "key", "id", "n", "root")
     better = better.select(F.xxhash64("key", "part", F.lit(level)).alias("key"), "id", "n", "root")
-    return cut(members.join(dealt_anew(gains, "key"), "key", "left_anti").unionByName(better))
+    return written(members.join(dealt_anew(gains, "key"), "key", "left_anti").unionByName(better))
 
 
 SEAT = SEATS + ", n long, image binary"
@@ -368,9 +378,9 @@ def join(df: DataFrame, percent: int = 90, doc_id: str = "doc_id", text: str = "
         before, members = members, split(members, images, percent, level)
         if members is before:
             break
-    roots = cut(components(of_pairs(cut(forest(members, images, percent)))))
-    seats = cut(likely(rooted_in(members.drop("root"), roots), images, percent))
-    tops = components(settled(seats, sets_of(seats.select("id")), percent))
+    roots = written(components(written(of_pairs(written(forest(members, images, percent))))))
+    seats = written(likely(rooted_in(members.drop("root"), roots), images, percent))
+    tops = written(components(written(settled(seats, sets_of(seats.select("id")), percent))))
     rooted = classes.select("set_hash", "n", "id", "best").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = rooted.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))
     leads = rooted.groupBy("top").agg(F.min("best").alias("lead"))
