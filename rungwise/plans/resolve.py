@@ -99,7 +99,7 @@ def reached(nodes: DataFrame) -> DataFrame:
         stop = F.max(F.when(~F.col("passes"), F.col("ordinal"))).over(before)
         left = F.max(F.when(F.col("kind").isin(*CONTAINERS) & F.col("passes"), F.col("ordinal"))).over(before)
         now = checkpointed(state.withColumn("reached", F.coalesce(F.greatest(entry, left) > F.coalesce(stop, F.lit(-1)), F.lit(False))))
-        bodies = now.filter("NOT outer AND last").groupBy("source_id", F.col("parent_id").alias("node_id")).agg(F.count_if(F.col("reached") & F.col("passes")).alias("left"))
+        bodies = now.filter("NOT outer AND last").groupBy("source_id", F.col("parent_id").alias("node_id")).agg(F.count_if(F.col("passes") & (F.col("reached") | F.col("kind").isin(*CONTAINERS))).alias("left"))
         inside = now.filter("reached").select("source_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("opened"))
         jumps = now.filter("reached AND kind = 'Fork'").select("source_id", "module", F.explode("target_keys").alias("name_key")).distinct().withColumn("jumped", F.lit(True))
         empty = F.when(F.col("reached"), F.col("branches") - F.col("filled")).otherwise(0)  # a body may be jumped into, an empty one may not
