@@ -1,6 +1,7 @@
 """Queries against their SQL on rows that the driver's small tables don't have."""
 
 import duckdb
+import pytest
 
 from rungwise.plans import queries
 
@@ -19,3 +20,8 @@ def agrees(spark, folder, name: str, **tables: str) -> None:
 
 def test_corner_names_of_long_keys(spark, tmp_path):
     agrees(spark, tmp_path, "corner_names", supplier="SELECT unnest([7, 10, 60000, 12345678901])::BIGINT AS s_suppkey")
+
+
+@pytest.mark.parametrize("rows", [1, 5, 150])
+def test_compressed_lists_of_any_length(spark, tmp_path, rows):
+    agrees(spark, tmp_path, "rt_compressed", customer=f"SELECT i::BIGINT AS c_custkey, 3::INT AS c_nationkey, 'Customer#' || i AS c_name, i * (-1.25)::DOUBLE AS c_acctbal FROM range({rows}) t(i)")
