@@ -255,19 +255,19 @@ def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth order's program lacks the semicolon after its only assignment: where the engine says so."""
     k = F.col("o_orderkey")
     body = F.concat(F.lit("ModuleCode\nEQUATIONBLOCK Main" + rt.PLACE + ":\nX = "), k.cast("string"), F.when(k % 5 == 0, F.lit("\n")).otherwise(F.lit(";\n")))
-    made = table(spark, sf_dir, "orders").select(k.cast("string").alias("source_id"), rt.program(k.cast("string"), F.lit(""), body).alias("content"))
+    made = rt.dealt(table(spark, sf_dir, "orders"), "o_orderkey").select(k.cast("string").alias("source_id"), rt.program(k.cast("string"), F.lit(""), body).alias("content"))
     e = views.parse_errors(only(made, "ParseError"))
     return e.select(F.col("source_id").cast("long").alias("o_orderkey"), "stage", "error_class", "line", "col", F.array_contains("expected", ";").alias("wants_semicolon"))
 
 
 def parse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    made = table(spark, sf_dir, "customer").select(k.cast("string").alias("source_id"), F.when(k % 4 == 0, F.lit("no program")).otherwise(rt.program(k.cast("string"), F.lit(""))).alias("content"))
+    made = rt.dealt(table(spark, sf_dir, "customer"), "c_custkey").select(k.cast("string").alias("source_id"), F.when(k % 4 == 0, F.lit("no program")).otherwise(rt.program(k.cast("string"), F.lit(""))).alias("content"))
     return views.parse_runs(only(made, "Program")).groupBy("success", "error_class").agg(F.count("*").alias("n"))
 
 
 def program_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("source_id"), rt.program(F.col("c_name"), F.lit("")).alias("content"))
+    made = rt.dealt(table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").cast("string").alias("source_id"), rt.program(F.col("c_name"), F.lit("")).alias("content"))
     return views.programs(once(made, "Program", "BasePicture")).select(F.col("source_id").cast("long").alias("c_custkey"), "program_name", "root_name", "format")
 
 
@@ -332,7 +332,7 @@ def marker_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     # strings and comments, which nest, are no place for markers; every hundredth event has a string of 100,000 characters
     long = F.when(F.col("event_id") % 100 == 0, F.lit(100_000)).otherwise(F.lit(0))
     text = F.concat(F.repeat(F.lit("#6> word "), n.cast("int")), F.lit('"#71 in a string" (* #72 (* #73 *) #74 in a comment *) "'), F.repeat(F.lit("z"), long), F.lit('" '), F.repeat(F.lit("plain text "), (F.col("event_id") % 200).cast("int")), F.when(F.col("event_id") % 3 == 0, F.lit("MODULEDEFINITION")).otherwise(F.lit("")))
-    made = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("source_id"), text.alias("content"))
+    made = rt.dealt(table(spark, sf_dir, "events"), "event_id").select(F.col("event_id").cast("string").alias("source_id"), text.alias("content"))
     return checks.marker_facts(made).select(F.col("source_id").cast("long").alias("event_id"), "n_markers", "compressed")
 
 
@@ -393,7 +393,7 @@ def rt_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts in turn as texts that need each of the repairs: the text they give, the repairs' names and kinds, and the characters that no original has."""
     key = F.col("p_partkey").cast("string")
     raw = F.element_at(F.array(*[F.replace(F.lit(x[2]), F.lit("{k}"), key) for x in REPAIRED]), (F.col("p_partkey") % len(REPAIRED) + 1).cast("int"))
-    made = table(spark, sf_dir, "part").select(key.alias("source_id"), raw.alias("content"))
+    made = rt.dealt(table(spark, sf_dir, "part"), "p_partkey").select(key.alias("source_id"), raw.alias("content"))
     d = checks.documents(made, always=True)
     return d.select(
         F.col("source_id").cast("long").alias("p_partkey"), "normalized", F.array_join("repairs", " ").alias("repairs"), F.array_join("repair_kinds", " ").alias("kinds"),
@@ -420,7 +420,7 @@ def rt_marker_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth order's program, in marker text, lacks the semicolon after its only assignment: where in the marker text the engine says so, which is at the last real character before the made-up word."""
     k = F.col("o_orderkey")
     body = F.concat(F.lit("ModuleCode\nEQUATIONBLOCK Main" + rt.PLACE + ":\nX = "), k.cast("string"), F.when(k % 5 == 0, F.lit("\n")).otherwise(F.lit(";\n")))
-    made = rt.as_markers(table(spark, sf_dir, "orders").select(k.cast("string").alias("source_id"), rt.program(k.cast("string"), F.lit(""), body).alias("content"))).persist()
+    made = rt.as_markers(rt.dealt(table(spark, sf_dir, "orders"), "o_orderkey").select(k.cast("string").alias("source_id"), rt.program(k.cast("string"), F.lit(""), body).alias("content")))
     e = views.parse_errors(only(made, "ParseError")).join(made, "source_id")
     return e.select(F.col("source_id").cast("long").alias("o_orderkey"), "stage", "line", "col", F.substring("content", F.col("offset") + 1, F.lit(3)).alias("found"), F.substring("context", F.col("caret") + 1, F.lit(3)).alias("shown"))
 
@@ -490,7 +490,7 @@ def rt_charts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SUBSEQUENCE Sub SEQSTEP Inner ENDSUBSEQUENCE\nSUBSEQTRANSITION SubT SEQSTEP Inner2 ENDSUBSEQTRANSITION\nALTERNATIVESEQ SEQTRANSITION T1 WAIT_FOR B SEQBREAK ALTERNATIVEBRANCH SEQTRANSITION T2 WAIT_FOR C SEQFORK Init ENDALTERNATIVE\n"
     )
     body = F.concat(F.lit("ModuleCode\nOPENSEQUENCE S"), k, F.lit(" (SeqControl, SeqTimer)" + rt.PLACE + "\n" + elements + "ENDOPENSEQUENCE\n"))
-    made = table(spark, sf_dir, "supplier").select(k.alias("source_id"), rt.program(k, F.lit(""), body).alias("content"))
+    made = rt.dealt(table(spark, sf_dir, "supplier"), "s_suppkey").select(k.alias("source_id"), rt.program(k, F.lit(""), body).alias("content"))
     nodes = once(made, "Sequence", "Assignment", *views.CHART)
     s = views.sequences(nodes).select("source_id", "type", "control", "timer")
     n = nodes.filter("kind <> 'Sequence'").groupBy("source_id", "kind", "role").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("name")), " ").alias("names"))
@@ -501,7 +501,7 @@ def rendered_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A program with two variables and an instance for every supplier, as text for people."""
     k = F.col("s_suppkey").cast("string")
     sections = F.concat(F.lit("LOCALVARIABLES\nA"), k, F.lit(": integer := 7;\nLonger "), rt.quoted(F.col("s_name")), F.lit(": real;\nSUBMODULES\nI"), k, F.lit(rt.INVOKE + "Type ( P => V"), k, F.lit(", Q => GLOBAL g );\n"))
-    made = table(spark, sf_dir, "supplier").select(k.alias("source_id"), rt.program(k, sections).alias("content"))
+    made = rt.dealt(table(spark, sf_dir, "supplier"), "s_suppkey").select(k.alias("source_id"), rt.program(k, sections).alias("content"))
     return checks.summaries(made).select(F.col("source_id").cast("long").alias("s_suppkey"), "summary")
 
 

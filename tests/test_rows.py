@@ -25,3 +25,14 @@ def test_corner_names_of_long_keys(spark, tmp_path):
 @pytest.mark.parametrize("rows", [1, 5, 150])
 def test_compressed_lists_of_any_length(spark, tmp_path, rows):
     agrees(spark, tmp_path, "rt_compressed", customer=f"SELECT i::BIGINT AS c_custkey, 3::INT AS c_nationkey, 'Customer#' || i AS c_name, i * (-1.25)::DOUBLE AS c_acctbal FROM range({rows}) t(i)")
+
+
+def test_small_tables_are_parsed_on_all_cores(spark, tmp_path):
+    duckdb.connect().execute(f"COPY (SELECT i::BIGINT AS o_orderkey FROM range(40) t(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    for name in ("rt_marker_errors", "parse_failures"):
+        plan = queries.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name
+
+
+def test_marker_errors(spark, tmp_path):
+    agrees(spark, tmp_path, "rt_marker_errors", orders="SELECT i::BIGINT AS o_orderkey FROM range(40) t(i)")
