@@ -406,13 +406,14 @@ def rt_marker_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey").cast("string")
     line = F.concat(F.lit("IF T"), k, F.lit(" AND S"), k, F.lit(" THEN A"), k, F.lit(" = NOT B"), k, F.lit("; ENDIF;"))
     rows = table(spark, sf_dir, "orders").withColumn("part", rt.block(F.col("o_orderkey")))
-    made = rt.as_markers(rt.sources(rows, ["part"], "o_orderkey", line, ("ModuleCode\nEQUATIONBLOCK Main" + rt.PLACE + ":\n", "\n"), in_layout=True)).persist()
-    refs = only(made, "VarRef").join(made, "source_id")
-    starts = positions.lines(made, "source_id", "content").select("source_id", "line", F.col("start").alias("line_start"), "length")
-    refs = refs.join(starts, ["source_id", "line"])
+    made = rt.as_markers(rt.sources(rows, ["part"], "o_orderkey", line, ("ModuleCode\nEQUATIONBLOCK Main" + rt.PLACE + ":\n", "\n"), in_layout=True))
+    # a program's lines are one row, and every join is on the source alone: names are moved once, and never with their program's text
+    lines = positions.lines(made, "source_id", "content").groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("line", F.struct("start", "length")))).alias("lines"))
+    refs = only(made, "VarRef").select("source_id", "name", "start", "end", "line", "col")
+    refs = refs.join(made.join(lines, "source_id"), "source_id").withColumn("begun", F.try_element_at("lines", "line")).filter("begun IS NOT NULL")
     return refs.select(
         number("name", "A").alias("o_orderkey"), "name", F.substring("content", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"),
-        F.col("start").between(F.col("line_start"), F.col("line_start") + F.col("length")).alias("line_fits"), (F.col("start") - F.col("line_start") + 1 == F.col("col")).alias("col_fits"),
+        F.col("start").between(F.col("begun.start"), F.col("begun.start") + F.col("begun.length")).alias("line_fits"), (F.col("start") - F.col("begun.start") + 1 == F.col("col")).alias("col_fits"),
     )
 
 

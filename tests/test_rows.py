@@ -1,5 +1,7 @@
 """Queries against their SQL on rows that the driver's small tables don't have."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -36,3 +38,9 @@ def test_small_tables_are_parsed_on_all_cores(spark, tmp_path):
 
 def test_marker_errors(spark, tmp_path):
     agrees(spark, tmp_path, "rt_marker_errors", orders="SELECT i::BIGINT AS o_orderkey FROM range(40) t(i)")
+
+
+def test_marker_positions_move_no_text_with_names(spark, tmp_path):
+    agrees(spark, tmp_path, "rt_marker_positions", orders="SELECT i * 37::BIGINT AS o_orderkey FROM range(40) t(i)")
+    plan = queries.queries()["rt_marker_positions"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"line#\d+ = line#\d+", plan)
