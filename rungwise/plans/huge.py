@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from rungwise.plans.asof import fresh
 from rungwise.session import checkpointed, ship
 
 #: States: in the open, in a string; from 1 on the depth of a comment.
 OPEN, STRING = 0, -1
 #: Chunks, or groups of them, that one task composes.
 FAN = 256
+#: Rows that leave a task together.
+ROWS = 10_000
 _MARK = re.compile(r'\(\*|\*\)|"')
 
 Effect = list[int]  # from OPEN, from STRING, change of depth, then from each depth that is closed
@@ -142,17 +145,49 @@ def placed(chunks: DataFrame, key: str) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, key: str, run, schema: str) -> DataFrame:
-    """`run(n, columns)` over the rows of each key and group of FAN, in order."""
+    """`run(n, columns)` over the rows of each key and group of FAN, in order. Groups follow each other in sorted partitions: most are a few rows, and a call from Spark for each would cost more than its work."""
     fields = T.StructType.fromDDL(schema).fields
     kinds = T.StructType([rows.schema[key], *fields])
     kind, arrow = to_arrow_type(rows.schema[key].dataType), {f.name: to_arrow_type(f.dataType) for f in fields}
+    group = fresh(rows, "group")
+    names = [c for c in rows.columns if c != key]
 
-    def of_group(group: tuple, table: pa.Table) -> pa.Table:
-        out = run(group[1].as_py(), table.sort_by("n").to_pydict())
-        m = len(next(iter(out.values())))
-        return pa.table({key: pa.array([group[0].as_py()] * m, kind), **{k: pa.array(v, arrow[k]) for k, v in out.items()}})
+    def of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in names}
+        keys: list = []
+        out: dict[str, list] = {f.name: [] for f in fields}
+        at: tuple | None = None
 
-    return rows.groupBy(key, F.floor(F.col("n") / FAN).alias("group")).applyInArrow(of_group, kinds)
+        def close() -> None:
+            for c, made in run(at[1], held).items():
+                out[c].extend(made)
+            keys.extend([at[0]] * (len(out[fields[0].name]) - len(keys)))
+            for c in names:
+                held[c] = []
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), *(pa.array(out[c], arrow[c]) for c in out)], names=[key, *out])
+
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in names}
+            for row, now in enumerate(zip(batch.column(key).to_pylist(), batch.column(group).to_pylist(), strict=True)):
+                if at is not None and now != at and not (now[1] == at[1] and now[0] != now[0] and at[0] != at[0]):
+                    close()
+                    if len(keys) >= ROWS:
+                        yield batch_of()
+                        keys.clear()
+                        for c in out:
+                            out[c] = []
+                at = now
+                for c in names:
+                    held[c].append(columns[c][row])
+        if at is not None:
+            close()
+        if keys:
+            yield batch_of()
+
+    grouped = rows.withColumn(group, F.floor(F.col("n") / FAN))
+    return grouped.repartition(key, group).sortWithinPartitions(key, group, "n").mapInArrow(of_part, kinds)
 
 
 def entry_states(effects: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import duckdb
 import pytest
 
-from rungwise.plans import queries
+from rungwise.plans import huge, queries
 
 
 def agrees(spark, folder, name: str, **tables: str) -> None:
@@ -44,3 +44,10 @@ def test_marker_positions_move_no_text_with_names(spark, tmp_path):
     agrees(spark, tmp_path, "rt_marker_positions", orders="SELECT i * 37::BIGINT AS o_orderkey FROM range(40) t(i)")
     plan = queries.queries()["rt_marker_positions"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"line#\d+ = line#\d+", plan)
+
+
+def test_groups_of_chunks_take_no_call_each(spark):
+    rows = spark.createDataFrame([(k, n) for k in (None, 1, 2) for n in range(300)], "k int, n long")
+    found = huge._grouped(rows, "k", lambda group, held: {"n": [group], "size": [len(held["n"])], "sorted": [held["n"] == sorted(held["n"])]}, "n long, size int, sorted boolean")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [(k, n, size, True) for k in (None, 1, 2) for n, size in ((0, 256), (1, 44))]))
