@@ -77,3 +77,40 @@ def test_words_are_read_as_defined():
     from xxhash import xxh3_64_intdigest
 
     assert own.hashes[own.tokens].tolist() == [h for w in want for h in [*(xxh3_64_intdigest(x.encode()) for x in w), 0]]
+
+
+def test_scores_by_shards_are_those_of_all_pairs(spark, monkeypatch):
+    """Words of any frequency, in and out of the training texts, over many portions and shards; classes by their bias alone."""
+    monkeypatch.setattr(lm_score, "HEAVY", 60)
+    monkeypatch.setattr(lm_score, "settled", lambda *_: (np.zeros((lm_score.ROWS, lm_score.CLASSES), np.float32), []))
+    texts = [" ".join(f"w{(i * i + k * (i % 7 + 1)) % (3 + k * 5)}x{k % 4}" for k in range(i % 23)) for i in range(90)] + ["new words x1 w1x1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r for r in lm_score.score(df, F.col("doc_id") < 60).collect()}
+    learnt = spark.createDataFrame([(t.encode(),) for t in texts[:60]], "text binary")
+    counts = lm_score.word_counts(learnt).cache()
+    c = {r.h & (2**64 - 1): r.c for r in counts.collect()}
+    total = sum(c.values())
+    assert 3 < sum(x * 60 >= total for x in c.values()) < len(c) - 3
+    n, sizes = np.zeros(lm_score.CLASSES), np.ones(lm_score.CLASSES)
+    for r in counts.collect():
+        n[r["class"]] += r.c
+        sizes[r["class"]] += r.c + 1
+    terms = {r.h & (2**64 - 1): r.v for r in lm_score.pair_terms(lm_score.pair_counts(learnt), counts, sizes, total).collect()}
+    for i, text in enumerate(texts):
+        own = lm_score.read(pa.array([text.encode()]))
+        hashes, classes = own.hashes[own.tokens], own.classes[own.tokens]
+        keys = lm_score.keys_of(hashes, classes, own.sizes)
+        want = sum(math.log10((n[k] + 1) / (total + lm_score.CLASSES) * (c.get(int(h), 0) + 1) / sizes[k]) for h, k in zip(hashes, classes, strict=True))
+        want += sum(terms.get(int(x), 0.0) for x in np.concatenate(keys))
+        assert math.isclose(got[i].score, want, abs_tol=1e-4), (i, got[i].score, want)
+        assert got[i].n_known == sum(int(h) in c for h in hashes) and got[i].n_tokens == len(hashes)
+
+
+def test_the_way_to_a_class_has_its_probability():
+    r = np.random.default_rng(0)
+    w = r.normal(size=(lm_score.ROWS, lm_score.CLASSES)).astype(np.float32)
+    a, b, c = lm_score.histories(r.integers(1, 1000, 64), np.array([20, 1, 43]))
+    bias = np.log(r.dirichlet(np.ones(lm_score.CLASSES))).astype(np.float32)
+    none = np.zeros(0, np.int64)
+    own = lm_score.Model(w, bias, np.ones(lm_score.CLASSES), none.astype(np.uint64), none, none).log10(np.arange(64), a, b, c)
+    assert np.allclose(10**own, lm_score.Work().softmax(w, bias, a, b, c)[np.arange(64), np.arange(64)], rtol=1e-3)
