@@ -3,8 +3,10 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from rungwise.operators.stage import parse_sources
-from rungwise.plans import compat, resolve
+from rungwise.plans import compat, resolve, roundtrip
 from rungwise.plans.roundtrip import INVOKE, LAYOUT, PLACE
 from tests.test_parser import code, program
 
@@ -158,6 +160,33 @@ def test_reach_in_random_charts(spark):
     assert resolve.reached(nodes_of(spark, {})).count() == 0
 
 
+def test_rounds_leave_out_modules_that_are_done(spark, monkeypatch):
+    chart = "SEQUENCE Main{}\n{}\nENDSEQUENCE\n"
+    forked = "SEQFORK A1 SEQSTEP A0 SEQFORK A2 SEQSTEP A1 SEQFORK A0 SEQSTEP A2"
+    texts = {str(k): code("X = 1;").replace("EQUATIONBLOCK", chart.format(PLACE, forked if k == 3 else "SEQSTEP A SEQSTEP B") + "EQUATIONBLOCK", 1) for k in range(20)}
+    nodes, written = nodes_of(spark, texts).persist(), []
+    monkeypatch.setattr(resolve, "checkpointed", lambda df, real=resolve.checkpointed: (lambda out: (written.append(out.count()), out)[1])(real(df)))
+    got = {(x.source_id, x.name) for x in resolve.reached(nodes).filter("reached AND kind = 'Step'").collect()}
+    assert got == {(str(k), x) for k in range(20) if k != 3 for x in "AB"} | {("3", f"A{x}") for x in range(3)}
+    assert written[0] >= 19 * 2 + 6 and len(written) > 2 and max(written[1:]) < 12  # the charts without a fork are done after one round
+
+
+def test_done_charts_are_gathered(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "GATHER", 2)
+    jumps = "\n".join(f"SEQSTEP A{k} SEQFORK A{k + 1}" for k in range(0, 6))
+    texts = {str(n): code("X = 1;").replace("EQUATIONBLOCK", f"SEQUENCE Main{PLACE}\n" + jumps.replace(f"SEQFORK A{n}", "SEQBREAK") + "\nENDSEQUENCE\nEQUATIONBLOCK", 1) for n in (1, 3, 5)}
+    got = {(x.source_id, x.name) for x in resolve.reached(nodes_of(spark, texts)).filter("reached AND kind = 'Step'").collect()}
+    assert got == {(str(n), f"A{k}") for n in (1, 3, 5) for k in range(n)}
+
+
+def test_programs_are_dealt_over_all_cores(spark):
+    rows = spark.range(3000).selectExpr("id", "id div 10 AS part")
+    made = roundtrip.sources(rows, ["part"], "id", F.concat(F.lit("V"), F.col("id").cast("string"), F.lit(": integer;")), ("LOCALVARIABLES\n", "\n"))
+    parsed = parse_sources(made, kinds=("Variable",), rendered=False)
+    assert parsed.groupBy(F.spark_partition_id()).count().count() >= 3 * spark.sparkContext.defaultParallelism
+    assert parsed.count() == 3000
+
+
 def test_compat_of_errors_and_empty_tables(spark):
     found = compat.compat(nodes_of(spark, {"a": "no program"})).collect()
     assert [(x.kind, x.kept) for x in found] == [("ParseError", True)]
