@@ -114,3 +114,12 @@ def test_the_way_to_a_class_has_its_probability():
     none = np.zeros(0, np.int64)
     own = lm_score.Model(w, bias, np.ones(lm_score.CLASSES), none.astype(np.uint64), none, none).log10(np.arange(64), a, b, c)
     assert np.allclose(10**own, lm_score.Work().softmax(w, bias, a, b, c)[np.arange(64), np.arange(64)], rtol=1e-3)
+
+
+def test_keys_are_grouped_as_unique_groups_them():
+    r = np.random.default_rng(7)
+    near = np.repeat(r.integers(0, 1 << 63, 50), 60).astype(np.uint64) + r.integers(0, 9, 3000).astype(np.uint64)  # alike but for the low bits
+    for keys in (np.zeros(0, np.uint64), np.zeros(1, np.uint64), r.integers(0, 50, 1000).astype(np.uint64), near, np.append(r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), near)):
+        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        got = lm_score.grouped(keys)
+        assert (got[0] == first).all() and (got[1] == inverse).all()
