@@ -1,12 +1,14 @@
 """The parser and the node rows it gives."""
 
 import json
+import re
 
 import pytest
 
 from rungwise.functions import render
 from rungwise.functions.markers import compress
 from rungwise.functions.provenance import SourceMap
+from rungwise.operators import parser
 from rungwise.operators.parser import parse, program_name
 from rungwise.operators.scanner import SyntaxFault
 from rungwise.operators.stage import _NAMES, parse_source
@@ -210,3 +212,19 @@ def test_only_some_kinds_leave_the_stage():
     whole = {r["node_id"]: r for r in rows(text)}
     few = [dict(zip(_NAMES, r, strict=True)) for r in parse_source("s", text, kinds=frozenset({"VarRef"}), rendered=False)]
     assert [r["name"] for r in few] == ["A", "B"] and all(whole[r["node_id"]] | {"rendered": None} == r for r in few)
+
+
+def test_numbers_read_at_once_are_those_read_one_by_one(monkeypatch):
+    plain = code("X = 1;").replace("0.0 , 0.0", "1.5e3,-0.5", 1)
+    texts = [plain, *(plain.replace("0.0", x, 1) for x in ("0.0 : InVar_ 2.0", "0.0 (*c*)", "0", "1.", "")), plain.replace("1.0 )", "1.0 Zoomable )", 1), plain.replace("1.0 )", "1.0 : InVar_ 2.0 )", 1), plain.replace("1.0 )", "1.0", 1)]
+
+    def read(text):
+        p = parser.Parser(text)
+        try:
+            return [(n.kind, n.name, n.start, n.end, n.props) for n in p.program().walk()], p.steps
+        except SyntaxFault as fault:
+            return fault.offset, fault.expected, p.steps
+
+    got = [read(t) for t in texts]
+    monkeypatch.setattr(parser, "LISTED", dict.fromkeys(parser.LISTED, re.compile("(?!)")))
+    assert got == [read(t) for t in texts]
