@@ -422,7 +422,7 @@ def rt_marker_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     body = F.concat(F.lit("ModuleCode\nEQUATIONBLOCK Main" + rt.PLACE + ":\nX = "), k.cast("string"), F.when(k % 5 == 0, F.lit("\n")).otherwise(F.lit(";\n")))
     made = rt.as_markers(rt.dealt(table(spark, sf_dir, "orders"), "o_orderkey").select(k.cast("string").alias("source_id"), rt.program(k.cast("string"), F.lit(""), body).alias("content")))
-    e = views.parse_errors(only(made, "ParseError")).join(made, "source_id")
+    e = views.parse_errors(parse_sources(made, kinds=("ParseError",), rendered=False, keep=("content",)), "content")
     return e.select(F.col("source_id").cast("long").alias("o_orderkey"), "stage", "line", "col", F.substring("content", F.col("offset") + 1, F.lit(3)).alias("found"), F.substring("context", F.col("caret") + 1, F.lit(3)).alias("shown"))
 
 

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rungwise.functions import markers
+from rungwise.functions.coded import FormatError
 from rungwise.functions.provenance import GENERATED, Pieces, SourceMap
 
 MAP = st.lists(st.one_of(st.just(GENERATED), st.integers(0, 30)), max_size=25)
@@ -74,3 +75,27 @@ def test_blocks_cost_linear_time():
 
     took(10)
     assert took(8000) < 20 * took(1000) + 0.3
+
+
+def test_pieces_are_made_for_who_asks(monkeypatch):
+    made = []
+    monkeypatch.setattr(markers, "Pieces", lambda *a, real=markers.Pieces: made.append(1) or real(*a))
+    text = 'A #81 1 #85 ;\n"s" (* c *) B #8; "2s"; duration := "5s"; F(x, ) ENDIF A'
+    source, used = markers.expand(text)
+    assert source.normalized and used and not made
+    assert source.position(len(source.normalized) - 1) == len(text) - 1 and made
+    draft, again = markers._expanded(text, markers.MARKERS)
+    assert (draft.text, again) == (source.normalized, used)
+
+
+@given(st.lists(st.sampled_from(['"', '""', "(*", "*)", "#81 ", "#85 ;", ":= ;", "; :=", "ENDIF ", "ENDIF; )", 'time := "x"', '=> "2025-10-11-12:13:14.150"', "F(x, )", "integer enddef", "EQUATIONBLOCK ", "ModuleCode ", "\n", "é", "#zz ", "#01Ab ", "#0<3 "]), max_size=12).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_expansion_is_the_same_with_and_without_pieces(text):
+    outcomes = []
+    for tracked in (True, False):
+        try:
+            draft, used = markers._expanded(text, markers.MARKERS, tracked)
+            outcomes.append((draft.text, used))
+        except FormatError as fault:
+            outcomes.append(str(fault))
+    assert all(x == outcomes[0] for x in outcomes)

@@ -51,3 +51,9 @@ def test_groups_of_chunks_take_no_call_each(spark):
     found = huge._grouped(rows, "k", lambda group, held: {"n": [group], "size": [len(held["n"])], "sorted": [held["n"] == sorted(held["n"])]}, "n long, size int, sorted boolean")
     assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [(k, n, size, True) for k in (None, 1, 2) for n, size in ((0, 256), (1, 44))]))
+
+
+def test_marker_errors_make_their_programs_once(spark, tmp_path):
+    duckdb.connect().execute(f"COPY (SELECT i::BIGINT AS o_orderkey FROM range(40) t(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    plan = queries.queries()["rt_marker_errors"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
