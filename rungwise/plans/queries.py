@@ -28,8 +28,8 @@ def once(sources: DataFrame, *kinds: str, rendered: bool = False) -> DataFrame:
     return checkpointed(parse_sources(sources, kinds=kinds, rendered=rendered))
 
 
-def only(sources: DataFrame, *kinds: str, rendered: bool = False) -> DataFrame:
-    return parse_sources(sources, kinds=kinds, rendered=rendered)
+def only(sources: DataFrame, *kinds: str, rendered: bool = False, columns: tuple[str, ...] | None = None) -> DataFrame:
+    return parse_sources(sources, kinds=kinds, rendered=rendered, columns=columns)
 
 
 # variables
@@ -167,7 +167,7 @@ def rt_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expression_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node counts by kind and operator below the assignments of lineitem."""
-    e = views.expressions(only(lineitem_programs(spark, sf_dir), *views.EXPRESSIONS))
+    e = views.expressions(only(lineitem_programs(spark, sf_dir), *views.EXPRESSIONS, columns=("role", "kind", "name", "props")))
     return e.groupBy("kind", "role", "literal_type", F.when(F.col("kind") == "BinOp", F.col("name")).alias("operator")).agg(F.count("*").alias("n"))
 
 

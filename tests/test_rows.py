@@ -57,3 +57,11 @@ def test_marker_errors_make_their_programs_once(spark, tmp_path):
     duckdb.connect().execute(f"COPY (SELECT i::BIGINT AS o_orderkey FROM range(40) t(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
     plan = queries.queries()["rt_marker_errors"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_statements_and_expressions_make_no_column_in_vain(spark, tmp_path):
+    rows = "SELECT i // 7::BIGINT AS l_orderkey, i::BIGINT % 7 AS l_linenumber, i * 1.25::DOUBLE AS l_extendedprice, i % 11 / 100::DOUBLE AS l_discount FROM range(1500) t(i)"
+    for name in ("rt_statements", "expression_shape"):
+        agrees(spark, tmp_path, name, lineitem=rows)
+        plan = queries.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "name_key" not in plan and "JsonToStructs" not in plan and "from_json" not in plan, name
