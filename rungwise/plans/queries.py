@@ -156,7 +156,7 @@ def lineitem_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rt_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.statements(only(lineitem_programs(spark, sf_dir), "Assignment", rendered=True))
+    s = views.statements(only(lineitem_programs(spark, sf_dir), "Assignment", rendered=True, columns=("kind", "name", "rendered")))
     keys = F.split(F.substring("name", 2, 30), "_")
     parts = F.split(F.regexp_extract("rendered", r"= (.*)$", 1), r" [*-] ")
     return s.select(
