@@ -32,6 +32,8 @@ FAN = 256
 #: Rows that leave a task together.
 ROWS = 10_000
 _MARK = re.compile(r'\(\*|\*\)|"')
+#: What may be part of a mark: quotes, brackets and stars side by side, and at a chunk's edges.
+_RUN = re.compile(r'["(*)]{2,}|"|\A[(*)]|[(*)]\Z')
 
 Effect = list[int]  # from OPEN, from STRING, change of depth, then from each depth that is closed
 
@@ -56,6 +58,30 @@ def marks(text: str, before: str, following: str) -> Iterator[tuple[int, str]]:
             yield m.start(), m[0]
 
 
+def thin(text: str) -> tuple[str, list[int]]:
+    """A chunk for its marks alone: every stretch that holds no part of one is a space, whose length stands in the list. Never longer than the chunk, the list no longer than its marks and one."""
+    parts, gaps, at = [], [], 0
+    for m in _RUN.finditer(text):
+        if m.start() > at:
+            parts.append(" ")
+            gaps.append(m.start() - at)
+        parts.append(m[0])
+        at = m.end()
+    if at < len(text):
+        parts.append(" ")
+        gaps.append(len(text) - at)
+    return "".join(parts), gaps
+
+
+def places_in(text: str, gaps: list[int]) -> list[int]:
+    """Where each character of a thin chunk stands in the chunk, and how long that is."""
+    out, at, lengths = [], 0, iter(gaps)
+    for c in text:
+        out.append(at)
+        at += next(lengths) if c == " " else 1
+    return [*out, at]
+
+
 def effect(text: str, before: str = "", following: str = "") -> Effect:
     """What a chunk does, given the two characters before it and the one after it."""
     state = [OPEN, STRING]  # of each start that is followed; those that have met are one from then on
@@ -191,7 +217,7 @@ def _grouped(rows: DataFrame, key: str, run, schema: str) -> DataFrame:
 
 
 def entry_states(effects: DataFrame, key: str) -> DataFrame:
-    """key, n, state: in which state each chunk starts, from rows key, n, effect. Work of a level is shared between groups of FAN; there are as many levels as FAN's powers in the longest text's chunks."""
+    """key, n, state: in which state each chunk starts, from rows key, n, effect; chunks without effect may be left out. Work of a level is shared between groups of FAN; there are as many levels as FAN's powers in the longest text's chunks."""
     levels = [checkpointed(effects.select(key, "n", "effect"))]
 
     def up(group: int, rows: dict) -> dict:
@@ -219,7 +245,7 @@ def entry_states(effects: DataFrame, key: str) -> DataFrame:
 
 
 def effects_of(chunks: DataFrame, key: str) -> DataFrame:
-    """key, n, effect of chunks as placed() gives them, with their texts."""
+    """key, n, effect of chunks as marked() gives them; all others change nothing."""
     schema = T.StructType([chunks.schema[key], T.StructField("n", T.LongType()), T.StructField("effect", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +283,25 @@ def pieces(text: str, before: str, following: str, state: int) -> Iterator[tuple
         yield ("S" if state == STRING else "C"), begun, None
 
 
+def marked(chunks: DataFrame, key: str) -> DataFrame:
+    """The chunks that hold marks or parts of them, as thin() gives them, with n, start, before and following as placed() gives them and the length of the whole text. Texts stay where they are: what is moved is a few bytes for each chunk and mark."""
+    schema = T.StructType([chunks.schema[key], chunks.schema["part"], *T.StructType.fromDDL("size int, text string, gaps array<int>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            thinned, gaps = zip(*map(thin, texts), strict=True) if texts else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, texts), pa.int32()), pa.array(thinned, pa.string()), pa.array(gaps, pa.list_(pa.int32()))], names=schema.names)
+
+    order = Window.partitionBy(key).orderBy("part")
+    tail = lambda k: F.coalesce(F.right(F.lag("text", k).over(order), F.lit(2)), F.lit(""))
+    found = chunks.select(key, "part", "text").mapInArrow(run, schema).withColumns({
+        "n": F.row_number().over(order).cast("long") - 1, "start": F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("size").over(Window.partitionBy(key)),
+        "before": F.right(F.concat(tail(2), tail(1)), F.lit(2)), "following": F.coalesce(F.left(F.lead("text").over(order), F.lit(1)), F.lit("")),
+    })
+    return found.filter("text <> ' '").select(key, "n", "start", "total", "before", "following", "text", "gaps")
+
+
 def opaque(chunks: DataFrame, key: str) -> DataFrame:
     """key, kind (S or C), start, end of every string and comment of texts in chunks (key, part, text), as a scan of each whole text gives them.
 
@@ -264,33 +309,32 @@ def opaque(chunks: DataFrame, key: str) -> DataFrame:
     chunk, FAN of their effects, or a row for each chunk of one text.
     """
     ship(chunks.sparkSession)
-    chunks = chunks.filter(F.length("text") > 0)
-    whole = chunks.join(placed(chunks, key), [key, "part"])
+    whole = checkpointed(marked(chunks.filter(F.length("text") > 0), key))
     states = entry_states(effects_of(whole, key), key)
-    schema = T.StructType([chunks.schema[key], T.StructField("n", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edge", T.LongType())])
+    schema = T.StructType([chunks.schema[key], *T.StructType.fromDDL("n long, kind string, start long, end long, total long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = [], []
-            for k, (n, start, text, before, following, state) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 7)), strict=True)):
+            for k, (n, start, total, text, gaps, before, following, state) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 9)), strict=True)):
+                at = places_in(text, gaps)
                 for kind, a, b in pieces(text, before, following, state):
                     rows.append(k)
-                    out.append((n, kind, None if a is None else start + a, None if b is None else start + b, start + len(text)))
+                    out.append((n, kind, None if a is None else start + at[a], None if b is None else start + at[b - 1] + 1, total))
             if rows:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(columns[0], pa.int64()), pa.array(columns[1]), *(pa.array(c, pa.int64()) for c in columns[2:])], names=[f.name for f in schema])
 
-    found = checkpointed(whole.join(states, [key, "n"]).select(key, "n", "start", "text", "before", "following", "state").mapInArrow(run, schema))
+    found = checkpointed(whole.join(states, [key, "n"]).select(key, "n", "start", "total", "text", "gaps", "before", "following", "state").mapInArrow(run, schema))
     inner = found.filter("start IS NOT NULL AND end IS NOT NULL").select(key, "kind", "start", "end")
-    # what goes over an edge: its beginning, and the first end after it, a few rows for each chunk
+    # what goes over an edge: its beginning, and the first end after it, a few rows for each chunk with marks
     order = Window.partitionBy(key).orderBy("n")
     closing = F.first("end", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     edge = found.filter("start IS NULL OR end IS NULL")
-    to_end = F.max("edge").over(Window.partitionBy(key))
     # an edge row that both ends one and starts none has no start; rows of one chunk are in order of their places
     ordered = edge.withColumn("n", F.col("n") * 2 + F.when(F.col("start").isNull(), 0).otherwise(1))
-    over = ordered.withColumn("end", closing).withColumn("text_end", to_end).filter("start IS NOT NULL")
-    return inner.unionByName(over.select(key, "kind", "start", F.coalesce("end", "text_end").alias("end")))
+    over = ordered.withColumn("end", closing).filter("start IS NOT NULL")
+    return inner.unionByName(over.select(key, "kind", "start", F.coalesce("end", "total").alias("end")))
 
 
 def lines(chunks: DataFrame, key: str) -> DataFrame:

@@ -85,3 +85,24 @@ def test_chunks_of_files(shared, tmp_path):
         assert huge.lines(chunks, "source_id").count() == body.count("\n") + 1 + 2
     finally:
         shared.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@given(TEXT, st.sampled_from(["", '"', "*", "(", "(*", "*)", "a*"]), st.sampled_from(["", '"', "*", ")", "a"]))
+@settings(max_examples=500, deadline=None)
+def test_thin_chunks_have_the_marks_of_whole_ones(text, before, following):
+    thin, gaps = huge.thin(text)
+    at = huge.places_in(thin, gaps)
+    assert len(thin) <= len(text) == at[-1] and len(gaps) == thin.count(" ")
+    assert [(at[k], mark) for k, mark in huge.marks(thin, before, following)] == list(huge.marks(text, before, following))
+    for state in (huge.OPEN, huge.STRING, 1, 2):
+        moved = [(kind, a if a is None else at[a], b if b is None else at[b - 1] + 1) for kind, a, b in huge.pieces(thin, before, following, state)]
+        assert moved == list(huge.pieces(text, before, following, state))
+
+
+def test_no_text_is_moved(shared):
+    df = shared.createDataFrame([(1, "a" * 5000 + '"b" (* c *)'), (2, "x" * 3000)], "k long, text string")
+    chunks = huge.chunks_of(df, "k", size=100)
+    plan = huge.marked(chunks, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert sorted(tuple(x) for x in huge.marked(chunks, "k").select("k", "n", "start", "total").collect()) == [(1, 50, 5000, 5011)]
+    assert sorted(tuple(x) for x in huge.opaque(chunks, "k").collect()) == [(1, "C", 5004, 5011), (1, "S", 5000, 5003)]
