@@ -24,7 +24,7 @@ def outcome(text, **how):
 
 def slowly(text, **how):
     before = parser.learned
-    parser.learned = lambda *_: None
+    parser.learned, parser.Parser.shapes = lambda *_: None, ()
     try:
         return parse_source("s", text, **how)
     finally:
@@ -50,12 +50,14 @@ def test_kinds_columns_and_forms(kinds, form):
 def test_nodes_and_faults_are_those_of_a_descent(monkeypatch):
     text = code("".join(f"A{i} = 1 + {i};\n" for i in range(5)) + "A = ;")
     good = text.replace("A = ;", "")
+    monkeypatch.setattr(parser.Parser, "shapes", ())
     with pytest.raises(SyntaxFault) as quick:
         parser.parse(text)
     tree = parser.parse(good)
     seen = [(n.kind, n.role, n.name, n.literal, n.start, n.end, n.props) for n in tree.walk()]
-    assert sum(isinstance(n, shapes.Flat) for n in tree.walk()) == 4
+    assert sum(isinstance(n, shapes.Flat) for n in tree.walk()) == 5
     monkeypatch.setattr(parser, "learned", lambda *_: None)
+    monkeypatch.setattr(parser.Parser, "shapes", ())
     assert seen == [(n.kind, n.role, n.name, n.literal, n.start, n.end, n.props) for n in parser.parse(good).walk()]
     with pytest.raises(SyntaxFault) as slow:
         parser.parse(text)
@@ -67,3 +69,11 @@ def test_most_assignments_of_lineitem_take_no_descent(monkeypatch):
     monkeypatch.setattr(parser.Parser, "sums", lambda self, real=parser.Parser.sums: calls.append(1) or real(self))
     rows = outcome(code("".join(f"L{i} = {i}.25 * (1 - 0.0{i % 9});\n" for i in range(200))), kinds=frozenset({"Assignment"}))
     assert len(rows) == 200 and len(calls) < 10 and all(re.fullmatch(r"L\d+ = \([\d.]+ \* \(1 - [\d.]+\)\)", r[16]) for r in rows)
+
+
+def test_shapes_outlast_a_text_but_not_a_budget(monkeypatch):
+    outcome(code("A = 1;"))
+    calls = []
+    monkeypatch.setattr(parser.Parser, "sums", lambda self, real=parser.Parser.sums: calls.append(1) or real(self))
+    assert outcome(code("B = 27;")) and not calls
+    assert outcome(code("B = 27;"), budget=10_000) == outcome(code("B = 27;")) and calls
